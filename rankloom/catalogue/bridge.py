@@ -6,21 +6,38 @@ institute, part the exam and branch, price the closing rank.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.functions.rules import ladder
 from rankloom.schema import CANON_COLUMNS
 
 CODES = ["OPEN", "OBC-NCL", "SC", "ST", "EWS-PH", "2AG", "GOPENS", "BH"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Stated schemas: no job reads footers to infer them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+                "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+            "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, "
+                "l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+              "value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
 
 
-def category_code(size: Column) -> Column:
-    return ladder([(size % 8 == i, code) for i, code in enumerate(CODES)])
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def star(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,29 +57,24 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_of(rows: DataFrame, *keep: str) -> DataFrame:
-    closing = F.floor("l_extendedprice").cast("bigint")
-    text = F.lit(None).cast("string")
     columns = {
-        "Body": F.col("r_name"), "Exam": F.col("p_type"),
-        "Website": F.concat(F.lit("https://"), F.lower(F.replace("r_name", F.lit(" "), F.lit("-"))),
-                            F.lit(".example.org/")),
-        "Level": ladder([(F.col("l_returnflag") == "A", "UG"),
-                         (F.col("l_returnflag") == "N", "PG")], "Diploma"),
-        "State": F.col("n_name"), "City": text,
-        "Institute": F.concat("s_name", F.lit(", "), "n_name"), "Program": text,
-        "Branch": F.col("p_name"), "Category": category_code(F.col("p_size")),
-        "CategoryGroup": text,
-        "Quota": F.when(F.col("l_linestatus") == "O", "HS").otherwise("AI"),
-        "Gender": ladder([(F.col("l_linenumber") % 3 == 0, "Gender-Neutral"),
-                          (F.col("l_linenumber") % 3 == 1, "Female-only")], "Male"),
-        "Year": F.year("l_shipdate").cast("bigint"),
-        "Round": F.col("l_linenumber").cast("string"),
-        "OpeningRank": F.when(F.col("l_discount") != 0,
-                              F.floor(F.col("l_extendedprice") / 10).cast("bigint")),
-        "ClosingRank": closing,
-        "SourceURL": F.concat(F.lit("https://src/"), F.col("l_orderkey").cast("string")),
+        "Body": "r_name", "Exam": "p_type",
+        "Website": "concat('https://', lower(replace(r_name, ' ', '-')), '.example.org/')",
+        "Level": "case l_returnflag when 'A' then 'UG' when 'N' then 'PG' else 'Diploma' end",
+        "State": "n_name", "City": "cast(null as string)",
+        "Institute": "concat(s_name, ', ', n_name)", "Program": "cast(null as string)",
+        "Branch": "p_name", "CategoryGroup": "cast(null as string)",
+        "Category": "element_at(array({}), p_size % 8 + 1)".format(
+            ", ".join(f"'{c}'" for c in CODES)),
+        "Quota": "if(l_linestatus = 'O', 'HS', 'AI')",
+        "Gender": "element_at(array('Gender-Neutral', 'Female-only', 'Male'), "
+                  "l_linenumber % 3 + 1)",
+        "Year": "cast(year(l_shipdate) as bigint)", "Round": "cast(l_linenumber as string)",
+        "OpeningRank": "if(l_discount <> 0, cast(floor(l_extendedprice / 10) as bigint), null)",
+        "ClosingRank": "cast(floor(l_extendedprice) as bigint)",
+        "SourceURL": "concat('https://src/', cast(l_orderkey as string))",
     }
-    return rows.select(*[columns[c].alias(c) for c in CANON_COLUMNS], *keep)
+    return rows.selectExpr(*[f"{columns[c]} as {c}" for c in CANON_COLUMNS], *keep)
 
 
 def canonical(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:

@@ -11,11 +11,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType
 
-from rankloom.functions.text import first_group, strip
+from rankloom.functions.text import SPACE, first_group, strip
 
 _NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _FIRST_NUMBER = r"([0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
-_RANGE = r"(?iU)^\s*([0-9][0-9,]*)\s*(?:-|–|—|to)\s*([0-9][0-9,]*)\s*$"
+_RANGE = rf"(?i)^{SPACE}*([0-9][0-9,]*){SPACE}*(?:-|–|—|to){SPACE}*([0-9][0-9,]*){SPACE}*$"
 _YEAR = r"\b(20[0-9]{2})\b"
 
 # Cell texts that stand for "no rank", per source kind.

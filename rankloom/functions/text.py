@@ -9,9 +9,11 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ``(?U)`` makes ``\s`` cover NBSP and the other Unicode spaces.
-_SPACES = r"(?U)\s+"
-_EDGE_SPACES = r"(?U)^\s+|\s+$"
+# Every Unicode space; plain ``\s`` misses most of them, and the
+# ``(?U)`` flag is slower than naming them.
+SPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_SPACES = SPACE + "+"
+_EDGE_SPACES = f"^{SPACE}+|{SPACE}+$"
 _PAIR = r"(?s)(.)\1"
 _NEIGHBOUR = r"(?s)(.)(?=\1)"
 
@@ -26,15 +28,28 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE_SPACES, "")
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+# --- glyph doubling --------------------------------------------------------------
+# These rules run over every text column of every row, so they are kept as SQL
+# text: one parse on the JVM instead of a dozen calls per column. ``c`` and
+# ``half`` are SQL expressions, usually column names; ``half`` is the collapsed
+# form of ``c`` where a plan has it as a column already.
+def _halved_sql(c: str) -> str:
+    return f"regexp_replace({c}, r'{_PAIR}', '$1')"
 
 
-def _halved(c: Column) -> Column:
-    return F.regexp_replace(c, _PAIR, "$1")
+def _doubled_sql(c: str, half: str) -> str:
+    n, pairs = f"length({c})", f"(length({c}) - length({half}))"
+    return (f"coalesce(({n} >= 4 and {pairs} * 2 = {n}) or ({n} >= 8 and "
+            f"{pairs} * 5 + 1 >= {n} - 1 and "
+            f"regexp_count({c}, r'{_NEIGHBOUR}') >= ({n} - 1) * 0.4D), false)")
 
 
-def looks_doubled(c: Column) -> Column:
+def halved(c: str) -> Column:
+    """Every pair of equal neighbours, left to right, to one character."""
+    return F.expr(_halved_sql(c))
+
+
+def looks_doubled(c: str, half: str | None = None) -> Column:
     """Does the text carry the every-glyph-printed-twice signature?
 
     Collapsing pairs left to right removes one character per pair, so the
@@ -43,31 +58,33 @@ def looks_doubled(c: Column) -> Column:
     neighbours equal) - the exact count runs only for the few texts that could
     still pass.
     """
-    n = F.length(c)
-    pairs = n - F.length(_halved(c))
-    strict = (n >= 4) & (pairs * 2 == n)
-    could = (n >= 8) & (pairs * 5 + 1 >= n - 1)
-    loose = could & (F.regexp_count(c, F.lit(_NEIGHBOUR)) >= (n - 1) * F.lit(0.4))
-    return F.coalesce(strict | loose, F.lit(False))
+    return F.expr(_doubled_sql(c, half or _halved_sql(c)))
+
 
+def _dedouble_sql(c: str, half: str | None) -> str:
+    half = half or _halved_sql(c)
+    return f"if({_doubled_sql(c, half)}, {half}, {c})"
 
-def dedouble(c: Column) -> Column:
+
+def dedouble(c: str, half: str | None = None) -> Column:
     """Undo glyph doubling ("OOBBCC" -> "OBC"); other text is untouched."""
-    return F.when(looks_doubled(c), _halved(c)).otherwise(c)
+    return F.expr(_dedouble_sql(c, half))
 
 
-def clean_text(c: Column) -> Column:
+def clean_text(c: str, half: str | None = None) -> Column:
     """Canonical text: glyphs repaired, whitespace squeezed, blank is null."""
-    return blank_to_null(squeeze(dedouble(c)))
+    return F.expr(f"nullif(trim(regexp_replace({_dedouble_sql(c, half)}, "
+                  f"r'{_SPACES}', ' ')), '')")
 
 
 def title_case(c: Column) -> Column:
-    """Capital after every non-letter (``initcap`` only looks at spaces)."""
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), 1)
-    return F.array_join(
-        F.transform(runs, lambda w: F.concat(F.upper(F.substring(w, 1, 1)),
-                                             F.lower(F.substring(w, 2, 1 << 30)))),
-        "")
+    """Capital after every non-letter.
+
+    ``initcap`` only looks at spaces, so one is put after every other non-letter
+    and taken out again.
+    """
+    spread = F.regexp_replace(c, r"([^\p{L} ])", "$1\u0001 ")
+    return F.replace(F.initcap(spread), F.lit("\u0001 "), F.lit(""))
 
 
 def catalog_text(c: Column) -> Column:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from rankloom.functions.classify import category_group, city_of, program_of
+from rankloom.functions.classify import program_of, with_category_group, with_city
 from rankloom.functions.numbers import canon_int
-from rankloom.functions.text import clean_text, looks_doubled, squeeze, dedouble, strip
+from rankloom.functions.text import clean_text, dedouble, halved, looks_doubled, squeeze, strip
 from rankloom.schema import CANON, CANON_INTS, RAW, deliverable_columns
 
 
@@ -32,17 +34,22 @@ def normalize(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """
     df = _first_of_each(df)
     types = dict((f.name, f.dataType) for f in df.schema.fields)
+    texts = [c for c in CANON.names if c in types and c not in CANON_INTS]
+    # the collapsed form of each text is computed once, in a step below its uses
+    staged = df.select(
+        *[F.col(f"`{c}`").cast("string").alias(c) for c in texts],
+        *[halved(f"cast(`{c}` as string)").alias(f"_half_{c}") for c in texts],
+        *[canon_int(F.col(c), types[c]).alias(c) for c in CANON_INTS if c in types],
+        *[F.col(k) for k in keep])
 
     def conformed(name: str) -> Column:
         if name not in types:
             return F.lit(None).cast(CANON[name].dataType).alias(name)
-        col = F.col(f"`{name}`")
         if name in CANON_INTS:
-            return canon_int(col, types[name]).alias(name)
-        return clean_text(col.cast("string")).alias(name)
+            return F.col(name)
+        return clean_text(name, f"_half_{name}").alias(name)
 
-    return df.select(*[conformed(c) for c in CANON.names],
-                     *[F.col(k) for k in keep])
+    return staged.select(*[conformed(c) for c in CANON.names], *[F.col(k) for k in keep])
 
 
 def conform(df: DataFrame, schema: StructType, keep: Iterable[str] = ()) -> DataFrame:
@@ -69,13 +76,15 @@ def dedouble_rows(df: DataFrame, check: Iterable[str]) -> DataFrame:
     columns = [c for c in check if c in df.columns]
     if not columns:
         return df
-    flag = F.lit(False)
-    for c in columns:
-        flag = flag | looks_doubled(strip(F.col(c)))
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
-    return df.withColumn("_doubled", flag).withColumns({
-        c: F.when(F.col("_doubled"), squeeze(dedouble(F.col(c)))).otherwise(F.col(c))
-        for c in texts}).drop("_doubled")
+    staged = df.withColumns({
+        **{f"_half_{c}": halved(f"`{c}`") for c in texts},
+        **{f"_bare_{c}": strip(F.col(f"`{c}`")) for c in columns}})
+    flag = reduce(or_, [looks_doubled(f"`_bare_{c}`") for c in columns])
+    cleaned = staged.withColumn("_doubled", flag).withColumns({
+        c: F.when(F.col("_doubled"), squeeze(dedouble(f"`{c}`", f"`_half_{c}`")))
+        .otherwise(F.col(f"`{c}`")) for c in texts})
+    return cleaned.select(*df.columns)
 
 
 def is_blank(c: Column) -> Column:
@@ -93,16 +102,15 @@ def fill_blank(c: Column, value: Column | str | None) -> Column:
 def enrich(df: DataFrame, website: Column | str | None = None,
            source_url: Column | str | None = None) -> DataFrame:
     """Links from the source where missing; city, programme and group derived."""
-    return df.withColumns({
+    out = with_category_group(with_city(df, F.col("Institute"), "_city"), F.col("Category"))
+    return out.withColumns({
         "Website": fill_blank(F.col("Website"), website),
         "SourceURL": fill_blank(F.col("SourceURL"), source_url),
-        "City": F.when(is_blank(F.col("City")), city_of(F.col("Institute")))
-        .otherwise(F.col("City")),
+        "City": F.when(is_blank(F.col("City")), F.col("_city")).otherwise(F.col("City")),
         "Program": F.when(is_blank(F.col("Program")),
                           program_of(F.col("Level"), F.col("Branch")))
         .otherwise(F.col("Program")),
-        "CategoryGroup": category_group(F.col("Category")),
-    })
+    }).drop("_city")
 
 
 def attach_links(df: DataFrame, website: Column, source_url: Column) -> DataFrame:
