@@ -7,7 +7,7 @@ through ``try_cast`` because a bad cast raises under ANSI mode.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType
 
@@ -63,11 +63,11 @@ def cell_rank(c: Column) -> Column:
 
 def rank_range(c: Column) -> Column:
     """struct(low, high) when the whole cell is "low - high", else null."""
-    text = strip(c.cast("string"))
-    low = cell_rank(F.regexp_extract(text, _RANGE, 1))
-    high = cell_rank(F.regexp_extract(text, _RANGE, 2))
-    return F.when(text.rlike(_RANGE) & low.isNotNull() & high.isNotNull(),
-                  F.struct(low.alias("low"), high.alias("high")))
+    def bound(group: int) -> Column:
+        digits = F.replace(F.regexp_extract(c, _RANGE, group), F.lit(","), F.lit(""))
+        return digits.try_cast("bigint")
+
+    return F.when(c.rlike(_RANGE), F.struct(bound(1).alias("low"), bound(2).alias("high")))
 
 
 def looks_like_percentile(c: Column) -> Column:
@@ -115,16 +115,18 @@ def row_year(year: Column, *texts: Column) -> Column:
                       *[year_in(t) for t in texts])
 
 
-def split_ranks(opening: Column, closing: Column) -> Column:
-    """struct(opening, closing, raw): a range cell fills both, closing cell first."""
-    close_range, open_range = rank_range(closing), rank_range(opening)
-    chosen = F.coalesce(close_range, open_range)
-    raw = F.when(close_range.isNotNull(), strip(closing)).when(
-        open_range.isNotNull(), strip(opening))
-    return F.struct(
-        F.when(chosen.isNotNull(), chosen["low"]).otherwise(cell_rank(opening)).alias("opening"),
-        F.when(chosen.isNotNull(), chosen["high"]).otherwise(cell_rank(closing)).alias("closing"),
-        raw.alias("raw"))
+def with_split_ranks(df: DataFrame, opening: str, closing: str) -> DataFrame:
+    """Add _opening, _closing and _range; a range cell fills both, closing cell first."""
+    out = df.withColumns({"_open_range": rank_range(F.col(opening)),
+                          "_close_range": rank_range(F.col(closing))}) \
+        .withColumn("_chosen", F.coalesce("_close_range", "_open_range"))
+    both = F.col("_chosen").isNotNull()
+    return out.withColumns({
+        "_opening": F.when(both, F.col("_chosen.low")).otherwise(cell_rank(F.col(opening))),
+        "_closing": F.when(both, F.col("_chosen.high")).otherwise(cell_rank(F.col(closing))),
+        "_range": F.when(F.col("_close_range").isNotNull(), strip(F.col(closing)))
+        .when(both, strip(F.col(opening)))}) \
+        .drop("_open_range", "_close_range", "_chosen")
 
 
 # Form placeholders that are not real rounds.

@@ -66,11 +66,11 @@ def heading_above(tables: DataFrame, headings: DataFrame, values: Sequence[str],
     """
     marks = headings.select(
         "doc_id", "page", F.col("top").alias("_at"), F.lit(0).alias("_kind"),
-        (-F.col("line_idx")).alias("_tie"), F.lit(None).cast("int").alias("table_idx"),
+        (-F.col("line_idx")).alias("_tie"), F.lit(None).cast("bigint").alias("table_idx"),
         F.lit(None).cast("double").alias("top"), *values)
     spots = tables.select(
         "doc_id", "page", (F.col("top") + slack).alias("_at"), F.lit(1).alias("_kind"),
-        F.lit(0).alias("_tie"), F.col("table_idx").cast("int").alias("table_idx"),
+        F.lit(0).alias("_tie"), F.col("table_idx").cast("bigint").alias("table_idx"),
         F.col("top").cast("double").alias("top"),
         *[F.lit(None).cast(headings.schema[v].dataType).alias(v) for v in values])
     on_page = Window.partitionBy("doc_id", "page").orderBy("_at", "_kind", "_tie") \

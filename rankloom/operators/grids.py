@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.classify import LINE_GENDER, SEAT_GENDER, seat_gender
 from rankloom.functions.numbers import digits_only, is_short_rank, leading_int
 from rankloom.functions.rules import lookup
-from rankloom.functions.text import first_group, squeeze
+from rankloom.functions.text import SPACE, first_group, squeeze
 from rankloom.operators.carry import carry_forward, heading_above
 from rankloom.operators.headers import cell, find_header
 
@@ -22,16 +22,13 @@ ORDER = ["doc_id", "page", "table_idx", "row_idx"]
 TABLE = ["doc_id", "page", "table_idx"]
 
 
-def _blank(c: Column) -> Column:
-    return squeeze(F.coalesce(c, F.lit("")))
-
-
 def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def clean_cells(cells: Column) -> Column:
-    return F.transform(cells, _blank)
+def clean_cells(cells: str) -> Column:
+    return F.expr(f"transform({cells}, c -> trim(regexp_replace(coalesce(c, ''), "
+                  f"r'{SPACE}+', ' ')))")
 
 
 def with_table_header(grid: DataFrame) -> DataFrame:
@@ -69,32 +66,27 @@ CAPITAL_COLUMNS = [
     ("closing rank", "ClosingRank")]
 
 
-def flat_header(cells: Column, columns: list[tuple[str, str]]) -> Column:
+def flat_header(cells: str, columns: list[tuple[str, str]]) -> Column:
     """struct(field -> position) when the row is a header, else null.
 
     A field takes the first column whose label holds any of its wordings.
     """
-    low = F.transform(cells, lambda c: F.lower(c))
     wordings: dict[str, list[str]] = {}
     for wording, field in columns:
         wordings.setdefault(field, []).append(wording)
     at = {}
     for field, words in wordings.items():
-        def hit(c: Column, words: list[str] = words) -> Column:
-            ok = F.lit(False)
-            for w in words:
-                ok = ok | c.contains(w)
-            return ok
-        pos = F.array_position(F.transform(low, hit), F.lit(True))
-        at[field] = F.when(pos > 0, (pos - 1).cast("int"))
+        hit = " or ".join(f"contains(lower(c), '{w}')" for w in words)
+        at[field] = F.expr(f"cast(nullif(array_position(transform({cells}, c -> {hit}), true), "
+                           "0) - 1 as int)")
     return F.when(at["Institute"].isNotNull() & at["ClosingRank"].isNotNull(),
                   F.struct(*[c.alias(f) for f, c in at.items()]))
 
 
 def flat_records(grid: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """One row per record; the latest header applies, across pages."""
-    clean = grid.select(*ORDER, clean_cells(F.col("cells")).alias("cells"))
-    head = flat_header(F.col("cells"), columns)
+    clean = grid.select(*ORDER, clean_cells("cells").alias("cells"))
+    head = flat_header("cells", columns)
     carried = carry_forward(clean.withColumn("_head", head), "doc_id", "page",
                             ["table_idx", "row_idx"], {"at": F.col("_head")})
     data = carried.filter(F.col("_head").isNull() & F.col("at").isNotNull()
@@ -127,14 +119,14 @@ def last_rank_header(header: Column) -> Column:
 
 def last_rank_melt(grid: DataFrame) -> DataFrame:
     """Category x gender columns to rows; digits-only cells."""
-    rows = with_table_header(grid)
-    h, cells = clean_cells(F.col("header")), clean_cells(F.col("cells"))
+    rows = with_table_header(grid).select(
+        *ORDER, clean_cells("header").alias("h"), clean_cells("cells").alias("cells"))
     placed = rows.select(
-        *ORDER, h.alias("h"), cells.alias("cells"),
-        find_header(h, "institute name|inst.?name|inst_name").alias("i"),
-        F.coalesce(find_header(h, "branch name"),
-                   find_header(h, "branch.?code|branch_?code")).alias("b"),
-        find_header(h, "^place$").alias("p"))
+        *ORDER, "h", "cells",
+        find_header("h", "institute name|inst.?name|inst_name").alias("i"),
+        F.coalesce(find_header("h", "branch name"),
+                   find_header("h", "branch.?code|branch_?code")).alias("b"),
+        find_header("h", "^place$").alias("p"))
     ranked = F.filter(
         F.transform("h", lambda x, k: F.struct(k.alias("at"), last_rank_header(x).alias("head"))),
         lambda s: s["head"].isNotNull())
@@ -159,11 +151,11 @@ COMMUNITIES = ["OC", "BC", "BCM", "MBC", "SC", "SCA", "ST", "MBCDNC", "DNC", "BC
 
 def community_melt(grid: DataFrame) -> DataFrame:
     """One row per community column that holds a whole number."""
-    rows = with_table_header(grid)
-    h = F.transform(clean_cells(F.col("header")), lambda x: F.upper(x))
-    placed = rows.select(
-        *ORDER, clean_cells(F.col("cells")).alias("cells"), h.alias("h"),
-        find_header(h, "COLLEGE NAME").alias("i"), find_header(h, "BRANCH NAME").alias("b"))
+    rows = with_table_header(grid).select(
+        *ORDER, clean_cells("cells").alias("cells"),
+        F.transform(clean_cells("header"), lambda x: F.upper(x)).alias("h"))
+    placed = rows.select("*", find_header("h", "COLLEGE NAME").alias("i"),
+                         find_header("h", "BRANCH NAME").alias("b"))
     slots = F.filter(F.transform("h", lambda x, k: F.struct(k.alias("at"), x.alias("name"))),
                      lambda s: s["name"].isin(COMMUNITIES))
     full = placed.withColumn("_slots", slots) \
@@ -188,8 +180,8 @@ def branch_header(header: Column) -> Column:
 def branch_melt(grid: DataFrame) -> DataFrame:
     """Branch columns (from the fourth on) of the college-code tables."""
     rows = with_table_header(grid)
-    placed = rows.select(*ORDER, clean_cells(F.col("header")).alias("h"),
-                         clean_cells(F.col("cells")).alias("cells")) \
+    placed = rows.select(*ORDER, clean_cells("header").alias("h"),
+                         clean_cells("cells").alias("cells")) \
         .filter(F.get("h", F.lit(0)).contains("College Code")) \
         .filter((F.size("cells") >= 3) & (F.get("cells", F.lit(1)) != ""))
     slots = F.filter(F.transform("h", lambda x, k: F.struct(k.alias("at"), x.alias("name"))),
@@ -277,7 +269,7 @@ OWNERSHIP_MARKS = ["G", "A", "S", "P", "N"]
 
 def sectioned_matrix(grid: DataFrame) -> DataFrame:
     """Matrix whose single-cell rows name the branch of the rows that follow."""
-    clean = grid.select(*ORDER, clean_cells(F.col("cells")).alias("cells"))
+    clean = grid.select(*ORDER, clean_cells("cells").alias("cells"))
     filled = F.filter("cells", lambda c: c != "")
     is_head = F.exists("cells", lambda c: F.lower(c).contains("name of college"))
     slots = F.filter(
@@ -336,7 +328,7 @@ def _first_wording(c: Column) -> Column:
 
 def allotment_rows(grid: DataFrame) -> DataFrame:
     """(Institute, Branch, Category, rank) of every allotted candidate."""
-    clean = grid.select(*ORDER, clean_cells(F.col("cells")).alias("cells"))
+    clean = grid.select(*ORDER, clean_cells("cells").alias("cells"))
     carried = carry_forward(clean.withColumn("_head", allotment_header(F.col("cells"))),
                             "doc_id", "page", ["table_idx", "row_idx"],
                             {"at": F.col("_head")})

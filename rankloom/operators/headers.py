@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankloom.functions.text import squeeze, strip
+from rankloom.functions.text import SPACE
 
 # Column role by header wording, in order.
 ROLES = [
@@ -41,70 +41,62 @@ MAPPER = {
 }
 
 
-def unique_names(header: Column) -> Column:
+# Headers are given by column name: every rule below is one SQL text, parsed once
+# on the JVM, and reads a header that an earlier step has materialised.
+def unique_names(header: str) -> Column:
     """Repeated header labels get ``.1``, ``.2``...; the first stays bare."""
-    def add(taken: Column, name: Column) -> Column:
-        tries = F.transform(F.sequence(F.lit(1), F.size(taken) + 1),
-                            lambda k: F.concat(name, F.lit("."), k.cast("string")))
-        free = F.element_at(F.filter(tries, lambda t: ~F.array_contains(taken, t)), 1)
-        return F.array_append(taken, F.when(F.array_contains(taken, name), free)
-                              .otherwise(name))
+    tries = "transform(sequence(1, size(taken) + 1), k -> concat(name, '.', k))"
+    free = f"element_at(filter({tries}, t -> not array_contains(taken, t)), 1)"
+    return F.expr(
+        f"aggregate({header}, cast(array() as array<string>), (taken, name) -> "
+        f"array_append(taken, if(array_contains(taken, name), {free}, name)))")
 
-    return F.aggregate(header, F.array().cast("array<string>"), add)
 
-
-def tidy_header(header: Column) -> Column:
+def tidy_header(header: str) -> Column:
     """Whitespace squeezed, then unique."""
-    return unique_names(F.transform(header, squeeze))
+    return unique_names(f"transform({header}, h -> trim(regexp_replace(h, r'{SPACE}+', ' ')))")
 
 
-def detect_roles(header: Column) -> Column:
+def detect_roles(header: str) -> Column:
     """map(role -> 0-based column): each column takes its first free role."""
-    def assign(roles: Column, pair: Column) -> Column:
-        free = None
-        for role, pattern in ROLES:
-            hit = pair["name"].rlike("(?i)" + pattern) & ~F.map_contains_key(roles, F.lit(role))
-            free = F.when(hit, role) if free is None else free.when(hit, role)
-        return F.when(free.isNotNull(), F.map_concat(roles, F.create_map(
-            F.coalesce(free, F.lit("")), pair["at"]))).otherwise(roles)
+    cases = " ".join(
+        f"when not map_contains_key(roles, '{role}') and p.name rlike r'(?i){pattern}' "
+        f"then map_concat(roles, map('{role}', p.at))" for role, pattern in ROLES)
+    return F.expr(
+        f"aggregate(transform({header}, (name, at) -> named_struct('name', name, 'at', at)), "
+        f"cast(map() as map<string,int>), (roles, p) -> case {cases} else roles end)")
+
 
-    numbered = F.transform(header, lambda name, i: F.struct(name.alias("name"), i.alias("at")))
-    empty = F.create_map().cast("map<string,int>")
-    return F.aggregate(numbered, empty, assign)
+def role_position(header: str, roles: str, role: str) -> Column:
+    """0-based position under a role: the first column that carries the role's label."""
+    label = f"get({header}, try_element_at({roles}, '{role}'))"
+    return F.expr(f"nullif(array_position({header}, {label}), 0) - 1").cast("int")
 
 
-def category_headers(header: Column, roles: Column) -> Column:
+def category_headers(header: str, roles: str) -> Column:
     """Headers to melt.
 
     A single such header that serves as the opening or closing column is that
     rank column; two or more are categories whatever else they look like.
     """
-    found = F.filter(header, lambda h: strip(h).rlike(CATEGORY_HEADER))
-    def name_of(role: str) -> Column:
-        return F.get(header, F.try_element_at(roles, F.lit(role)))
-
-    def is_rank(h: Column) -> Column:
-        return F.coalesce(h == name_of("opening_rank"), F.lit(False)) \
-            | F.coalesce(h == name_of("closing_rank"), F.lit(False))
+    found = f"filter({header}, h -> trim(h) rlike r'{CATEGORY_HEADER}')"
+    ranks = ", ".join(f"get({header}, try_element_at({roles}, '{r}'))"
+                      for r in ("opening_rank", "closing_rank"))
+    return F.expr(f"if(size({found}) <= 1, array_except({found}, array({ranks})), {found})")
 
-    return F.when(F.size(found) <= 1, F.filter(found, lambda h: ~is_rank(h))) \
-        .otherwise(found)
 
-
-def find_header(header: Column, pattern: str, exclude: str | None = None) -> Column:
+def find_header(header: str, pattern: str, exclude: str | None = None) -> Column:
     """0-based position of the first header that matches, null if none does."""
-    def hit(h: Column) -> Column:
-        ok = h.rlike("(?i)" + pattern)
-        return ok & ~h.rlike("(?i)" + exclude) if exclude else ok
-
-    at = F.array_position(F.transform(header, hit), F.lit(True))
-    return F.when(at > 0, (at - 1).cast("int"))
+    hit = f"h rlike r'(?i){pattern}'"
+    if exclude:
+        hit += f" and not h rlike r'(?i){exclude}'"
+    return F.expr(f"cast(nullif(array_position(transform({header}, h -> {hit}), true), 0) - 1 "
+                  "as int)")
 
 
-def find_label(header: Column, label: str) -> Column:
+def find_label(header: str, label: str) -> Column:
     """0-based position of an exact label, null if absent."""
-    at = F.array_position(header, F.lit(label))
-    return F.when(at > 0, (at - 1).cast("int"))
+    return F.expr(f"cast(nullif(array_position({header}, '{label}'), 0) - 1 as int)")
 
 
 def cell(cells: Column, at: Column) -> Column:
@@ -112,5 +104,5 @@ def cell(cells: Column, at: Column) -> Column:
     return F.when(at.isNotNull(), F.get(cells, at))
 
 
-def is_cutoff_table(header: Column) -> Column:
-    return F.exists(header, lambda h: h.rlike("(?i)" + MAPPER["rank"]))
+def is_cutoff_table(header: str) -> Column:
+    return F.expr(f"exists({header}, h -> h rlike r'(?i){MAPPER['rank']}')")

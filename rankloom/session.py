@@ -14,7 +14,21 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # the JVM never compiles methods above 8000 bytes; let Spark split them
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
+# Settings of DEFAULTS that a running session accepts.
+_RUNTIME = ["spark.sql.codegen.hugeMethodLimit",
+            "spark.sql.adaptive.forceOptimizeSkewedJoin"]
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime defaults to a session built elsewhere, where left unset."""
+    chosen = {k for k, _ in spark.sparkContext.getConf().getAll()}
+    for key in _RUNTIME:
+        if key not in chosen:
+            spark.conf.set(key, DEFAULTS[key])
+    return spark
 
 
 def build_session(app: str = "rankloom", master: str | None = None,
