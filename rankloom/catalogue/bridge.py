@@ -36,11 +36,21 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the tables.
+
+    ``spread`` is for work that is heavy per row: a file with one row group is
+    one task, so a table of fewer files than cores is dealt out first. A table
+    of many files is left as it is.
+    """
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
 
 
-def star(spark: SparkSession, sf_dir: str) -> DataFrame:
+def star(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """lineitem with its part, supplier, nation and region.
 
     No join is hinted: nation and region are tiny in any data set and Spark
@@ -51,7 +61,7 @@ def star(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     seller = table(spark, sf_dir, "supplier") \
         .join(place, F.col("s_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf_dir, "lineitem") \
+    return table(spark, sf_dir, "lineitem", spread) \
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")) \
         .join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
 
@@ -77,8 +87,8 @@ def canonical_of(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.selectExpr(*[f"{columns[c]} as {c}" for c in CANON_COLUMNS], *keep)
 
 
-def canonical(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
-    return canonical_of(star(spark, sf_dir), *keep)
+def canonical(spark: SparkSession, sf_dir: str, *keep: str, spread: bool = False) -> DataFrame:
+    return canonical_of(star(spark, sf_dir, spread), *keep)
 
 
 _CODE_CASES = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES))

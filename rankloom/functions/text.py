@@ -131,11 +131,16 @@ def ascii_fold(c: Column) -> Column:
     in texts that hold one.
     """
     src, dst, many = _fold_tables()
-    spelled = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     glyphs = F.regexp_extract_all(c, F.lit("(?s)(.)"), 1)
     opened = F.when(
         c.rlike("[" + "".join(many) + "]"),
         F.array_join(F.transform(glyphs, lambda g: F.coalesce(
-            F.try_element_at(spelled, g), g)), "")).otherwise(c)
+            F.try_element_at(F.expr(_spelled_sql()), g), g)), "")).otherwise(c)
     folded = F.regexp_replace(F.translate(opened, src, dst), "[^\\x00-\\x7F]", "")
     return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(c)
+
+
+@lru_cache(maxsize=1)
+def _spelled_sql() -> str:
+    pairs = ", ".join(f"'{k}', r\"{v}\"" for k, v in _fold_tables()[2].items())
+    return f"map({pairs})"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.functions.rules import ladder
@@ -126,17 +126,30 @@ def acronym(text: Column) -> Column:
     return F.when(F.size(words) >= 2, letters)
 
 
-def candidate_slugs(url: Column, exam: Column, max_slugs: int = 4) -> Column:
-    """Likely page slugs, most precise first: full, acronym, noise-free."""
-    term = search_term(url)
-    other = F.when(F.coalesce(exam, F.lit("")) != "",
-                   F.when(term.isNull() | (term != exam), exam))
-    seeds = [term, other]
-    ordered = F.array(*[slugify(s) for s in seeds],
-                      *[F.when(s.isNotNull(), acronym(s)) for s in seeds],
-                      *[slugify(s, SLUG_NOISE) for s in seeds])
-    present = F.filter(ordered, lambda s: s.isNotNull() & (s != ""))
-    return F.slice(F.array_distinct(present), 1, max_slugs)
+def with_candidate_slugs(df: DataFrame, url: Column, exam: Column, name: str,
+                         max_slugs: int = 4) -> DataFrame:
+    """Add likely page slugs, most precise first: full, acronym, noise-free.
+
+    The site's search text comes before the exam name. Words are folded once per
+    seed, in a step of their own.
+    """
+    out = df.withColumns({"_term": search_term(url), "_exam": exam}).withColumn(
+        "_other", F.expr("if(coalesce(_exam, '') <> '' and "
+                         "(_term is null or _term <> _exam), _exam, null)")) \
+        .withColumns({"_s0": _slug_words(F.col("_term")), "_s1": _slug_words(F.col("_other"))})
+    stop = ", ".join(f"'{w}'" for w in SLUG_STOP)
+    noise = ", ".join(f"'{w}'" for w in SLUG_NOISE)
+
+    def seeds(text: str) -> str:
+        return ", ".join(text.format(w=f"_s{i}") for i in (0, 1))
+
+    short = f"filter({{w}}, x -> x not in ({stop}))"
+    letters = f"if(size({short}) >= 2, array_join(transform({short}, x -> left(x, 1)), ''), '')"
+    bare = f"filter({{w}}, x -> x not in ({noise}))"
+    ordered = ", ".join([seeds("array_join({w}, '-')"), seeds(letters),
+                         seeds(f"array_join(if(size({bare}) > 0, {bare}, {{w}}), '-')")])
+    slugs = f"slice(array_distinct(filter(array({ordered}), x -> x <> '')), 1, {max_slugs})"
+    return out.withColumn(name, F.expr(slugs)).drop("_term", "_exam", "_other", "_s0", "_s1")
 
 
 # --- links inside pages ----------------------------------------------------------

@@ -29,7 +29,7 @@ def _sheet(c: str) -> Column:
 
 
 def segment(universe: DataFrame, links: DataFrame, *, merit_list: bool = True,
-            jee_remap: bool = False) -> DataFrame:
+            jee_remap: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per universe row: cat1 (official), cat2 (third-party), cat3 (none).
 
     ``links`` has one row per exam. The order of the tests is the rule: an exam
@@ -39,7 +39,7 @@ def segment(universe: DataFrame, links: DataFrame, *, merit_list: bool = True,
     sheet = links.select(_sheet("Exam").alias("_exam"),
                          F.struct(*[_sheet(c).alias(c) for c in fields]).alias("_link"))
     rows = universe.select(_sheet("Exam").alias("exam"), _sheet("Homepage").alias("homepage"),
-                           _sheet("CutoffURL").alias("official_cutoff_url")) \
+                           _sheet("CutoffURL").alias("official_cutoff_url"), *keep) \
         .filter(F.col("exam") != "")
     joined = rows.join(sheet, F.col("exam") == F.col("_exam"), "left")
     remapped = F.lit(False)
@@ -52,7 +52,7 @@ def segment(universe: DataFrame, links: DataFrame, *, merit_list: bool = True,
         link = F.coalesce("_link", "_folded")
         remapped = F.col("_folded").isNotNull()
     found = joined.select("exam", "homepage", "official_cutoff_url", link.alias("_l"),
-                          remapped.alias("jee_remapped"))
+                          remapped.alias("jee_remapped"), *keep)
     status = F.coalesce("_l.CutoffStatus", F.lit(""))
     competitor = {c: F.coalesce(F.col(f"_l.{c}"), F.lit("")) for c in LINK_COLUMNS}
     n_links = sum((F.col(c.lower()) != "").cast("int") for c in LINK_COLUMNS)
@@ -69,7 +69,7 @@ def segment(universe: DataFrame, links: DataFrame, *, merit_list: bool = True,
         *[c.lower() for c in LINK_COLUMNS], "n_competitor_links",
         ((F.col("category") == "cat1") & is_aggregator(cutoff)).alias("aggregator_as_official"),
         ((cutoff != "") & ~is_url(cutoff)).alias("prose_cutoff_url"),
-        ((home != "") & ~is_url(home)).alias("prose_homepage"), "jee_remapped")
+        ((home != "") & ~is_url(home)).alias("prose_homepage"), "jee_remapped", *keep)
 
 
 def counts(segments: DataFrame) -> DataFrame:
@@ -84,27 +84,27 @@ def flag_summary(segments: DataFrame) -> DataFrame:
     return segments.agg(*[F.count_if(c).alias(c) for c in flags])
 
 
-def website_map(segments: DataFrame, override: DataFrame | None = None) -> DataFrame:
+def website_map(segments: DataFrame, override: DataFrame | None = None,
+                order: str | None = None) -> DataFrame:
     """(exam, website): override, else a real cutoff URL, else a real homepage.
 
-    Of an exam listed twice, the last row with a link counts.
+    Of an exam listed twice, the last row with a link in ``order`` (a column of
+    both tables) counts; without an order, the greatest link.
     """
     site = ladder([
         ((F.col("official_cutoff_url") != "") & ~F.col("prose_cutoff_url"),
          F.col("official_cutoff_url")),
         ((F.col("homepage") != "") & ~F.col("prose_homepage"), F.col("homepage"))])
-    out = _last(segments.select("exam", site.alias("website"))
-                .filter(F.col("website").isNotNull()), "website")
+    more = [order] if order else []
+    out = _last(segments.select("exam", site.alias("website"), *more), "website", order)
     if override is None:
         return out
     better = override.select(_sheet("exam").alias("exam"),
-                             _sheet("official_cutoff_url").alias("_better"))
-    return out.join(_last(better, "_better"), "exam", "full_outer") \
+                             _sheet("official_cutoff_url").alias("_better"), *more)
+    return out.join(_last(better, "_better", order), "exam", "full_outer") \
         .select("exam", F.coalesce("_better", "website").alias("website"))
 
 
-def _last(df: DataFrame, value: str) -> DataFrame:
-    """Last non-blank value per exam in reading order."""
+def _last(df: DataFrame, value: str, order: str | None) -> DataFrame:
     return df.filter((F.col("exam") != "") & (F.col(value) != "")) \
-        .withColumn("_seq", F.monotonically_increasing_id()) \
-        .groupBy("exam").agg(F.max_by(value, "_seq").alias(value))
+        .groupBy("exam").agg(F.max_by(value, order or value).alias(value))

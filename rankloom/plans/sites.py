@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.embedded import initial_state
 from rankloom.functions.text import first_group, strip
-from rankloom.functions.urls import candidate_slugs, origin, path, pdf_links
+from rankloom.functions.urls import origin, path, pdf_links, with_candidate_slugs
 from rankloom.operators.htmltables import html_tables
 from rankloom.operators.rawrows import raw_rows
 
@@ -41,41 +41,38 @@ def exam_slug(site: str, url: Column) -> Column:
     return F.regexp_replace(slug, "-cut-?off$", "") if site == "careers360" else slug
 
 
-def cutoff_urls(site: str, url: Column, exam: Column,
-                years: list[int] | None = None) -> Column:
-    """array<struct(slug, year, url)> of the pages to look for, in order.
+def with_cutoff_urls(df: DataFrame, site: str, years: list[int] | None = None) -> DataFrame:
+    """Add ``urls``: array<struct(slug, year, url)> of the pages to look for, in order.
 
-    ``year`` is null for the current page, and set for a yearly archive.
+    ``df`` holds exam and site_url. ``year`` is null for the current page, and
+    set for a yearly archive. A link without a slug gives guessed ones.
     """
-    base, known = origin(url, _BASE[site]), exam_slug(site, url)
-    limit = 2 if site == "shiksha" else 4
-    slugs = F.when(known.isNotNull(), F.array(known)) \
-        .otherwise(candidate_slugs(url, exam, limit))
+    url = F.col("site_url")
     years = recent_years() if years is None else years
-
-    def page(slug: Column, tail: Column, year: int | None = None) -> Column:
-        return F.struct(slug.alias("slug"), F.lit(None if year is None else str(year))
-                        .cast("string").alias("year"), F.concat(base, tail).alias("url"))
-
-    def pages(slug: Column) -> Column:
-        if site == "collegedunia":
-            return F.array(page(slug, F.concat(F.lit("/exams/"), slug, F.lit("/cutoff"))))
-        if site == "collegedekho":
-            stem = F.concat(F.lit("/exam/"), slug)
-            return F.array(
-                page(slug, F.concat(stem, F.lit("/cutoff"))),
-                *[page(slug, F.concat(stem, F.lit(f"/cutoff-{y}-esp")), y) for y in years])
-        if site == "careers360":
-            stem = F.concat(F.lit("/articles/"), slug)
-            return F.array(page(slug, F.concat(stem, F.lit("-cutoff"))),
-                           page(slug, F.concat(stem, F.lit("-cut-off"))))
-        stream = first_group(path(url), _SLUG[site][0], 1)
-        streams = F.when(stream.isNotNull(), F.array(stream)) \
-            .otherwise(F.array(*map(F.lit, _STREAMS)))
-        return F.transform(streams, lambda s: page(
-            slug, F.concat(F.lit("/"), s, F.lit("/"), slug, F.lit("-exam-cutoff"))))
-
-    return F.array_distinct(F.flatten(F.transform(slugs, pages)))
+    guessed = with_candidate_slugs(df, url, F.col("exam"), "_guesses",
+                                   2 if site == "shiksha" else 4)
+    known = guessed.withColumns({
+        "_base": origin(url, _BASE[site]), "_own": exam_slug(site, url),
+        "_stream": first_group(path(url), _SLUG[site][0], 1)})
+
+    def page(tail: str, year: str = "cast(null as string)") -> str:
+        return f"named_struct('slug', s, 'year', {year}, 'url', concat(_base, {tail}))"
+
+    if site == "collegedunia":
+        pages = f"array({page("'/exams/', s, '/cutoff'")})"
+    elif site == "collegedekho":
+        archives = [page(f"'/exam/', s, '/cutoff-{y}-esp'", f"'{y}'") for y in years]
+        pages = f"array({', '.join([page("'/exam/', s, '/cutoff'"), *archives])})"
+    elif site == "careers360":
+        pages = f"array({page("'/articles/', s, '-cutoff'")}, {page("'/articles/', s, '-cut-off'")})"
+    else:
+        streams = ", ".join(f"'{s}'" for s in _STREAMS)
+        pages = f"transform(if(_stream is null, array({streams}), array(_stream)), " \
+                f"t -> {page("'/', t, '/', s, '-exam-cutoff'")})"
+    slugs = "if(_own is null, _guesses, array(_own))"
+    return known.withColumn("urls", F.expr(
+        f"array_distinct(flatten(transform({slugs}, s -> {pages})))")) \
+        .drop("_guesses", "_base", "_own", "_stream")
 
 
 # Scope of a run -> partition categories (None is every exam).
@@ -95,11 +92,10 @@ def targets(segments: DataFrame, site: str, scope: str = "links",
 
 def site_candidates(site: str, wanted: DataFrame, years: list[int] | None = None) -> DataFrame:
     """One row per page to look for: exam, position, slug, year, page_url, derived."""
-    urls = cutoff_urls(site, F.col("site_url"), F.col("exam"), years)
-    return wanted.select(
-        "exam", exam_slug(site, F.col("site_url")).isNull().alias("derived"),
-        F.coalesce(exam_slug(site, F.col("site_url")), F.lit("")).alias("_own_slug"),
-        F.posexplode(urls).alias("position", "_u")) \
+    own = exam_slug(site, F.col("site_url"))
+    return with_cutoff_urls(wanted, site, years).select(
+        "exam", own.isNull().alias("derived"), F.coalesce(own, F.lit("")).alias("_own_slug"),
+        F.posexplode("urls").alias("position", "_u")) \
         .select("exam", "derived", "_own_slug", "position", F.col("_u.slug").alias("slug"),
                 F.col("_u.year").alias("year"), F.col("_u.url").alias("page_url"))
 
@@ -144,10 +140,9 @@ def site_rows(site: str, wanted: DataFrame, pages: DataFrame,
 
 def run_statistics(site: str, wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: exams attempted, resolved to a URL, with rows, and rows."""
-    tried = wanted.agg(
+    tried = with_cutoff_urls(wanted, site).agg(
         F.count(F.lit(1)).alias("exams_attempted"),
-        F.count_if(F.size(cutoff_urls(site, F.col("site_url"), F.col("exam"))) > 0)
-        .alias("exams_url_resolved"))
+        F.count_if(F.size("urls") > 0).alias("exams_url_resolved"))
     got = rows.groupBy("exam").agg(F.count(F.lit(1)).alias("n")).agg(
         F.count(F.lit(1)).alias("exams_with_rows"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
