@@ -391,7 +391,8 @@ def url_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     for site, url in urls.items():
         found = sites.with_cutoff_urls(
             rows.select("p_partkey", "exam", url.alias("site_url")), site, [2025, 2024]) \
-            .select("p_partkey", F.posexplode("urls").alias("position", "u"))
+            .select("p_partkey", F.posexplode_outer("urls").alias("position", "u")) \
+            .filter(F.col("position").isNotNull())
         part = found.select("p_partkey", F.lit(site).alias("site"), "position",
                             F.col("u.url").alias("url"))
         out = part if out is None else out.unionByName(part)

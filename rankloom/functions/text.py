@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Every Unicode space; plain ``\s`` misses most of them, and the
 # ``(?U)`` flag is slower than naming them.
@@ -102,45 +102,21 @@ def missing_to_blank(c: Column) -> Column:
 
 def first_group(c: Column, pattern: str, group: int = 1) -> Column:
     """Captured text, null (not the empty string) when the pattern is absent."""
-    return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 # --- ASCII folding -----------------------------------------------------------
-@lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, dict[str, str]]:
-    """Rule-built tables: what compatibility decomposition leaves in ASCII."""
-    src, dst, many = [], [], {}
-    for point in range(0x80, sys.maxunicode + 1):
-        ch = chr(point)
-        if 0xD800 <= point <= 0xDFFF or not unicodedata.decomposition(ch):
-            continue
-        plain = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode()
-        if len(plain) == 1:
-            src.append(ch)
-            dst.append(plain)
-        elif len(plain) > 1:
-            many[ch] = plain
-    return "".join(src), "".join(dst), many
+@F.pandas_udf(StringType())
+def _fold(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t)
+                     .encode("ascii", "ignore").decode())
 
 
 def ascii_fold(c: Column) -> Column:
-    """NFKD then drop everything outside ASCII, all on the JVM side.
+    """Compatibility decomposition, then nothing outside ASCII.
 
-    Single-letter results go through ``translate``; the rare characters that
-    spell out several (ligatures, fractions) are looked up one by one, and only
-    in texts that hold one.
+    Spark has no built-in for it. Only texts with a non-ASCII character cross to
+    Python with their content.
     """
-    src, dst, many = _fold_tables()
-    glyphs = F.regexp_extract_all(c, F.lit("(?s)(.)"), 1)
-    opened = F.when(
-        c.rlike("[" + "".join(many) + "]"),
-        F.array_join(F.transform(glyphs, lambda g: F.coalesce(
-            F.try_element_at(F.expr(_spelled_sql()), g), g)), "")).otherwise(c)
-    folded = F.regexp_replace(F.translate(opened, src, dst), "[^\\x00-\\x7F]", "")
-    return F.when(c.rlike("[^\\x00-\\x7F]"), folded).otherwise(c)
-
-
-@lru_cache(maxsize=1)
-def _spelled_sql() -> str:
-    pairs = ", ".join(f"'{k}', r\"{v}\"" for k, v in _fold_tables()[2].items())
-    return f"map({pairs})"
+    foreign = c.rlike("[^\\x00-\\x7F]")
+    return F.when(foreign, _fold(F.when(foreign, c))).otherwise(c)

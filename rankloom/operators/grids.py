@@ -135,7 +135,7 @@ def last_rank_melt(grid: DataFrame) -> DataFrame:
     need = F.greatest(F.array_max(F.transform("_slots", lambda s: s["at"])), "i",
                       F.coalesce("b", F.lit(0)), F.coalesce("p", F.lit(0)))
     full = slots.filter((F.size("cells") > need) & (cell(F.col("cells"), F.col("i")) != ""))
-    melted = full.select("*", F.posexplode("_slots").alias("slot", "_s"))
+    melted = full.select("*", F.posexplode_outer("_slots").alias("slot", "_s"))
     return melted.select(
         *ORDER, "slot", cell(F.col("cells"), F.col("p")).alias("City"),
         cell(F.col("cells"), F.col("i")).alias("Institute"),
@@ -163,7 +163,7 @@ def community_melt(grid: DataFrame) -> DataFrame:
         .filter(F.size("cells") > F.greatest(
             F.array_max(F.transform("_slots", lambda s: s["at"])), "i")) \
         .filter(cell(F.col("cells"), F.col("i")) != "")
-    melted = full.select("*", F.posexplode("_slots").alias("slot", "_s"))
+    melted = full.select("*", F.posexplode_outer("_slots").alias("slot", "_s"))
     return melted.select(
         *ORDER, "slot", cell(F.col("cells"), F.col("i")).alias("Institute"),
         F.coalesce(cell(F.col("cells"), F.col("b")), F.lit("")).alias("Branch"),
@@ -186,7 +186,7 @@ def branch_melt(grid: DataFrame) -> DataFrame:
         .filter((F.size("cells") >= 3) & (F.get("cells", F.lit(1)) != ""))
     slots = F.filter(F.transform("h", lambda x, k: F.struct(k.alias("at"), x.alias("name"))),
                      lambda s: (s["at"] >= 3) & (s["name"] != ""))
-    melted = placed.select("*", F.posexplode(slots).alias("slot", "_s"))
+    melted = placed.select("*", F.posexplode_outer(slots).alias("slot", "_s"))
     return melted.select(
         *ORDER, "slot", F.get("cells", F.lit(1)).alias("Institute"),
         _or_null(branch_header(F.col("_s.name"))).alias("Branch"),
@@ -226,7 +226,7 @@ def _matrix(grid: DataFrame, headed: DataFrame) -> DataFrame:
         F.slice("cells", 2, 1 << 30).alias("value"))
     return joined.select(*ORDER, *plain, F.get("cells", F.lit(0)).alias("first"),
                          F.least(F.size("header"), F.size("cells")).alias("_width"),
-                         F.posexplode(pairs).alias("slot", "_p")) \
+                         F.posexplode_outer(pairs).alias("slot", "_p")) \
         .filter(F.col("slot") < F.col("_width") - 1) \
         .select("*", F.col("_p.label").alias("label"), F.col("_p.value").alias("value")) \
         .drop("_p", "_width")
@@ -290,7 +290,7 @@ def sectioned_matrix(grid: DataFrame) -> DataFrame:
         .withColumn("Institute", F.array_max(ranked)["c"]) \
         .filter(F.length("Institute") >= 4)
     melted = data.select(*ORDER, "Institute", F.coalesce("Branch", F.lit("")).alias("Branch"),
-                         "cells", F.posexplode("slots").alias("slot", "_s"))
+                         "cells", F.posexplode_outer("slots").alias("slot", "_s"))
     value = F.get("cells", F.col("_s.at"))
     return melted.filter(is_short_rank(value)).select(
         *ORDER, "slot", "Institute", "Branch", F.col("_s.code").alias("Category"),

@@ -95,7 +95,10 @@ def site_candidates(site: str, wanted: DataFrame, years: list[int] | None = None
     own = exam_slug(site, F.col("site_url"))
     return with_cutoff_urls(wanted, site, years).select(
         "exam", own.isNull().alias("derived"), F.coalesce(own, F.lit("")).alias("_own_slug"),
-        F.posexplode("urls").alias("position", "_u")) \
+        # the outer form: the inner one makes Spark test the array in a filter, and
+        # pushing that filter down would inline every step that built it
+        F.posexplode_outer("urls").alias("position", "_u")) \
+        .filter(F.col("position").isNotNull()) \
         .select("exam", "derived", "_own_slug", "position", F.col("_u.slug").alias("slug"),
                 F.col("_u.year").alias("year"), F.col("_u.url").alias("page_url"))
 
