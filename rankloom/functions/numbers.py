@@ -23,8 +23,7 @@ _CANON_BLANKS = ["", "-", "NA", "nan"]
 _CELL_BLANKS = ["", "-", "na", "n/a", "nan", "none", "tba", "--"]
 _WEB_BLANKS = ["", "-", "na", "n/a", "nan", "none", "null", "tba", "--"]
 # Wording that marks a placeholder cell.
-_NOISE = ["will be", "to be", "notified", "tba", "n/a", "na", "--", "yet to",
-          "coming soon", "updated soon", "select list"]
+_NOISE = "(?i)will be|to be|notified|tba|n/a|na|--|yet to|coming soon|updated soon|select list"
 
 
 def _half_even(text: Column) -> Column:
@@ -45,13 +44,9 @@ def canon_int(c: Column, dtype: DataType | None = None) -> Column:
 
 def noisy_rank(c: Column) -> Column:
     """First run of digits in a messy cell; placeholders and zero are null."""
-    text = F.lower(strip(c.cast("string")))
-    noisy = F.lit(False)
-    for word in _NOISE:
-        noisy = noisy | text.contains(word)
-    digits = F.replace(first_group(text, r"([0-9][0-9,]*)"), F.lit(","), F.lit(""))
-    value = digits.try_cast("bigint")
-    return F.when(~noisy & (value >= 1), value)
+    text = c.cast("string")
+    digits = F.replace(F.regexp_extract(text, "([0-9][0-9,]*)", 1), F.lit(","), F.lit(""))
+    return F.when(~text.rlike(_NOISE), F.nullif(digits.try_cast("bigint"), F.lit(0)))
 
 
 def cell_rank(c: Column) -> Column:
