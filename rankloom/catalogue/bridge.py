@@ -36,7 +36,7 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     """One of the tables.
 
     ``spread`` is for work that is heavy per row: a file with one row group is
@@ -50,20 +50,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
     return df
 
 
-def star(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+def star(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """lineitem with its part, supplier, nation and region.
 
-    No join is hinted: nation and region are tiny in any data set and Spark
-    broadcasts them by their size; part and supplier grow with the data, and
-    are broadcast or shuffled by what the statistics say.
+    Joined one after the other and without hints, so Spark knows every side by
+    its own size: nation and region are tiny in any data set and are broadcast;
+    part and supplier grow with the data, and are broadcast below the threshold
+    and shuffled beyond it.
     """
-    place = table(spark, sf_dir, "nation") \
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    seller = table(spark, sf_dir, "supplier") \
-        .join(place, F.col("s_nationkey") == F.col("n_nationkey"))
-    return table(spark, sf_dir, "lineitem", spread) \
-        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")) \
-        .join(seller, F.col("l_suppkey") == F.col("s_suppkey"))
+    joins = [("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"),
+             ("nation", "s_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey")]
+    rows = table(spark, sf_dir, "lineitem", spread)
+    for side, left, right in joins:
+        rows = rows.join(table(spark, sf_dir, side, False), F.col(left) == F.col(right))
+    return rows
 
 
 def canonical_of(rows: DataFrame, *keep: str) -> DataFrame:
@@ -87,7 +87,7 @@ def canonical_of(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.selectExpr(*[f"{columns[c]} as {c}" for c in CANON_COLUMNS], *keep)
 
 
-def canonical(spark: SparkSession, sf_dir: str, *keep: str, spread: bool = False) -> DataFrame:
+def canonical(spark: SparkSession, sf_dir: str, *keep: str, spread: bool = True) -> DataFrame:
     return canonical_of(star(spark, sf_dir, spread), *keep)
 
 
