@@ -1,0 +1,23 @@
+"""Joins of the fact table with small sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+MAX_ROWS = 10_000
+
+
+def bounded_side(df: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``df`` as a local relation when it has at most ``max_rows`` rows.
+
+    Spark cannot see that an aggregate or a filtered sheet is small, and would
+    shuffle the fact table - on a key as hot as an exam or a body - to join it.
+    The size is checked here, by one job that stops at the bound: below it the
+    rows become a relation of known size, which is broadcast; beyond it the
+    frame is returned as it came and the adaptive shuffled join, with its skew
+    split, does the work.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return df
+    return df.sparkSession.createDataFrame(rows, df.schema)

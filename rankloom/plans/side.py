@@ -16,16 +16,15 @@ from rankloom.functions.text import first_group, missing_to_blank, strip
 from rankloom.operators.conform import project_deliverable
 from rankloom.operators.dedup import DISTIL_KEY, keep_best, keep_first
 from rankloom.operators.htmltables import html_tables
+from rankloom.operators.joins import bounded_side
 from rankloom.operators.rawrows import raw_rows
 from rankloom.schema import UNION_COLUMNS, WEB_COLUMNS
 
 
 def with_website(df: DataFrame, websites: DataFrame, exam: str = "Exam") -> DataFrame:
-    """Attach the official website by exam (one row per exam on the other side).
-
-    A hot exam is a skewed left side; the adaptive join splits it.
-    """
-    side = websites.select(F.col("exam").alias("_exam"), F.col("website").alias("_website"))
+    """Attach the official website by exam (one row per exam on the other side)."""
+    side = bounded_side(websites.select(F.col("exam").alias("_exam"),
+                                        F.col("website").alias("_website")))
     return df.join(side, F.col(exam) == F.col("_exam"), "left").drop("_exam")
 
 
