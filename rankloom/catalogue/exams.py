@@ -119,27 +119,27 @@ def _by_wording(values: dict[int, object], default: str) -> str:
 _CATALOG_SQL = f"""
   c AS (SELECT p_partkey, {_by_wording({i: w[0] for i, w in enumerate(EXAM_WORDINGS)}, "''")}
       || ' - ' || p_partkey AS "Exam",
-    CASE WHEN p_size % 3 = 0 THEN 'A&B' || p_size ELSE '' END AS "Acronym",
+    CASE WHEN p_type in ('LARGE', 'ECONOMY') THEN 'A&B' || p_size ELSE '' END AS "Acronym",
     {_by_wording({i: w[1] for i, w in enumerate(EXAM_WORDINGS)}, "''")} AS "Category",
-    CASE WHEN p_size % 7 = 1 THEN 'PG' ELSE
+    CASE WHEN p_type = 'SMALL' THEN 'PG' ELSE
       {_by_wording({i: w[2] for i, w in enumerate(EXAM_WORDINGS)}, "''")} END AS "Level",
     {_by_wording({i: w[3] for i, w in enumerate(EXAM_WORDINGS)}, "''")} AS "State",
     coalesce(nullif({_by_wording({i: r[0] for i, r in _REFERENCED.items()}, "''")}, ''),
-      CASE WHEN p_size % 7 = 1 THEN 'Board & Council' ELSE '' END) AS "Body",
-    CASE WHEN p_size % 7 = 1 THEN 'Score' ELSE
+      CASE WHEN p_type = 'SMALL' THEN 'Board & Council' ELSE '' END) AS "Body",
+    CASE WHEN p_type = 'SMALL' THEN 'Score' ELSE
       {_by_wording({i: r[1] for i, r in _REFERENCED.items()}, "''")} END AS "Metric",
-    CASE WHEN p_size % 3 = 0 THEN '' ELSE 'http://h.org/' || p_partkey END AS "Homepage",
-    CASE WHEN p_size % 3 = 0 THEN 'https://over.org/' || p_partkey
+    CASE WHEN p_type in ('LARGE', 'ECONOMY') THEN '' ELSE 'http://h.org/' || p_partkey END AS "Homepage",
+    CASE WHEN p_type in ('LARGE', 'ECONOMY') THEN 'https://over.org/' || p_partkey
       ELSE 'https://c.org/' || p_size END AS "CutoffURL",
-    CASE WHEN p_size % 4 = 0 THEN 'Official Cutoff' ELSE '' END AS "CutoffStatus",
+    CASE WHEN p_type = 'PROMO' THEN 'Official Cutoff' ELSE '' END AS "CutoffStatus",
     CASE WHEN p_size % 5 = 0 THEN 'pdf' WHEN p_size % 5 = 1 THEN 'dead'
       WHEN p_size % 5 = 2 THEN 'html' ELSE 'unknown' END AS "DataFormat",
     CASE WHEN p_size % 5 = 0 THEN 'pdf' WHEN p_size % 5 = 1 THEN 'blocked/dead (403)'
       WHEN p_size % 5 = 2 THEN 'scrapeable' ELSE 'unknown' END AS "Scrapeable",
     {_by_wording({i: r[2] for i, r in _REFERENCED.items()}, "NULL")} AS "Applicants",
     {_by_wording({i: r[3] for i, r in _REFERENCED.items()}, "NULL")} AS "Seats",
-    CASE WHEN p_size % 7 = 1 THEN 'scope' ELSE '' END AS "Notes",
-    CASE WHEN p_size % 4 = 0 THEN 'https://cd/' || p_partkey ELSE '' END AS "CollegeDunia",
+    CASE WHEN p_type = 'SMALL' THEN 'scope' ELSE '' END AS "Notes",
+    CASE WHEN p_type = 'PROMO' THEN 'https://cd/' || p_partkey ELSE '' END AS "CollegeDunia",
     '' AS "Shiksha", '' AS "Careers360", '' AS "CollegeDekho" FROM part)"""
 
 
@@ -157,13 +157,13 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('https://c.org/', cast(p_size as string)) as url",
         "case p_size % 5 when 0 then 'pdf' when 1 then 'http_403' when 2 then 'html_table_rank' "
         "else '' end as bucket", "p_partkey as seq"), ["seq"])
-    extras = tidy_extras(part.filter("p_size % 4 = 0").selectExpr(
+    extras = tidy_extras(part.filter("p_type = 'PROMO'").selectExpr(
         "shown as `Exam Name`", "'Official Cutoff' as `Status of cutoff`",
         "concat('https://cd/', k) as `Collge duniya`", "'' as Shiksha", "p_partkey as seq"), ["seq"])
-    enrichment = part.filter("p_size % 7 = 1").selectExpr(
+    enrichment = part.filter("p_type = 'SMALL'").selectExpr(
         "shown as exam", "'Board &amp; Council' as body", "'PG' as level", "'Score' as metric",
         "' scope ' as scope")
-    overlay = part.filter("p_size % 3 = 0").selectExpr(
+    overlay = part.filter("p_type in ('LARGE', 'ECONOMY')").selectExpr(
         "shown as exam", "null as homepage", "concat('https://over.org/', k) as cutoff",
         "concat('A&B', cast(p_size as string)) as acronym")
     return cat.build_catalog(universe, probe, extras, last_by_key(enrichment, "exam"),

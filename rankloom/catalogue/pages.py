@@ -92,6 +92,47 @@ def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bulk.harvest_report(pages, rows)
 
 
+@query("routed_parse", f"""
+  WITH {_ITEM_SQL} SELECT page_id AS "Exam", 'Board' AS "Body", inst AS "Institute",
+    hi AS "ClosingRank", 'https://x.org/' || l_orderkey || '/p.html' AS "SourceURL",
+    'https://x.org/' AS "Website" FROM i WHERE l_orderkey % 4 <> 3
+  UNION ALL SELECT page_id, 'Board', branch, lo, 'https://x.org/' || l_orderkey || '/p.html',
+    'https://x.org/' FROM i WHERE l_orderkey % 4 = 2""".replace(
+    "WHERE l_orderkey % 4 <> 3", "WHERE l_orderkey % 4 < 2"))
+def routed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probe bucket picks the reader: page tables, extracted grids, or nothing."""
+    none = F.lit(None).cast("string")
+    pages = _rendered(spark, sf_dir).drop("kind").withColumns({
+        "exam": F.col("page_id"), "body": F.lit("Board"), "level": F.lit("UG"), "state": none,
+        "website": F.lit("https://x.org/")})
+    buckets = table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().selectExpr(
+        "concat('https://x.org/', l_orderkey, '/p.html') as url",
+        "element_at(array('html_table_rank', 'js_only', 'pdf_multipage', 'http_404'), "
+        "cast(l_orderkey % 4 + 1 as int)) as bucket")
+    grid = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as doc_id", "0 as page",
+        "0 as table_idx", "inline(array(named_struct('row_idx', 0, 'cells', "
+        "array('Institute', 'Closing Rank')), named_struct('row_idx', 1, 'cells', array("
+        "concat('Branch ', l_partkey), "
+        "cast(cast(floor(l_extendedprice / 10) as bigint) as string)))))")
+    rows = bulk.routed_parse(pages, buckets, grid)
+    return rows.select("Exam", "Body", "Institute", "ClosingRank", "SourceURL", "Website")
+
+
+@query("content_kinds", """
+  SELECT doc_id, CASE lang WHEN 'en' THEN 'pdf' WHEN 'fr' THEN 'pdf'
+    WHEN 'de' THEN NULL ELSE 'html' END AS kind FROM documents""")
+def content_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored bytes by their kind: by header, by signature, or nothing fetched."""
+    from rankloom.sources.files import content_kind
+
+    stored = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "if(lang = 'en', 'Application/PDF; x', 'text/plain') as ctype",
+        "cast(case lang when 'fr' then concat('%PDF-1.7', text) when 'de' then '' "
+        "else text end as binary) as content")
+    return stored.select("doc_id", content_kind(F.col("ctype"), F.col("content")).alias("kind"))
+
+
 @query("site_page_rows", f"""
   WITH {_ITEM_SQL} SELECT page_id AS exam, CAST(k AS INT) AS table_index,
     CASE k WHEN 0 THEN inst ELSE 'Heading & more' END AS institute_name,
@@ -287,13 +328,13 @@ def _link_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         "concat('E', cast(page_id as string)) as exam",
         "regexp_extract(url, '^https?://[^/?#]+', 0) as homepage",
         "if(page_id % 4 = 0, '', url) as cutoff", "'' as acronym")
-    records = pages.filter("page_id % 3 <> 0").selectExpr(
+    records = pages.filter("url like 'https%'").selectExpr(
         "concat('E', cast(page_id as string)) as exam", "'https://www.shiksha.com/' as homepage",
         "concat('https://new.org/', if(page_id % 2 = 0, '', cast(page_id as string))) as cutoff",
         "concat('A', cast(page_id as string)) as acronym")
     status = pages.selectExpr(
         "url", "case page_id % 5 when 0 then 404 when 1 then 403 else 200 end as status") \
-        .unionByName(pages.filter("page_id % 3 <> 0 and page_id % 2 <> 0").selectExpr(
+        .unionByName(pages.filter("url like 'https%'").selectExpr(
             "concat('https://new.org/', cast(page_id as string)) as url",
             "if(page_id % 7 = 0, 500, 200) as status")) \
         .unionByName(pages.selectExpr("regexp_extract(url, '^https?://[^/?#]+', 0) as url")
@@ -308,14 +349,14 @@ def _link_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
   st AS (SELECT u, max(s) AS s FROM (
     SELECT url AS u, CASE page_id % 5 WHEN 0 THEN 404 WHEN 1 THEN 403 ELSE 200 END AS s FROM p
     UNION ALL SELECT newurl, CASE WHEN page_id % 7 = 0 THEN 500 ELSE 200 END FROM p
-      WHERE page_id % 3 <> 0 AND page_id % 2 <> 0
+      WHERE url LIKE 'https%'
     UNION ALL SELECT home, 200 FROM p) GROUP BY 1),
   g AS (SELECT u FROM st WHERE s < 400 OR s IN (401, 403, 406, 409, 429, 451, 503))
   SELECT 'E' || page_id AS exam, CASE WHEN home IN (SELECT u FROM g) THEN home ELSE '' END
       AS homepage,
-    CASE WHEN page_id % 3 <> 0 AND newurl IN (SELECT u FROM g) THEN newurl
+    CASE WHEN url LIKE 'https%' AND page_id % 2 <> 0 AND newurl IN (SELECT u FROM g) THEN newurl
       WHEN page_id % 4 <> 0 AND url IN (SELECT u FROM g) THEN url ELSE '' END AS cutoff,
-    CASE WHEN page_id % 3 <> 0 THEN 'A' || page_id ELSE '' END AS acronym FROM p""")
+    CASE WHEN url LIKE 'https%' THEN 'A' || page_id ELSE '' END AS acronym FROM p""")
 def link_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deepest reachable cutoff page, first reachable homepage."""
     return links.choose_deep_links(*_link_tables(spark, sf_dir))
@@ -339,16 +380,16 @@ def link_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("link_choice_first", r"""
   SELECT 'E' || page_id AS exam, CASE WHEN page_id % 5 NOT IN (0, 1) THEN url
-      WHEN page_id % 2 = 0 THEN 'https://res.org/' || page_id ELSE '' END AS homepage,
-    CASE WHEN page_id % 2 = 0 THEN 'https://res.org/c' ELSE '' END AS cutoff,
-    CASE WHEN page_id % 2 = 0 THEN 'A' ELSE '' END AS acronym FROM pages""")
+      WHEN url LIKE 'https%' THEN 'https://res.org/' || page_id ELSE '' END AS homepage,
+    CASE WHEN url LIKE 'https%' THEN 'https://res.org/c' ELSE '' END AS cutoff,
+    CASE WHEN url LIKE 'https%' THEN 'A' ELSE '' END AS acronym FROM pages""")
 def link_choice_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The original link if it shows, else a researched one that is live."""
     pages = table(spark, sf_dir, "pages")
     probed = pages.selectExpr(
         "concat('E', cast(page_id as string)) as Exam", "url as Homepage",
         "page_id % 5 not in (0, 1) as home_show", "'' as CutoffURL", "false as cutoff_show")
-    records = pages.filter("page_id % 2 = 0").selectExpr(
+    records = pages.filter("url like 'https%'").selectExpr(
         "concat('E', cast(page_id as string)) as exam",
         "concat('https://res.org/', cast(page_id as string)) as homepage",
         "'https://res.org/c' as cutoff", "'A' as acronym")
@@ -434,6 +475,35 @@ def site_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("exam", "page_url", "institute_name", "closing_rank", "year")
 
 
+def _site_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('X', p_partkey) as exam",
+        "case p_type when 'PROMO' then 'cat1' when 'SMALL' then 'cat3' else 'cat2' end as category",
+        "if(p_type = 'LARGE', ' ', if(p_type = 'MEDIUM', 'https://collegedunia.com/x', "
+        "concat(' https://collegedunia.com/exams/x', p_partkey))) as collegedunia")
+
+
+@query("site_targets", """
+  SELECT 'X' || p_partkey AS exam, CASE p_type WHEN 'MEDIUM' THEN 'https://collegedunia.com/x'
+      ELSE 'https://collegedunia.com/exams/x' || p_partkey END AS site_url
+  FROM part WHERE p_type NOT IN ('LARGE', 'PROMO', 'SMALL')""")
+def site_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.targets(_site_segments(spark, sf_dir), "collegedunia", "cat2")
+
+
+@query("run_statistics", """
+  SELECT 'collegedunia' AS competitor, count(*) AS exams_attempted,
+    count(*) AS exams_url_resolved, count_if(p_type = 'ECONOMY') AS exams_with_rows,
+    count_if(p_type = 'ECONOMY') AS rows FROM part WHERE p_type <> 'LARGE' """)
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempted, resolved, with rows - over the stored pages of one site."""
+    pages = _site_pages(spark, sf_dir, "if(p_type = 'ECONOMY', concat("
+                        "'https://collegedunia.com/exams/x', p_partkey, '/cutoff'), 'none')")
+    wanted = sites.targets(_site_segments(spark, sf_dir), "collegedunia")
+    return sites.run_statistics("collegedunia", wanted,
+                                sites.site_rows("collegedunia", wanted, pages))
+
+
 @query("embedded_json", """
   SELECT page_id, '{"id": ' || page_id || '}' AS next_data,
     CASE WHEN page_id % 2 = 0 THEN '<TABLE>' || page_id || ' long</TABLE>' END AS article,

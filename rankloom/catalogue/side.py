@@ -10,7 +10,7 @@ from rankloom.catalogue.registry import query
 from rankloom.operators.conform import project_deliverable
 from rankloom.plans import side
 from rankloom.schema import UNION_COLUMNS
-from rankloom.sources.files import exam_payloads
+from rankloom.sources.files import exam_payloads, unwrap_records
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _KEYS = ", ".join(_KEY)
@@ -212,11 +212,11 @@ def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     c = table(spark, sf_dir, "customer", spread=True)
     exam = "concat('Customer ', c_mktsegment, ' Institute ', c_custkey) as exam"
     exams = c.selectExpr(exam)
-    candidates = c.filter("c_custkey % 5 <> 0").selectExpr(
+    candidates = c.filter("c_nationkey >= 5").selectExpr(
         exam, "inline(array(named_struct('position', 0, 'url', 'https://youtube.com/x'), "
         "named_struct('position', 1, 'url', concat('https://other.org/', c_custkey)), "
         f"named_struct('position', 2, 'url', {_CANDIDATE})))")
-    pages = c.filter("c_custkey % 3 <> 0").selectExpr(
+    pages = c.filter("c_mktsegment <> 'HOUSEHOLD'").selectExpr(
         f"{_CANDIDATE} as url", """concat('<title>x</title><h2>', c_name, ' Cut Off 2024</h2>',
         if(c_custkey % 2 = 0, concat('<table><tr><th>Course</th><th>SC</th><th>ST</th></tr>',
           '<tr><td>Civil</td><td>', c_custkey + 1, '</td><td>-</td></tr>',
@@ -226,15 +226,15 @@ def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 @query("provenance", """
   SELECT 'Customer ' || c_mktsegment || ' Institute ' || c_custkey AS exam,
-    CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'https://collegedekho.com/customer-'
+    CASE WHEN c_nationkey < 5 THEN '' ELSE 'https://collegedekho.com/customer-'
       || lower(c_mktsegment) || '-' || c_custkey END AS candidate_url,
-    c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AS http_ok,
-    CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 1 ELSE 0 END
-      AS n_tables, c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0 AS found,
-    CASE WHEN c_custkey % 5 = 0 THEN 'no search result' WHEN c_custkey % 3 = 0
+    c_nationkey >= 5 AND c_mktsegment <> 'HOUSEHOLD' AS http_ok,
+    CASE WHEN c_nationkey >= 5 AND c_mktsegment <> 'HOUSEHOLD' AND c_custkey % 2 = 0 THEN 1 ELSE 0 END
+      AS n_tables, c_nationkey >= 5 AND c_mktsegment <> 'HOUSEHOLD' AND c_custkey % 2 = 0 AS found,
+    CASE WHEN c_nationkey < 5 THEN 'no search result' WHEN c_mktsegment = 'HOUSEHOLD'
       THEN 'fetch failed/blocked' WHEN c_custkey % 2 = 0 THEN 'cutoff-like table found'
       ELSE 'page fetched, no cutoff table' END AS note,
-    CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0 THEN 2 ELSE 0 END
+    CASE WHEN c_nationkey >= 5 AND c_mktsegment <> 'HOUSEHOLD' AND c_custkey % 2 = 0 THEN 2 ELSE 0 END
       AS rows_extracted FROM customer""")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     exams, candidates, pages = _search(spark, sf_dir)
@@ -249,7 +249,7 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     'https://collegedekho.com/customer-' || lower(c_mktsegment) || '-' || c_custkey
       AS "Link - Data Taken from"
   FROM customer, (VALUES ('SC'), ('ST')) t(k)
-  WHERE c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0""")
+  WHERE c_nationkey >= 5 AND c_mktsegment <> 'HOUSEHOLD' AND c_custkey % 2 = 0""")
 def cat3_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     exams, candidates, pages = _search(spark, sf_dir)
     audit = side.provenance(exams, side.rank_candidates(candidates), pages)
@@ -303,3 +303,26 @@ def exam_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows.filter(second).withColumnRenamed("Exam", "Exam Name"),
         rows.filter(~official & ~second).withColumnRenamed("Exam", "Exam Name"))
 
+
+
+@query("audit_statistics", """
+  SELECT count(*) AS exams, count_if(f) AS found_pages, count_if(f) AS exams_with_rows,
+    2 * count_if(f) AS cutoff_rows
+  FROM (SELECT c_nationkey >= 5 AND c_mktsegment <> 'HOUSEHOLD' AND c_custkey % 2 = 0 AS f
+    FROM customer)""")
+def audit_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    exams, candidates, pages = _search(spark, sf_dir)
+    audit = side.provenance(exams, side.rank_candidates(candidates), pages)
+    return side.audit_statistics(side.fill_missing(audit, pages)[1])
+
+
+@query("record_envelopes", """
+  SELECT o_orderkey, 'E' || o_orderkey AS exam, o_orderpriority AS body FROM orders
+  WHERE o_orderstatus IN ('F', 'O', 'P')""")
+def record_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bare list, {records} and {result: {records}}, by order status."""
+    record = """concat('[{"exam": "E', o_orderkey, '", "body": "', o_orderpriority, '"}]')"""
+    files = table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"""case o_orderstatus
+        when 'F' then {record} when 'O' then concat('{{"records": ', {record}, '}}')
+        else concat('{{"result": {{"records": ', {record}, '}}}}') end as text""")
+    return unwrap_records(files, "text", "exam string, body string", ("o_orderkey",))

@@ -134,7 +134,8 @@ def read_envelope(spark: SparkSession, path: str, record_ddl: str) -> DataFrame:
     return unwrap_records(whole, "value", record_ddl)
 
 
-def unwrap_records(df: DataFrame, column: str, record_ddl: str) -> DataFrame:
+def unwrap_records(df: DataFrame, column: str, record_ddl: str,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
     """Explode the record list of a JSON text column; malformed text gives nothing."""
     body = F.try_parse_json(F.col(column))
     records = F.coalesce(
@@ -142,7 +143,7 @@ def unwrap_records(df: DataFrame, column: str, record_ddl: str) -> DataFrame:
         F.to_json(F.try_variant_get(body, "$.records", "variant")),
         F.when(F.trim(F.col(column)).startswith("["), F.col(column)))
     parsed = F.from_json(records, f"array<struct<{record_ddl}>>")
-    return df.select(F.inline(parsed))
+    return df.select(*keep, F.inline(parsed))
 
 
 def read_exam_batches(spark: SparkSession, paths: list[str]) -> DataFrame:
