@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.catalogue.bridge import (
-    CANON_LIST, GROUP_CASE, canonical, canonical_of, star, table, with_star,
+    GROUP_CASE, canonical, canonical_of, star, table, with_star,
 )
 from rankloom.catalogue.registry import query
 from rankloom.functions import classify

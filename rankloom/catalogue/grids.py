@@ -19,7 +19,7 @@ from rankloom.operators.mapping import map_tables, national_grid, portal_report
 from rankloom.operators.rawrows import raw_rows
 
 _DOC = "concat('S', cast(l_suppkey as string)) as doc_id"
-_PAGE = "cast(l_orderkey as int) as page"
+_PAGE = "l_orderkey as page"
 # one table per line item; unique inside its page
 _TABLE = "l_partkey * 10 + l_linenumber as table_idx"
 
@@ -61,10 +61,10 @@ def flat_header_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = f"array(concat(' ', inst), branch, l_returnflag, {low}, " \
             "format_number(cast(hi as bigint), 0))"
     data = items.selectExpr(_DOC, _PAGE, "l_linenumber as table_idx",
-                            "cast(l_partkey * 2 + 1 as int) as row_idx", f"{cells} as cells")
+                            "l_partkey * 2 + 1 as row_idx", f"{cells} as cells")
     labels = "array('Institute Name', 'Program', 'Quota', {}, {})"
     heads = items.filter("l_linenumber = 1").selectExpr(
-        _DOC, _PAGE, "l_linenumber as table_idx", "cast(l_partkey * 2 as int) as row_idx",
+        _DOC, _PAGE, "l_linenumber as table_idx", "l_partkey * 2 as row_idx",
         "if(l_returnflag = 'A', {}, {}) as cells".format(
             labels.format("'Opening\\nRank'", "'Closing Rank'"),
             labels.format("'Closing Rank'", "'Opening Rank'")))
@@ -143,7 +143,7 @@ def sectioned_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     def at(offset: int, cells: str, condition: str) -> DataFrame:
         return items.filter(condition).selectExpr(
             _DOC, _PAGE, "l_linenumber as table_idx",
-            f"cast(l_partkey * 3 + {offset} as int) as row_idx", f"{cells} as cells")
+            f"l_partkey * 3 + {offset} as row_idx", f"{cells} as cells")
 
     section = at(0, "array('', branch, '', '')", "l_linenumber = 1")
     head = at(1, "array('No', 'Name of College', 'SM', if(l_linestatus = 'O', 'ez', 'SC'))",
@@ -156,7 +156,7 @@ def sectioned_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- headings --------------------------------------------------------------------
 _SPOT = "cast(l_orderkey % 250 * 40 + l_linenumber * 5 + l_partkey % 5 as double)"
-_SPOT_PAGE = "cast(floor(l_orderkey / 250) as int) as page"
+_SPOT_PAGE = "l_orderkey div 250 as page"
 _SPOT_TABLE = "(l_orderkey % 250 * 10 + l_linenumber) * 100000000 + l_partkey as table_idx"
 # a heading stands just above its table, or below it
 _HEAD_TOP = f"{_SPOT} + if(l_linestatus = 'O', -1.0D, 3.0D) as top"
@@ -268,7 +268,7 @@ def borderless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     page = items.selectExpr(
         "concat('S', cast(l_suppkey as string), '-', cast(l_partkey as string)) as doc_id",
-        "cast(l_orderkey * 10 + l_linenumber as int) as page", f"inline(array({words}))") \
+        "l_orderkey * 10 + l_linenumber as page", f"inline(array({words}))") \
         .filter("text <> ''")
     out = grids.borderless_rows(page)
     return out.select("Institute", "Branch", "Quota", "Category", "Gender", "OpeningRank",

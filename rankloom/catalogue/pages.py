@@ -95,10 +95,9 @@ def harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("routed_parse", f"""
   WITH {_ITEM_SQL} SELECT page_id AS "Exam", 'Board' AS "Body", inst AS "Institute",
     hi AS "ClosingRank", 'https://x.org/' || l_orderkey || '/p.html' AS "SourceURL",
-    'https://x.org/' AS "Website" FROM i WHERE l_orderkey % 4 <> 3
+    'https://x.org/' AS "Website" FROM i WHERE l_orderkey % 4 < 2
   UNION ALL SELECT page_id, 'Board', branch, lo, 'https://x.org/' || l_orderkey || '/p.html',
-    'https://x.org/' FROM i WHERE l_orderkey % 4 = 2""".replace(
-    "WHERE l_orderkey % 4 <> 3", "WHERE l_orderkey % 4 < 2"))
+    'https://x.org/' FROM i WHERE l_orderkey % 4 = 2""")
 def routed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The probe bucket picks the reader: page tables, extracted grids, or nothing."""
     none = F.lit(None).cast("string")

@@ -26,7 +26,7 @@ def carry_forward(df: DataFrame, doc: str, page: str, order: Sequence[str],
     included.
     """
     marked = df.withColumns({
-        "_block": F.floor(F.col(page) / pages_per_block).cast("bigint"),
+        "_block": F.expr(f"`{page}` div {int(pages_per_block)}"),
         **{f"_new_{name}": value for name, value in values.items()}})
     position = [page, *order]
     inside = Window.partitionBy(doc, "_block").orderBy(*position) \

@@ -18,7 +18,7 @@ ROWS_PER_BLOCK = 1 << 16
 def opening_positions(log: DataFrame, host: str, position: str, status: str,
                       rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
     """(host, opened_at): the position of the failure that opens the host."""
-    block = F.floor(F.col(position) / rows_per_block).cast("bigint")
+    block = F.expr(f"`{position}` div {int(rows_per_block)}")
     hits = log.filter(F.col(status).isin("ok", "error")).select(
         F.col(host).alias("_host"), F.col(position).alias("_pos"), block.alias("_block"),
         (F.col(status) == "error").cast("int").alias("_err"))

@@ -101,12 +101,12 @@ SEGMENT = _struct(SEGMENT_COLUMNS, _SEGMENT_TYPES)
 # Extracted documents, before any rank logic. ``page`` and the ``*_idx`` columns
 # give the reading order that sequential rules rely on.
 GRID = (
-    "doc_id string, page int, table_idx int, row_idx int, cells array<string>")
+    "doc_id string, page bigint, table_idx bigint, row_idx bigint, cells array<string>")
 LINES = (
-    "doc_id string, page int, line_idx int, top double, text string")
-TABLES = "doc_id string, page int, table_idx int, top double"
+    "doc_id string, page bigint, line_idx bigint, top double, text string")
+TABLES = "doc_id string, page bigint, table_idx bigint, top double"
 WORDS = (
-    "doc_id string, page int, word_idx int, top double, x0 double, text string")
+    "doc_id string, page bigint, word_idx bigint, top double, x0 double, text string")
 HTML_TABLE_COLUMNS = ["page_id", "url", "table_idx", "caption", "header", "rows"]
 HTML_TABLE = (
     "page_id string, url string, table_idx int, caption string, "
