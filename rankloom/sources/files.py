@@ -59,7 +59,7 @@ def read_canonical(spark: SparkSession, path: str, renormalize: bool = True) ->
 
     if not path_exists(spark, path):
         return empty_canonical(spark)
-    df = spark.read.schema(CANON).parquet(path)
+    df = spark.read.schema(CANON).parquet(path).select(*CANON.names)
     return normalize(df) if renormalize else df
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,9 +256,10 @@ def test_stream_appends(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(SNAPSHOT)
     columns = ", ".join(f"{c} string" for c in SNAPSHOT_COLUMNS)
+    name = f"test-{uuid.uuid4()}"  # the checkpoint folder outlives a test run
     for expected in (3, 6):
         stream = snapshot_stream(spark, str(tmp_path / "in"), columns)
-        append_stream(stream, str(tmp_path / "data"), tmp_path.name).awaitTermination(120)
+        append_stream(stream, str(tmp_path / "data"), name).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "data")).count() == expected
         (tmp_path / "in" / "b.csv").write_text(SNAPSHOT)
 
