@@ -11,14 +11,16 @@ from pyspark.sql import functions as F
 
 from rankloom.session import tune
 
-# Rows per Arrow batch: long texts must not pile up in a Python worker.
+# Rows and bytes per Arrow batch: long texts must not pile up in a Python worker.
 ROWS_PER_BATCH = "1024"
+BYTES_PER_BATCH = "16m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings that the operators rely on."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_PER_BATCH)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_PER_BATCH)
     return spark
 
 
