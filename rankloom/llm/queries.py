@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import embedding_dedup, ngram_join, packing, quality_rules, secrets
+from rankloom.llm import (embedding_dedup, lang_id, ngram_join, packing, quality_rules,
+                          secrets)
 from rankloom.llm.registry import query
+from rankloom.llm.tables import crc_slot
 
 SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
@@ -19,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    found = lang_id.identify(docs, crc_slot("doc_id", 3) != 1, ["doc_id"])
+    return found.select("doc_id", (crc_slot("doc_id", 3) == 1).alias("held_out"),
+                        "lang_pred", "score", "rejected")
+
+
 @query("op4_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
