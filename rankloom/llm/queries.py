@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import (embedding_dedup, lang_id, ngram_join, packing, quality_rules,
-                          secrets)
+from rankloom.llm import (embedding_dedup, lang_id, ngram_join, packing, quality_rff,
+                          quality_rules, secrets, toxicity)
 from rankloom.llm.registry import query
 from rankloom.llm.tables import crc_slot
 
@@ -29,6 +29,26 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lang_pred", "score", "rejected")
 
 
+# The kinds of toxic text that the labels tell apart, in the chain's order.
+TOXIC = ["toxic", "toxic_prose", "toxic_junk"]
+
+
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic at all, in text of good quality, in junk."""
+    toxic, quality = F.col("toxic") == 1, F.col("quality")
+    return table(spark, sf_dir, "labels").select(
+        "doc_id", toxic.alias("toxic"),
+        (toxic & F.coalesce(quality == 1, F.lit(False))).alias("toxic_prose"),
+        (toxic & F.coalesce(quality == 0, F.lit(False))).alias("toxic_junk"))
+
+
+@query("op2_toxicity_chain")
+def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, toxic_labels(spark, sf_dir), TOXIC)
+    return toxicity.predict(docs, chain).withColumn("rejected", F.col("p_toxic") >= 0.5)
+
+
 @query("op4_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
@@ -39,6 +59,14 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.links(table(spark, sf_dir, "documents"))
 
 
+@query("op6_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_rff.score(docs, table(spark, sf_dir, "labels"), crc_slot("doc_id", 4) != 2)
+    return scored.select("doc_id", (crc_slot("doc_id", 4) == 2).alias("held_out"), "score",
+                         "predicted")
+
+
 @query("op8_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))

@@ -69,13 +69,14 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
-def read_block(texts: list[bytes]) -> Block:
+def read_block(texts: list[bytes], space: np.ndarray = _SPACE) -> Block:
+    """``space``: which bytes separate words (the line feed must be one)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     sizes = np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts))
     stops = np.cumsum(sizes)
-    space = _SPACE[data]
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
+    gap = space[data]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    if not gap[0]:
         edge = np.concatenate(([0], edge))
     start, stop = edge[0::2], edge[1::2]
     begin, end = stops - sizes, stops - 1
@@ -83,12 +84,16 @@ def read_block(texts: list[bytes]) -> Block:
                  np.searchsorted(start, begin), np.searchsorted(start, end))
 
 
-def word_hashes(block: Block) -> np.ndarray:
-    """One 64-bit hash per word: a polynomial over random byte values, finalised."""
+def word_hashes(block: Block, lead: int = 0) -> np.ndarray:
+    """One 64-bit hash per word: a polynomial over random byte values, finalised.
+
+    With ``lead``, of each word's first ``lead`` bytes (the whole word if shorter).
+    """
     powers, inverse = _power_tables(len(block.data))
     sums = np.zeros(len(block.data) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[block.data] * powers[:len(block.data)], out=sums[1:])
-    return mix64((sums[block.stop] - sums[block.start]) * inverse[block.start])
+    stop = np.minimum(block.stop, block.start + lead) if lead else block.stop
+    return mix64((sums[stop] - sums[block.start]) * inverse[block.start])
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
