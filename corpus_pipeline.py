@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import packing, secrets
-from rankloom.llm.queries import table
+from rankloom.llm import mixing, ngram_join, packing, secrets, toxicity
+from rankloom.llm.queries import TOXIC, table, toxic_labels
 from rankloom.llm.tables import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier chain does not reject; labels come from ``sf_dir``."""
+    docs = docs.select(*COLUMNS)
+    chain = toxicity.fit(docs, toxic_labels(spark, sf_dir), TOXIC)
+    return toxicity.drop_toxic(docs, chain, "toxic")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one with the smallest doc_id.
+
+    Rows without doc_id cannot be named by the join and stay; rows that share a
+    doc_id stay or go together.
+    """
+    docs = docs.select(*COLUMNS)
+    kept = ngram_join.links(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS) \
+        .union(docs.where("doc_id is null"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; secrets in its text are masked and n_chars follows."""
     clean = secrets.redact(docs.select(*COLUMNS))
@@ -19,13 +38,21 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         .select(*COLUMNS)
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, in files that follow the schedule of the sources' target weights."""
+    return mixing.mixed(docs.select(*COLUMNS))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of every document with their sequence and offset."""
     return packing.pack(docs)
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_jaccard_join", drop_near_copies),
     ("secret_scan", mask_secrets),
+    ("source_mixing", mix_sources),
     ("best_fit_packing", pack_sequences),
 ]
 

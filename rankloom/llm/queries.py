@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import (embedding_dedup, lang_id, ngram_join, packing, quality_rff,
-                          quality_rules, secrets, toxicity)
+from rankloom.llm import (embedding_dedup, lang_id, line_dedup, mixing, ngram_join,
+                          packing, quality_rff, quality_rules, secrets, toxicity)
 from rankloom.llm.registry import query
 from rankloom.llm.tables import crc_slot
 
@@ -49,6 +49,12 @@ def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, chain).withColumn("rejected", F.col("p_toxic") >= 0.5)
 
 
+@query("op3_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.schedule(docs, keep=["doc_id", "source"])
+
+
 @query("op4_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
@@ -67,6 +73,13 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "predicted")
 
 
+@query("op7_line_dedup")
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeats(docs).select(
+        "doc_id", "text", "removed", F.size("removed").alias("n_removed"))
+
+
 @query("op8_secret_scan")
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
