@@ -31,7 +31,9 @@ def main() -> int:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=cpus,
                           spark__ui__enabled="false", spark__driver__memory="16g",
-                          spark__ui__showConsoleProgress="false")
+                          spark__ui__showConsoleProgress="false",
+                          # the benchmark tables are single row groups
+                          rankloom__read__partitions=cpus)
     spark.sparkContext.setLogLevel("OFF")
     entries = load_all()
     names = sys.argv[1:] or HEADLINE

@@ -36,21 +36,22 @@ SCHEMAS = {
 }
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
-    """One of the tables.
+# A setting for stores whose files are single row groups: read into so many tasks.
+READ_PARTITIONS = "rankloom.read.partitions"
 
-    ``spread`` is for work that is heavy per row: a file with one row group is
-    one task, so a table of fewer files than cores is dealt out first. A table
-    of many files is left as it is.
+
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> DataFrame:
+    """One of the tables, read plainly: Spark splits it by bytes.
+
+    Only where the user sets READ_PARTITIONS is a table that is read for
+    ``heavy`` work per row dealt out first; nothing looks at the data for it.
     """
     df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    asked = spark.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(asked)) if heavy and asked else df
 
 
-def star(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+def star(spark: SparkSession, sf_dir: str, heavy: bool = True) -> DataFrame:
     """lineitem with its part, supplier, nation and region.
 
     Joined one after the other and without hints, so Spark knows every side by
@@ -60,7 +61,7 @@ def star(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """
     joins = [("part", "l_partkey", "p_partkey"), ("supplier", "l_suppkey", "s_suppkey"),
              ("nation", "s_nationkey", "n_nationkey"), ("region", "n_regionkey", "r_regionkey")]
-    rows = table(spark, sf_dir, "lineitem", spread)
+    rows = table(spark, sf_dir, "lineitem", heavy)
     for side, left, right in joins:
         rows = rows.join(table(spark, sf_dir, side, False), F.col(left) == F.col(right))
     return rows
@@ -87,8 +88,8 @@ def canonical_of(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.selectExpr(*[f"{columns[c]} as {c}" for c in CANON_COLUMNS], *keep)
 
 
-def canonical(spark: SparkSession, sf_dir: str, *keep: str, spread: bool = True) -> DataFrame:
-    return canonical_of(star(spark, sf_dir, spread), *keep)
+def canonical(spark: SparkSession, sf_dir: str, *keep: str, heavy: bool = True) -> DataFrame:
+    return canonical_of(star(spark, sf_dir, heavy), *keep)
 
 
 _CODE_CASES = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES))

@@ -25,7 +25,7 @@ _TABLE = "l_partkey * 10 + l_linenumber as table_idx"
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem", spread=True).withColumns({
+    return table(spark, sf_dir, "lineitem", heavy=True).withColumns({
         "inst": F.expr("concat('College ', cast(l_suppkey as string), ' of Arts')"),
         "branch": F.expr("concat('Branch ', cast(l_partkey as string))"),
         "hi": F.expr("cast(cast(floor(l_extendedprice) as bigint) as string)"),

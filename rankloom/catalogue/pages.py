@@ -40,7 +40,7 @@ _PAGE_HTML = """concat(
 
 
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem", spread=True).withColumns({
+    items = table(spark, sf_dir, "lineitem", heavy=True).withColumns({
         "inst": F.expr("concat('College ', cast(l_suppkey as string), ' of Arts')"),
         "branch": F.expr("concat('Branch ', cast(l_partkey as string))"),
         "hi": F.expr("cast(cast(floor(l_extendedprice) as bigint) as string)"),
@@ -442,7 +442,7 @@ def url_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _site_pages(spark: SparkSession, sf_dir: str, url: str) -> DataFrame:
     cells = "'<table><tr><th>College</th><th>Closing Rank</th></tr><tr><td>', p_name, " \
             "'</td><td>', cast(p_size as string), '</td></tr></table>'"
-    return table(spark, sf_dir, "part", spread=True).selectExpr(f"{url} as url", f"concat({cells}) as html")
+    return table(spark, sf_dir, "part", heavy=True).selectExpr(f"{url} as url", f"concat({cells}) as html")
 
 
 @query("site_rows", """

@@ -42,7 +42,7 @@ _RAW_COLUMNS = [
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = star(spark, sf_dir, spread=True).withColumns({
+    items = star(spark, sf_dir, heavy=True).withColumns({
         "hi": F.expr("cast(floor(l_extendedprice) as bigint)"),
         "lo": F.expr("cast(floor(l_extendedprice / 10) as bigint)")})
     return items.selectExpr(*_RAW_COLUMNS, *_KEY)
@@ -209,7 +209,7 @@ _CANDIDATE = "concat('https://collegedekho.com/customer-', lower(c_mktsegment),
 
 
 def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    c = table(spark, sf_dir, "customer", spread=True)
+    c = table(spark, sf_dir, "customer", heavy=True)
     exam = "concat('Customer ', c_mktsegment, ' Institute ', c_custkey) as exam"
     exams = c.selectExpr(exam)
     candidates = c.filter("c_nationkey >= 5").selectExpr(

@@ -83,4 +83,6 @@ def _unescape(texts: pd.Series) -> pd.Series:
 
 
 def unescape(c: Column) -> Column:
-    return _unescape(c)
+    """Entities decoded; only texts with an ampersand cross to Python."""
+    marked = c.contains("&")
+    return F.when(marked, _unescape(F.when(marked, c))).otherwise(c)

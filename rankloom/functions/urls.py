@@ -153,8 +153,27 @@ def with_candidate_slugs(df: DataFrame, url: Column, exam: Column, name: str,
 
 
 # --- links inside pages ----------------------------------------------------------
+def without_dots(url: Column) -> Column:
+    """A URL with "." and ".." taken out of its path; ".." at the root is dropped."""
+    whole = r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)([^?#]*)(.*)$"
+    path = F.regexp_extract(url, whole, 2)
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    # a path that ends in a dot segment is a folder
+    open_end = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        open_end, F.array().cast("array<string>"),
+        lambda done, part: F.when(part == ".", done)
+        .when(part == "..", F.when(F.size(done) > 1, F.slice(done, 1, F.size(done) - 1))
+              .otherwise(done))
+        .otherwise(F.concat(done, F.array(part))))
+    clean = F.concat(F.regexp_extract(url, whole, 1), F.array_join(kept, "/"),
+                     F.regexp_extract(url, whole, 3))
+    return F.when(url.rlike(whole) & path.rlike(r"/\.\.?(/|$)"), clean).otherwise(url)
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """Absolute form of a link found on a page (dot segments left alone)."""
+    """Absolute form of a link found on a page, without dot segments."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
@@ -163,10 +182,10 @@ def resolve(base: Column, link: Column) -> Column:
     return ladder([
         (link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link),
         (F.coalesce(base, F.lit("")) == "", link),
-        (link.startswith("//"), F.concat(scheme, F.lit(":"), link)),
-        (link.startswith("/"), F.concat(root, link)),
+        (link.startswith("//"), without_dots(F.concat(scheme, F.lit(":"), link))),
+        (link.startswith("/"), without_dots(F.concat(root, link))),
         (link.startswith("?"), F.concat(page, link)),
-    ], F.concat(folder, link))
+    ], without_dots(F.concat(folder, link)))
 
 
 def pdf_links(html: Column, base: Column) -> Column:

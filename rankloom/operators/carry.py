@@ -45,7 +45,10 @@ def carry_forward(df: DataFrame, doc: str, page: str, order: Sequence[str],
         F.last(f"_end_{name}", ignorenulls=True).over(before).alias(f"_in_{name}")
         for name in values])
 
-    joined = local.join(carried, [doc, "_block"])
+    # null documents and pages are groups like any other
+    joined = local.join(carried.withColumnsRenamed({doc: "_doc", "_block": "_at_block"}),
+                        F.col(doc).eqNullSafe(F.col("_doc"))
+                        & F.col("_block").eqNullSafe(F.col("_at_block")))
     out = joined.withColumns({
         name: F.coalesce(F.col(f"_local_{name}"), F.col(f"_in_{name}"))
         for name in values})

@@ -34,6 +34,18 @@ def _numbered(df: DataFrame, keys: Sequence, order: Sequence[Column]) -> DataFra
         .filter(F.col("_rn") == 1).drop("_rn")
 
 
+def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """A look-up side with one row per key: equal keys cannot multiply the rows they meet.
+
+    Of different rows the greatest one stays, so the choice is repeatable.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_rest")) \
+        .select(*keys, "_rest.*")
+
+
 def keep_first(df: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:
     """One row per key: the first in ``order``. Null keys are equal to each other."""
     return _numbered(df, keys, [F.col(o) if isinstance(o, str) else o for o in order])

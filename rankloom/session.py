@@ -1,10 +1,8 @@
-"""Session defaults and the one place that decides where durable state goes."""
+"""Session defaults."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,28 +40,3 @@ def build_session(app: str = "rankloom", master: str | None = None,
     for key, value in overrides.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
-
-
-def durable_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, as named by the cluster.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) is a
-    temporary folder used: on a cluster a machine-local path would be lost with
-    its executor.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") \
-        or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    return tempfile.mkdtemp(prefix="rankloom-checkpoint-")
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` into the durable folder."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(durable_dir(spark))
-    return df.checkpoint(eager=True)

@@ -7,7 +7,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rankloom.operators.conform import normalize
 from rankloom.schema import CANON
-from rankloom.session import durable_dir
 
 
 def snapshot_stream(spark: SparkSession, path: str, columns: str,
@@ -18,13 +17,13 @@ def snapshot_stream(spark: SparkSession, path: str, columns: str,
     return normalize(raw)
 
 
-def append_stream(rows: DataFrame, path: str, name: str = "append") -> StreamingQuery:
+def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append a stream of canonical rows to a dataset.
 
-    The Parquet sink's log makes a replayed micro-batch write once. The checkpoint
-    lives in the shared folder the cluster names.
+    The Parquet sink's log makes a replayed micro-batch write once. ``checkpoint``
+    is a folder that outlives the job and belongs to this stream: a restart
+    goes on from it, a new folder would start again at the first batch.
     """
-    spark = rows.sparkSession
     return rows.select(*CANON.names).writeStream.format("parquet").outputMode("append") \
-        .option("checkpointLocation", f"{durable_dir(spark)}/{name}") \
+        .option("checkpointLocation", checkpoint) \
         .option("path", path).trigger(availableNow=True).start()

@@ -12,7 +12,6 @@ from rankloom.operators.carry import carry_forward, heading_above
 from rankloom.operators.conform import dedouble_rows, normalize
 from rankloom.operators.dedup import keep_first, keep_last
 from rankloom.operators.htmltables import html_tables, page_tables
-from rankloom.operators.joins import bounded_side
 from rankloom.operators.mapping import map_tables
 from rankloom.operators.rawrows import raw_rows
 from rankloom.operators.streaks import latch
@@ -81,16 +80,6 @@ def test_keep_first_is_stable_and_limited_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_bounded_side(spark):
-    df = spark.range(50).groupBy("id").count()
-    assert bounded_side(df, 49) is df
-    local = bounded_side(df, 50)
-    assert local.count() == 50 and local.schema == df.schema
-    fact = spark.range(1000).withColumn("k", F.col("id") % 50)
-    plan = fact.join(local.withColumnRenamed("id", "k"), "k")
-    assert "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
-
-
 def test_normalize_tolerates(spark):
     df = spark.createDataFrame([("1,340", "x", " a ", "z")], "ClosingRank string, extra string, "
                                "Body string, b2 string").toDF("ClosingRank", "extra", "Body", "Body")
@@ -218,3 +207,34 @@ def test_borderless_words(spark):
     assert (row["Institute"], row["Branch"], row["Quota"], row["Category"], row["Gender"],
             row["OpeningRank"], row["ClosingRank"]) \
         == ("NIT Foo", "Civil", "HS", "OBC-NCL", "Male", 10, 99)
+
+
+def test_rough_html(spark):
+    """Headings in cells, open headings and captions, odd spans, hidden elements."""
+    cases = {
+        "heading": "<table><tr><th>Name</th></tr><tr><td><h3>NIT</h3></td></tr></table>",
+        "open heading": "<h2>Round 1<table><tr><th>Name</th></tr><tr><td>NIT</td></tr></table>",
+        "open caption": "<table><caption>Round 1<tr><th>Name</th></tr><tr><td>NIT</td></tr></table>",
+        "odd span": "<table><tr><th colspan='\u00b2'>Name</th></tr><tr><td rowspan='-1'>NIT</td>"
+                    "</tr></table>",
+        "hidden": "<table><tr><th>Name</th></tr><tr><td style='display: none'>x</td><td>NIT</td>"
+                  "</tr><tr style='DISPLAY:NONE'><td>y</td></tr></table>"
+                  "<div style='display:none'><table><tr><td>z</td></tr></table></div>",
+        "hidden, not closed": "<table><tr><th>Name<tr><td style='display:none'>x<td>NIT</table>",
+    }
+    pages = spark.createDataFrame([(k, "u", v) for k, v in cases.items()],
+                                  "page_id string, url string, html string")
+    found = {r.page_id: (r.caption, r.header, r.rows) for r in html_tables(pages).collect()}
+    assert len(found) == len(cases)
+    for name, (caption, header, rows) in found.items():
+        assert (header, rows) == (["Name"], [["NIT"]]), name
+        assert caption == ("Round 1" if name.startswith("open") else ""), name
+
+
+def test_carry_keeps_null_pages(spark):
+    df = spark.createDataFrame([("d", None, 1, "a"), ("d", None, 2, None), (None, 3, 1, "b"),
+                                ("d", 1, 1, "c"), ("d", 1, 2, None)],
+                               "doc string, page int, line int, v string")
+    rows = carry_forward(df, "doc", "page", ["line"], {"got": F.col("v")}).collect()
+    assert sorted((r.doc or "", r.page or 0, r.line, r.got) for r in rows) == [
+        ("", 3, 1, "b"), ("d", 0, 1, "a"), ("d", 0, 2, "a"), ("d", 1, 1, "c"), ("d", 1, 2, "c")]

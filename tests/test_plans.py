@@ -259,7 +259,7 @@ def test_stream_appends(spark, tmp_path):
     name = f"test-{uuid.uuid4()}"  # the checkpoint folder outlives a test run
     for expected in (3, 6):
         stream = snapshot_stream(spark, str(tmp_path / "in"), columns)
-        append_stream(stream, str(tmp_path / "data"), name).awaitTermination(120)
+        append_stream(stream, str(tmp_path / "data"), str(tmp_path / name)).awaitTermination(120)
         assert spark.read.parquet(str(tmp_path / "data")).count() == expected
         (tmp_path / "in" / "b.csv").write_text(SNAPSHOT)
 
