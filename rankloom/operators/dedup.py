@@ -66,5 +66,5 @@ def keep_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 def with_file_order(df: DataFrame) -> DataFrame:
     """File name and row position of a file scan, for order across files."""
-    return df.withColumns({"_file": F.col("_metadata.file_name"),
+    return df.withColumns({"_file": F.col("_metadata.file_path"),
                            "_row": F.col("_metadata.row_index")})

@@ -10,6 +10,7 @@ from rankloom.functions.classify import (
 )
 from rankloom.functions.embedded import unescape
 from rankloom.functions.text import catalog_text, strip
+from rankloom.operators.lookup import look_up
 from rankloom.schema import CATALOG_COLUMNS, LINK_COLUMNS
 
 
@@ -18,8 +19,8 @@ def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
                   overlay: DataFrame | None = None) -> DataFrame:
     """Catalog of the universe (Exam, Homepage, CutoffURL).
 
-    ``probe`` (url, bucket), ``extras``, ``enrichment`` and ``overlay`` hold one
-    row per key; see the ``apply_*`` steps for what each may change.
+    Of several rows of ``probe`` (url, bucket), ``extras``, ``enrichment`` or
+    ``overlay`` for a key one is taken; see the ``apply_*`` steps for what each may change.
     """
     base = universe.select(*[catalog_text(F.col(c)).alias(c)
                              for c in ("Exam", "Homepage", "CutoffURL")])
@@ -45,10 +46,9 @@ def apply_probe(df: DataFrame, probe: DataFrame) -> DataFrame:
     """Format and scrapeability by cutoff URL; a URL never probed is unknown."""
     side = probe.select(F.col("url").alias("_url"), F.col("bucket").alias("_bucket"))
     status = probe_status(F.coalesce("_bucket", F.lit("")))
-    return df.join(side, F.col("CutoffURL") == F.col("_url"), "left") \
-        .withColumn("_s", status) \
+    return look_up(df, F.col("CutoffURL"), side, "_url").withColumn("_s", status) \
         .withColumns({"DataFormat": F.col("_s.format"), "Scrapeable": F.col("_s.status")}) \
-        .drop("_url", "_bucket", "_s")
+        .drop("_bucket", "_s")
 
 
 def apply_extras(df: DataFrame, extras: DataFrame | None) -> DataFrame:
@@ -57,7 +57,7 @@ def apply_extras(df: DataFrame, extras: DataFrame | None) -> DataFrame:
     if extras is None:
         return df.withColumns({c: F.lit("") for c in new})
     side = extras.select(F.trim("Exam").alias("_exam"), *new)
-    return df.join(side, F.trim("Exam") == F.col("_exam"), "left").drop("_exam") \
+    return look_up(df, F.trim("Exam"), side, "_exam") \
         .withColumns({c: F.coalesce(c, F.lit("")) for c in new})
 
 
@@ -74,7 +74,7 @@ def apply_enrichment(df: DataFrame, records: DataFrame) -> DataFrame:
         F.trim("exam").alias("_exam"),
         *[F.trim(unescape(F.coalesce(c, F.lit("")))).alias(f"_{c}")
           for c in ("body", "level", "metric", "scope")])
-    out = df.join(side, F.trim("Exam") == F.col("_exam"), "left")
+    out = look_up(df, F.trim("Exam"), side, "_exam")
 
     def prefer(new: str, old: str) -> Column:
         return F.when(~_blank(F.col(new)), F.col(new)).otherwise(F.col(old))
@@ -84,7 +84,7 @@ def apply_enrichment(df: DataFrame, records: DataFrame) -> DataFrame:
         .otherwise(F.col("Body")),
         "Level": prefer("_level", "Level"), "Metric": prefer("_metric", "Metric"),
         "Notes": prefer("_scope", "Notes")}) \
-        .drop("_exam", "_body", "_level", "_metric", "_scope")
+        .drop("_body", "_level", "_metric", "_scope")
 
 
 def apply_overlay(df: DataFrame, links: DataFrame) -> DataFrame:
@@ -93,13 +93,13 @@ def apply_overlay(df: DataFrame, links: DataFrame) -> DataFrame:
         F.trim("exam").alias("_exam"),
         *[strip(F.coalesce(c, F.lit(""))).alias(f"_{c}")
           for c in ("homepage", "cutoff", "acronym")])
-    listed = F.col("_exam").isNotNull()
-    out = df.join(side, F.trim("Exam") == F.col("_exam"), "left")
+    listed = F.coalesce("_listed", F.lit(False))
+    out = look_up(df, F.trim("Exam"), side.withColumn("_listed", F.lit(True)), "_exam")
     return out.withColumns({
         target: F.when(listed, F.col(f"_{source}")).otherwise(F.col(target))
         for target, source in (("Homepage", "homepage"), ("CutoffURL", "cutoff"),
                                ("Acronym", "acronym"))}) \
-        .drop("_exam", "_homepage", "_cutoff", "_acronym")
+        .drop("_listed", "_homepage", "_cutoff", "_acronym")
 
 
 def load_catalog(spark, path: str, build) -> DataFrame:

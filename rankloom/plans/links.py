@@ -11,7 +11,8 @@ from rankloom.functions.urls import (
     DEEP_AGGREGATORS, LINK_AGGREGATORS, RESEARCH_AGGREGATORS, bare_host, has_depth, has_http,
     is_aggregator_bare, on_domains, reachable,
 )
-from rankloom.operators.dedup import keep_best
+from rankloom.operators.dedup import keep_best, unique_by
+from rankloom.operators.lookup import look_up
 
 
 def link_kind(url: Column, ok: Column) -> Column:
@@ -28,12 +29,12 @@ def _by_url(status: DataFrame, name: str) -> DataFrame:
 def probe_links(catalog: DataFrame, status: DataFrame) -> DataFrame:
     """Kind and showability of both links of every exam.
 
-    ``status``: one row per probed url with ``ok``.
+    ``status``: probed urls with ``ok``.
     """
     out = catalog
     for name, column in (("home", "Homepage"), ("cutoff", "CutoffURL")):
         side = _by_url(status, name)
-        out = out.join(side, strip(F.col(column)) == F.col(f"_{name}_url"), "left") \
+        out = look_up(out, strip(F.col(column)), side, f"_{name}_url") \
             .withColumn(f"_{name}_ok", F.coalesce(f"_{name}_ok", F.lit(False))) \
             .withColumn(f"{name}_kind", link_kind(F.col(column), F.col(f"_{name}_ok"))) \
             .withColumn(f"{name}_show", F.col(f"{name}_kind") == "official")
@@ -48,15 +49,14 @@ def _text(c: str) -> Column:
 def choose_links(probed: DataFrame, records: DataFrame, live: DataFrame) -> DataFrame:
     """The original link if showable, else the researched one if valid, else "".
 
-    ``records``: one row per exam with homepage, cutoff, acronym. ``live``: one
-    row per url with ``ok``.
+    ``records``: exam, homepage, cutoff, acronym. ``live``: urls with ``ok``.
     """
     found = records.select(F.trim("exam").alias("_exam"), _text("homepage").alias("_home"),
                            _text("cutoff").alias("_cut"), _text("acronym").alias("acronym"))
-    out = probed.join(found, F.trim("Exam") == F.col("_exam"), "left")
+    out = look_up(probed, F.trim("Exam"), found, "_exam")
     for name in ("home", "cut"):
         side = _by_url(live, name)
-        out = out.join(side, F.col(f"_{name}") == F.col(f"_{name}_url"), "left") \
+        out = look_up(out, F.col(f"_{name}"), side, f"_{name}_url") \
             .withColumn(f"_{name}_valid", F.coalesce(
                 has_http(F.col(f"_{name}"))
                 & ~is_aggregator_bare(F.col(f"_{name}"), RESEARCH_AGGREGATORS)
@@ -78,7 +78,7 @@ def choose_deep_links(existing: DataFrame, records: DataFrame, status: DataFrame
     """
     new = records.select(F.trim("exam").alias("_exam"), _text("homepage").alias("_home"),
                          _text("cutoff").alias("_cut"), _text("acronym").alias("_acr"))
-    both = existing.join(new, F.trim("exam") == F.col("_exam"), "left")
+    both = look_up(existing, F.trim("exam"), new, "_exam")
 
     def option(field: str, at: int, column: str) -> Column:
         return F.struct(F.lit(field).alias("field"), F.lit(at).alias("at"),
@@ -89,7 +89,8 @@ def choose_deep_links(existing: DataFrame, records: DataFrame, status: DataFrame
         option("cut", 0, "_cut"), option("cut", 1, "cutoff")))) \
         .filter(has_http(F.col("url"))) \
         .filter(~on_domains(bare_host(F.col("url")), DEEP_AGGREGATORS))
-    codes = status.select(F.col("url").alias("_url"), F.col("status").alias("_code"))
+    codes = unique_by(status.select(F.col("url").alias("_url"),
+                                    F.col("status").alias("_code")), ["_url"])
     good = options.join(codes, F.col("url") == F.col("_url")) \
         .filter(reachable(F.col("_code")))
     depth = F.when(F.col("field") == "cut", (~has_depth(F.col("url"))).cast("int")).otherwise(0)

@@ -219,11 +219,14 @@ def provenance(exams: DataFrame, candidates: DataFrame, pages: DataFrame,
     """
     first = candidates.filter(F.col("position") == 1) \
         .select(F.col("exam").alias("_exam"), F.col("url").alias("candidate_url"))
-    seen = pages.select(F.col("url").alias("_url"), count_tables(F.col("html")).alias("n_tables"),
-                        looks_like_cutoff(F.col("html")).alias("found"),
-                        (F.coalesce("html", F.lit("")) != "").alias("http_ok"))
-    out = exams.join(first, F.col("exam") == F.col("_exam"), "left") \
-        .join(seen, F.col("candidate_url") == F.col("_url"), "left")
+    # pages meet the chosen addresses first; only those few are looked into
+    seen = first.join(pages.select(F.col("url").alias("_url"), "html"),
+                      F.col("candidate_url") == F.col("_url")).select(
+        "_exam", count_tables(F.col("html")).alias("n_tables"),
+        looks_like_cutoff(F.col("html")).alias("found"),
+        (F.coalesce("html", F.lit("")) != "").alias("http_ok"))
+    looked = first.join(unique_by(seen, ["_exam"]), "_exam", "left")
+    out = exams.join(looked, F.col("exam") == F.col("_exam"), "left")
     none = F.lit(False)
     return out.select(
         "exam", build_query(F.col("exam"), year).alias("query"),
@@ -277,8 +280,8 @@ _PAGE_KEY = ["Exam", "SourceURL", "Institute", "Branch", "Category", "Year", "Op
              "ClosingRank", "CutoffPercentile"]
 
 
-def fill_missing(audit: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(client-shaped rows, audit with rows_extracted) for the pages found.
+def found_rows(audit: DataFrame, pages: DataFrame) -> DataFrame:
+    """Canonical rows of the pages found, the one step that parses them.
 
     A page is read only if its URL or title is about the exam; equal rows of a
     page count once.
@@ -297,12 +300,23 @@ def fill_missing(audit: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFra
         "source_competitor", "exam", "exam_slug", "page_url", "page_type", "year", "pdf_url")))
     order = ["table_index", "row_index", "slot_index"]
     rows = quality_gate(raw, ("page_url", *order)).withColumn("SourceURL", F.col("page_url"))
-    first = keep_first(rows, _PAGE_KEY, order)
-    counted = first.groupBy(F.col("Exam").alias("_exam")).agg(
-        F.count(F.lit(1)).alias("_n"))
-    log = audit.join(counted, F.col("exam") == F.col("_exam"), "left") \
+    return keep_first(rows, _PAGE_KEY, order)
+
+
+def search_log(audit: DataFrame, rows: DataFrame) -> DataFrame:
+    """The audit with the number of rows each exam gave."""
+    counted = rows.groupBy(F.col("Exam").alias("_exam")).agg(F.count(F.lit(1)).alias("_n"))
+    return audit.join(counted, F.col("exam") == F.col("_exam"), "left") \
         .withColumn("rows_extracted", F.coalesce("_n", F.lit(0))).drop("_exam", "_n")
-    return project_deliverable(first), log
+
+
+def fill_missing(audit: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(client-shaped rows, audit with rows_extracted) for the pages found.
+
+    A job that needs both writes ``found_rows`` once and derives them from it.
+    """
+    rows = found_rows(audit, pages)
+    return project_deliverable(rows), search_log(audit, rows)
 
 
 def audit_statistics(audit: DataFrame) -> DataFrame:
@@ -349,14 +363,16 @@ def union_export(layers: dict[str, DataFrame]) -> DataFrame:
     return out.select(*UNION_COLUMNS)
 
 
+# Layers by trust.
+COVERAGE_LAYERS = ["official", "aggregator", "web-research"]
+
+
 def exam_coverage(official: DataFrame, aggregator: DataFrame, web: DataFrame) -> DataFrame:
-    """(exam, layer): the most trusted layer that has the exam."""
-    def exams(df: DataFrame, column: str) -> DataFrame:
-        return df.select(F.col(column).alias("exam")).filter(F.col("exam").isNotNull()).distinct()
-
-    one = exams(official, "Exam")
-    two = exams(aggregator, "Exam Name").join(one, "exam", "left_anti")
-    three = exams(web, "Exam Name").join(one, "exam", "left_anti").join(two, "exam", "left_anti")
-    return one.withColumn("layer", F.lit("official")) \
-        .unionByName(two.withColumn("layer", F.lit("aggregator"))) \
-        .unionByName(three.withColumn("layer", F.lit("web-research")))
+    """(exam, layer): the most trusted layer that has the exam; each layer is read once."""
+    layers = [(official, "Exam"), (aggregator, "Exam Name"), (web, "Exam Name")]
+    tagged = [df.select(F.col(c).alias("exam"), F.lit(k).alias("_layer"))
+              for k, (df, c) in enumerate(layers)]
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2]) \
+        .filter(F.col("exam").isNotNull()).groupBy("exam").agg(F.min("_layer").alias("_layer")) \
+        .select("exam", F.element_at(F.array(*map(F.lit, COVERAGE_LAYERS)), F.col("_layer") + 1)
+                .alias("layer"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.functions.embedded import initial_state
@@ -103,52 +103,65 @@ def site_candidates(site: str, wanted: DataFrame, years: list[int] | None = None
                 F.col("_u.year").alias("year"), F.col("_u.url").alias("page_url"))
 
 
-def site_rows(site: str, wanted: DataFrame, pages: DataFrame,
-              years: list[int] | None = None) -> DataFrame:
-    """Raw rows of a site's stored pages for the wanted exams.
+def rows_of_sites(wanted: dict[str, DataFrame], pages: DataFrame,
+                  years: list[int] | None = None) -> DataFrame:
+    """Raw rows of the stored pages of all sites in ``wanted``; pages are read once.
 
     Site habits: one site shows the same article under two addresses, so the
     first with rows counts; another has yearly archives, looked at for a guessed
     slug only if its current page exists.
     """
-    candidates = site_candidates(site, wanted, years)
+    candidates = None
+    for name, exams in wanted.items():
+        part = site_candidates(name, exams, years).withColumn("site", F.lit(name))
+        candidates = part if candidates is None else candidates.unionByName(part)
     stored = pages.filter(F.coalesce("html", F.lit("")) != "").select("url", "html")
     hits = candidates.join(stored, candidates.page_url == stored.url)
-    if site == "collegedekho":
-        current = candidates.filter(F.col("year").isNull()) \
-            .join(stored.select("url"), F.col("page_url") == F.col("url"), "left_semi") \
-            .select("exam", "slug")
-        guessed = hits.filter(F.col("derived")).join(current, ["exam", "slug"], "left_semi")
-        hits = hits.filter(~F.col("derived")).unionByName(guessed)
-    else:
-        hits = hits.withColumn("slug", F.col("_own_slug"))
-    if site == "careers360":
-        hits = hits.withColumn("html", F.coalesce(initial_state(F.col("html"))["article"],
-                                                  F.col("html")))
+    archived, doubled = F.col("site") == "collegedekho", F.col("site") == "careers360"
+    if "collegedekho" in wanted:
+        # the few pages of one exam and slug
+        current = F.max(F.col("year").isNull()).over(Window.partitionBy("site", "exam", "slug"))
+        hits = hits.withColumn("_current", current) \
+            .filter(~archived | ~F.col("derived") | F.col("_current"))
+    hits = hits.withColumn("slug", F.when(archived, F.col("slug"))
+                           .otherwise(F.col("_own_slug")))
+    if "careers360" in wanted:
+        article = initial_state(F.when(doubled, F.col("html")))["article"]
+        hits = hits.withColumn("html", F.coalesce(article, F.col("html")))
+    kinds = F.create_map(*[F.lit(x) for name in wanted
+                           for x in (name, _PAGE_TYPE.get(name, "exam_cutoff"))])
     context = hits.select(
-        F.concat_ws("|", "exam", F.col("position").cast("string")).alias("page_id"), "url", "html",
-        F.lit(site).alias("source_competitor"), "exam", F.col("slug").alias("exam_slug"),
-        "page_url", F.lit(_PAGE_TYPE.get(site, "exam_cutoff")).alias("page_type"), "year",
-        F.get(pdf_links(F.col("html"), F.col("page_url")), F.lit(0)).alias("pdf_url"),
+        F.concat_ws("|", "site", "exam", F.col("position").cast("string")).alias("page_id"),
+        "url", "html", F.col("site").alias("source_competitor"), "exam",
+        F.col("slug").alias("exam_slug"), "page_url", kinds[F.col("site")].alias("page_type"),
+        "year", F.get(pdf_links(F.col("html"), F.col("page_url")), F.lit(0)).alias("pdf_url"),
         "position")
     rows = raw_rows(html_tables(context, keep=(
         "source_competitor", "exam", "exam_slug", "page_url", "page_type", "year", "pdf_url",
         "position")), keep=("position",))
-    if site == "careers360":
-        first = rows.groupBy("exam").agg(F.min("position").alias("_first"))
-        rows = rows.join(first, "exam").filter(F.col("position") == F.col("_first")) \
-            .drop("_first")
+    if "careers360" in wanted:
+        first = F.min("position").over(Window.partitionBy("source_competitor", "exam"))
+        rows = rows.withColumn("_first", first).filter(
+            (F.col("source_competitor") != "careers360")
+            | (F.col("position") == F.col("_first"))).drop("_first")
     return rows.drop("position")
 
 
+def site_rows(site: str, wanted: DataFrame, pages: DataFrame,
+              years: list[int] | None = None) -> DataFrame:
+    """Raw rows of one site's stored pages for the wanted exams."""
+    return rows_of_sites({site: wanted}, pages, years)
+
+
 def run_statistics(site: str, wanted: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: exams attempted, resolved to a URL, with rows, and rows."""
     tried = with_cutoff_urls(wanted, site).agg(
         F.count(F.lit(1)).alias("exams_attempted"),
         F.count_if(F.size("urls") > 0).alias("exams_url_resolved"))
-    got = rows.groupBy("exam").agg(F.count(F.lit(1)).alias("n")).agg(
+    got = rows.groupBy("exam").agg(F.count(F.lit(1)).alias("n")).agg(F.struct(
         F.count(F.lit(1)).alias("exams_with_rows"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
-    return tried.select(F.lit(site).alias("competitor"), "*",
-                        got.select("exams_with_rows").scalar().alias("exams_with_rows"),
-                        got.select("rows").scalar().alias("rows"))
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).alias("got"))
+    # each side is one row
+    return tried.withColumn("got", got.scalar()).select(
+        F.lit(site).alias("competitor"), "exams_attempted", "exams_url_resolved",
+        "got.exams_with_rows", "got.rows")
