@@ -63,10 +63,6 @@ def conform(df: DataFrame, schema: StructType, keep: Iterable[str] = ()) -> Data
     return df.select(*out, *[F.col(k) for k in keep])
 
 
-def raw_frame(df: DataFrame) -> DataFrame:
-    return conform(df, RAW)
-
-
 def dedouble_rows(df: DataFrame, check: Iterable[str]) -> DataFrame:
     """Clean every text cell of the rows whose ``check`` cells are glyph-doubled.
 

@@ -70,6 +70,22 @@ def choose_links(probed: DataFrame, records: DataFrame, live: DataFrame) -> Data
         F.coalesce("acronym", F.lit("")).alias("acronym"))
 
 
+def link_counters(probed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: exams, links kept as they were, links taken from research, left blank."""
+    old = probed.groupBy(F.col("Exam").alias("_exam")).agg(
+        F.max(F.struct("home_show", "cutoff_show")).alias("_shown"))
+    both = chosen.join(old, F.col("exam") == F.col("_exam"), "left")
+
+    def counts(name: str, shown: str) -> list[Column]:
+        kept = F.coalesce(F.col(f"_shown.{shown}"), F.lit(False))
+        given = F.coalesce(F.col(name), F.lit("")) != ""
+        return [F.count_if(kept & given).alias(f"{name}_kept"),
+                F.count_if(~kept & given).alias(f"{name}_found"),
+                F.count_if(~given).alias(f"{name}_blank")]
+    return both.agg(F.count(F.lit(1)).alias("exams"), *counts("homepage", "home_show"),
+                    *counts("cutoff", "cutoff_show"))
+
+
 def choose_deep_links(existing: DataFrame, records: DataFrame, status: DataFrame) -> DataFrame:
     """Best link per exam after a deeper search.
 

@@ -110,10 +110,19 @@ def side_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     year = F.col("Year - cutoff").try_cast("double")
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.count("Closing Rank").alias("with_closing"),
+        *([F.count("Cutoff Percentile/Score").alias("with_percentile")]
+          if "Cutoff Percentile/Score" in rows.columns else []),
         F.min(year).cast("bigint").alias("first_year"),
         F.max(year).cast("bigint").alias("last_year"))
 
 
+def layer_statistics(rows: DataFrame) -> DataFrame:
+    """One row about a side table: rows, exams, colleges."""
+    return rows.agg(F.count(F.lit(1)).alias("rows"),
+                    F.count_distinct("Exam Name").alias("exams"),
+                    F.count_distinct("College Name").alias("colleges"))
+
+
 # --- web research -------------------------------------------------------------
 # Row fields of a research batch.
 _WEB_FIELDS = [c for c in WEB_COLUMNS if c not in ("Exam Name", "Link of website", "Fidelity")]

@@ -77,16 +77,6 @@ WEB_COLUMNS = [
 UNION_COLUMNS = ["Source", "Fidelity", "Provenance Note",
                  *[c for c in WEB_COLUMNS if c != "Fidelity"]]
 
-# Audit trail of the search for exams without a link.
-PROVENANCE_COLUMNS = ["exam", "query", "candidate_url", "http_ok", "n_tables",
-                      "found", "note", "generated_at", "rows_extracted"]
-
-PROBE_COLUMNS = ["exam", "url", "host", "status", "ctype", "bucket", "n_tables",
-                 "rank_headers", "text_len", "n_scripts", "err"]
-LINK_PROBE_COLUMNS = ["Exam", "Body", "Homepage", "home_kind", "home_show",
-                      "CutoffURL", "cutoff_kind", "cutoff_show"]
-FETCH_LOG_COLUMNS = ["exam", "url", "bucket", "fetcher", "rows", "status", "note"]
-
 
 def _struct(columns: list[str], types: dict) -> StructType:
     return StructType([StructField(c, types.get(c, StringType())) for c in columns])

@@ -17,8 +17,9 @@ from rankloom.operators import dedup, grids
 from rankloom.operators.conform import dedouble_rows, normalize
 from rankloom.operators.htmltables import html_tables
 from rankloom.operators.mapping import map_tables, national_grid, portal_report
+from rankloom.plans.bulk import routed_parse
 from rankloom.plans.query import round_ends
-from rankloom.schema import GRID, LINES, TABLES, WORDS, empty_canonical
+from rankloom.schema import CANON, GRID, LINES, TABLES, WORDS, empty_canonical
 from rankloom.sources.files import path_exists, read_canonical, read_snapshot
 from rankloom.sources.registry import SourceMeta, SourceRegistry, SourceSpec
 
@@ -199,8 +200,18 @@ def document_rows(body: Body, spark: SparkSession, base: str) -> DataFrame:
 
 def register_bodies(registry: SourceRegistry, snapshot_dir: str,
                     documents_dir: str | None = None,
-                    bulk_path: str | None = None) -> SourceRegistry:
-    """Register every body, and the bulk official-link source as opt-in."""
+                    bulk_path: str | None = None, bulk_pages: str | None = None,
+                    bulk_probe: str | None = None) -> SourceRegistry:
+    """Register every body, and the bulk official-link source as opt-in.
+
+    The bulk source's refresh reads stored responses (``bulk_pages``: Parquet as
+    ``parse_stored`` takes it) by the reader that the probe's bucket asks for
+    (``bulk_probe``: Parquet of url, bucket).
+    """
+    def bulk_latest(spark: SparkSession) -> DataFrame:
+        pages, probe = spark.read.parquet(bulk_pages), spark.read.parquet(bulk_probe)
+        return routed_parse(pages, probe).select(*CANON.names)
+
     for body in BODIES:
         registry.register(SourceSpec(
             body.meta, _cached(body, snapshot_dir),
@@ -209,7 +220,8 @@ def register_bodies(registry: SourceRegistry, snapshot_dir: str,
         SourceMeta("bulk_official", "(various official links)", "UG", data_format="mixed",
                    optin=True),
         lambda spark: read_canonical(spark, bulk_path) if bulk_path
-        else empty_canonical(spark)))
+        else empty_canonical(spark),
+        bulk_latest if bulk_pages and bulk_probe else None))
     return registry
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 Loader = Callable[[SparkSession], DataFrame]
@@ -34,11 +36,14 @@ class SourceSpec:
     latest: Loader | None = None
 
     def load(self, spark: SparkSession, mode: str = "cached") -> DataFrame:
-        """Rows of the asked mode; an empty refresh falls back to the snapshot."""
+        """Rows of the asked mode; a refresh that is empty or fails gives the snapshot."""
         if mode == "latest" and self.latest is not None:
-            fresh = self.latest(spark)
-            if not fresh.isEmpty():
-                return fresh
+            try:
+                fresh = self.latest(spark)
+                if not fresh.isEmpty():
+                    return fresh
+            except PySparkException as exc:
+                warnings.warn(f"refresh of {self.meta.name} failed: {exc}", stacklevel=2)
         return self.cached(spark)
 
 

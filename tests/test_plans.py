@@ -252,6 +252,52 @@ def test_jobs(spark, tmp_path):
         == [("Vet Exam", "9", "http://h")]
 
 
+def test_catalog_links_and_report_jobs(spark, tmp_path):
+    parse = jobs.parser().parse_args
+    out = str(tmp_path / "out")
+    (tmp_path / "u.csv").write_text("Exam,Homepage,CutoffURL\nABC Exam,http://a.in/,http://a.in/c\n"
+                                    "Other Exam,,\n")
+    (tmp_path / "p.csv").write_text("url,bucket\nhttp://a.in/c,html_table_rank\n"
+                                    "http://a.in/c,pdf\n")
+    args = parse(["catalog", "--out", out, "--universe", str(tmp_path / "u.csv"), "--probe",
+                  str(tmp_path / "p.csv")])
+    assert args.run(spark, args)["exams"] == 2
+    spark.createDataFrame([("http://a.in/", True), ("http://a.in/", True), ("http://a.in/c", False)],
+                          "url string, ok boolean").write.parquet(f"{out}/status")
+    spark.createDataFrame([("ABC Exam", "", "http://b.in/x", "ABC"), ("ABC Exam", "", "", "ABC")],
+                          "exam string, homepage string, cutoff string, acronym string") \
+        .write.parquet(f"{out}/records")
+    spark.createDataFrame([("http://b.in/x", True)], "url string, ok boolean") \
+        .write.parquet(f"{out}/live")
+    args = parse(["links", "--out", out, "--catalog", f"{out}/catalog", "--status",
+                  f"{out}/status", "--records", f"{out}/records", "--live", f"{out}/live"])
+    counts = args.run(spark, args)
+    assert (counts["exams"], counts["homepage_kept"], counts["cutoff_found"],
+            counts["cutoff_blank"]) == (2, 1, 1, 1)
+    html = "<table><tr><th>College</th><th>Closing Rank</th></tr><tr><td>A</td><td>9</td></table>"
+    spark.createDataFrame([("1", "http://a.in/c", html, "html", "ABC Exam", "B", "UG", "Goa", "w")],
+                          "page_id string, url string, html string, kind string, exam string, "
+                          "body string, level string, state string, website string") \
+        .write.parquet(f"{out}/pages")
+    args = parse(["harvest", "--out", out, "--pages", f"{out}/pages"])
+    assert args.run(spark, args) == {"sources": 1, "rows": 1}
+    args = parse(["union", "--out", out, "--web", f"{out}/web_cutoffs"])
+    spark.createDataFrame([("E", "C", "2024", "7")], '`Exam Name` string, `College Name` string, '
+                          '`Year - cutoff` string, `Closing Rank` string') \
+        .write.parquet(f"{out}/web_cutoffs")
+    assert args.run(spark, args)["layers"] == ["web"]
+    assert spark.read.csv(f"{out}/all_cutoffs", header=True).count() == 1
+
+
+def test_failing_refresh_gives_the_snapshot(spark):
+    def broken(spark):
+        return spark.range(1).filter("assert_true(id < 0) is null")
+    kept = spark.range(3)
+    spec = SourceSpec(SourceMeta("x", "X", "UG"), lambda _: kept, broken)
+    with pytest.warns(UserWarning, match="refresh of x failed"):
+        assert spec.load(spark, "latest").count() == 3
+
+
 def test_stream_appends(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(SNAPSHOT)
