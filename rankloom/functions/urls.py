@@ -13,16 +13,17 @@ _AFTER_NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
 
 # Third-party sites whose link never counts as official.
 AGGREGATORS = ["shiksha.com", "collegedekho.com", "careers360.com", "collegedunia.com"]
-LINK_AGGREGATORS = [
+STUDY_PORTALS = [
     "shiksha.com", "careers360.com", "collegedekho.com", "getmyuni.com",
     "entrancezone.com", "collegepravesh.com", "collegeforme.in", "collegedunia.com",
     "embibe.com", "mbauniverse.com", "collegesearch.in", "successcds.net",
     "aglasem.com", "jagranjosh.com", "careerindia.com", "competishun.com",
     "vedantu.com", "byjus.com", "testbook.com", "oswaalbooks.com", "adda247.com",
-    "catestseries.org", "aspirantmitraa.com", "finance.careers360.com",
+    "catestseries.org", "aspirantmitraa.com",
 ]
+LINK_AGGREGATORS = [*STUDY_PORTALS, "finance.careers360.com"]
 RESEARCH_AGGREGATORS = [
-    *LINK_AGGREGATORS[:-1], "youtube.com", "facebook.com", "wikipedia.org", "quora.com"]
+    *STUDY_PORTALS, "youtube.com", "facebook.com", "wikipedia.org", "quora.com"]
 DEEP_AGGREGATORS = [*RESEARCH_AGGREGATORS, "instagram.com", "linkedin.com"]
 # Answers of an anti-bot wall; a person still reaches the page.
 BOT_WALL = [401, 403, 406, 409, 429, 451, 503]
