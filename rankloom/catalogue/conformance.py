@@ -16,7 +16,8 @@ from rankloom.operators.conform import dedouble_rows as repair_rows
 from rankloom.operators.conform import deliverable, enrich, normalize
 from rankloom.operators.dedup import keep_first, keep_last
 from rankloom.plans.ingest import combine, scale_years
-from rankloom.schema import CANON_COLUMNS, deliverable_columns
+from rankloom.schema import CANON_COLUMNS, SNAPSHOT_COLUMNS, deliverable_columns
+from rankloom.sources.bodies import BODIES, Body, snapshot_rows
 from rankloom.sources.registry import SourceMeta, SourceRegistry, SourceSpec
 
 _KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -295,3 +296,56 @@ def snapshot_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = canonical_of(star(spark, sf_dir), *_KEY)
     years = scale_years(rows, {2024: 1.0, 2023: 0.5, 2022: 1.25}, ["OpeningRank", "ClosingRank"])
     return years.select(*_KEY, "Year", "OpeningRank", "ClosingRank")
+
+
+# --- the registered bodies -----------------------------------------------------
+# Snapshot columns of line items; each body gets the orders of its number.
+_SNAPSHOT = {
+    "Body": "'x'", "Exam": "'E'", "Level": "'UG'", "State": "'S'",
+    "Year": "if(l_linenumber = 2, '', '2024')", "Round": "cast(l_linenumber as string)",
+    "Institute": "concat(' College ', l_suppkey % 10)", "Branch": "concat('Branch ', l_partkey % 7)",
+    "Category": "if(l_linenumber = 1, 'NA', 'OPEN')", "Quota": "l_returnflag",
+    "Gender": "l_linestatus", "OpeningRank": "''", "ClosingRank": "concat(cast(l_quantity as int), '.0')",
+}
+_LINES_SQL = """
+  SELECT l_orderkey % 19 AS k, CASE WHEN l_linenumber <> 2 THEN 2024 END AS "Year",
+    CAST(l_linenumber AS VARCHAR) AS "Round", 'College ' || l_suppkey % 10 AS "Institute",
+    'Branch ' || l_partkey % 7 AS "Branch", CASE WHEN l_linenumber <> 1 THEN 'OPEN' END AS "Category",
+    l_returnflag AS "Quota", l_linestatus AS "Gender", 'x' AS "Program",
+    CAST(NULL AS BIGINT) AS "OpeningRank", CAST(l_quantity AS BIGINT) AS "ClosingRank"
+  FROM lineitem"""
+
+
+def _body_sql(number: int, body: Body) -> str:
+    """Rows a body's snapshot must give: distinct on its key, repairs applied."""
+    name = body.meta.name
+    rows = f"(SELECT * FROM lines WHERE k = {number})" if not body.key else \
+        "(SELECT DISTINCT {} FROM lines WHERE k = {})".format(
+            ", ".join(f'"{c}"' for c in body.key if c != "Program"), number)
+    named = name in ("rajpoly", "keralavet", "icar", "bihareng")
+    filled = name == "biharpoly"
+    unspecified = 'count_if("Category" IS NULL)' if named else "0"
+    label = f"'{body.meta.body_label}'" if named or filled else "'x'"
+    return f"""SELECT '{name}' AS source, {label} AS body, count(*) AS n,
+      CAST(sum("ClosingRank") AS BIGINT) AS closing,
+      {unspecified} AS unspecified, {'count_if("Year" IS NULL)' if filled else "0"} AS filled_years
+      FROM {rows}"""
+
+
+@query("source_snapshots", f"WITH lines AS ({_LINES_SQL})\n" + "\nUNION ALL ".join(
+    _body_sql(i, b) for i, b in enumerate(BODIES)))
+def source_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every registered body's snapshot: repairs, labels, keep-first."""
+    lines = table(spark, sf_dir, "lineitem")
+    out = None
+    for i, body in enumerate(BODIES):
+        raw = lines.filter(F.col("l_orderkey") % 19 == i).selectExpr(
+            *[f"{_SNAPSHOT.get(c, "''")} as {c}" for c in SNAPSHOT_COLUMNS]) \
+            .select([F.when(~F.col(c).isin("", "NA"), F.col(c)).alias(c) for c in SNAPSHOT_COLUMNS])
+        rows = snapshot_rows(body, raw).agg(
+            F.lit(body.meta.name).alias("source"), F.max("Body").alias("body"),
+            F.count(F.lit(1)).alias("n"), F.sum("ClosingRank").alias("closing"),
+            F.count_if(F.col("Category") == "Unspecified").cast("int").alias("unspecified"),
+            F.count_if(F.col("Year") == 2025).cast("int").alias("filled_years"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
