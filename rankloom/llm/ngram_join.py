@@ -18,18 +18,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.components import connected_components
 from rankloom.llm.groups import block_pairs, merge_labels, walk_groups
 from rankloom.llm.tables import prepare, stored, texts_of
-from rankloom.llm.words import blocks, mix64, read_block, window_hashes, word_hashes
+from rankloom.llm.words import blocks, read_block, window_hashes, word_hashes
 
 SIZE = 5
 PERCENT = 75
 # Characters of text per hash range: bounds the n-grams that one group holds.
-RANGE_CHARS = 1_000_000
+RANGE_CHARS = 4_000_000
 # N-grams packed together by a task before they are sent.
 CHUNK = 1_500_000
 # An n-gram in so many classes of one chunk is sent apart, so that no range is hot.
@@ -38,10 +39,17 @@ HOT_FREQUENCY = 1 << 40
 # Classes per block of a candidate group.
 BLOCK = 2048
 
-_PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("sigs", pa.binary()),
-                     ("counts", pa.binary()), ("grams", pa.binary())])
-_FACTS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("y", pa.int64()),
-                    ("z", pa.int64())])
+# Rows between the two halves of the first pass. kind 0: n-grams of one hash range with
+# the place of their class in the chunk; kind 1: facts on documents; kind 2: hot n-grams
+# with their classes; kind 3: hot n-grams alone, told to their range.
+_PACKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()),
+                     ("places", pa.binary()), ("grams", pa.binary())])
+_FACTS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
+                    ("c", pa.int64()), ("d", pa.int64())])
+# Classes per chunk: their places are 16-bit numbers. n-grams travel as 6 bytes, the
+# range standing for the rest.
+_PLACES = 1 << 16
+_BYTES = 6
 
 
 def gram_sets(texts: list[bytes], size: int = SIZE) -> Iterator[np.ndarray]:
@@ -60,140 +68,152 @@ def _signature(grams: np.ndarray) -> int:
                           signed=True)
 
 
-def _packed(part, kind, sigs, counts, grams) -> pa.RecordBatch:
-    """Packed n-grams, one row per run of equal ``part``; ``counts`` are per entry of sigs."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array(part, pa.int32()), pa.array(kind, pa.int32()),
-         *[pa.array([a.tobytes() for a in x], pa.binary()) for x in (sigs, counts, grams)]],
-        schema=_PACKED)
+def _low_bits(parts: int) -> int:
+    """Bits of an n-gram's hash that are kept beside its range, 63 together at most."""
+    return min(8 * _BYTES, 63 - parts.bit_length())
 
 
-def _pack(sets: dict[int, np.ndarray], parts: int) -> pa.RecordBatch:
+def _rows(rows: list[tuple[int, int, int, bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PACKED)],
+                                      schema=_PACKED)
+
+
+def _short(grams: np.ndarray) -> bytes:
+    return grams.view(np.uint8).reshape(-1, 8)[:, :_BYTES].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // _BYTES, 8), np.uint8)
+    out[:, :_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _BYTES)
+    return out.view(np.uint64).reshape(-1)
+
+
+def _pack(sets: list[np.ndarray], chunk: int, parts: int) -> pa.RecordBatch:
     """The n-grams of a chunk of classes, by hash range; hot ones apart."""
-    sigs = np.array(list(sets), dtype=np.int64)
-    sizes = np.array([len(s) for s in sets.values()], dtype=np.int64)
-    grams = np.concatenate(list(sets.values()))
-    owner = np.repeat(np.arange(len(sigs)), sizes)
+    owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+    grams = np.concatenate(sets)
+    low = _low_bits(parts)
+    part = ((grams >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)
+    grams = grams & np.uint64((1 << low) - 1)
     rows: list[tuple] = []
-    if len(sigs) >= HOT:
-        order = np.sort(grams)
+    if len(sets) >= HOT:
+        whole = (part << np.uint64(low)) | grams
+        order = np.sort(whole)
         hot = np.unique(order[HOT - 1:][order[HOT - 1:] == order[:len(order) - HOT + 1]])
         if len(hot):
-            is_hot = np.isin(grams, hot)
-            o, g = owner[is_hot], grams[is_hot]
-            at, n = np.unique(o, return_counts=True)
-            rows.append((int(mix64(g[:1])[0] % np.uint64(parts)), 2, sigs[at],
-                         n.astype(np.uint32), g))
-            # one ownerless entry tells the n-gram's range that it is hot
-            owner = np.concatenate([owner[~is_hot], np.full(len(hot), len(sigs))])
-            grams = np.concatenate([grams[~is_hot], hot])
-            sigs = np.append(sigs, 0)
-    part = (((grams >> np.uint64(40)) * np.uint64(parts)) >> np.uint64(24)).astype(
-        np.uint16 if parts <= 1 << 16 else np.uint32)
-    order = np.argsort(part, kind="stable")
+            apart = np.isin(whole, hot)
+            rows.append((chunk % parts, 2, chunk, owner[apart].tobytes(),
+                         whole[apart].tobytes()))
+            for r in np.unique(hot >> np.uint64(low)):
+                mine = hot[hot >> np.uint64(low) == r] & np.uint64((1 << low) - 1)
+                rows.append((int(r), 3, chunk, b"", _short(mine)))
+            owner, grams, part = owner[~apart], grams[~apart], part[~apart]
+    order = np.argsort(part.astype(np.uint16 if parts <= 1 << 16 else np.uint32),
+                       kind="stable")
     part, owner, grams = part[order], owner[order], grams[order]
-    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
-    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        o = owner[low:high]
-        edge = np.flatnonzero(np.append(True, o[1:] != o[:-1]))
-        rows.append((int(part[low]), 0, sigs[o[edge]],
-                     np.diff(np.append(edge, len(o))).astype(np.uint32)
-                     | (np.uint32(1 << 31) * (o[edge] == len(sigs) - 1) if len(sigs) > len(sets)
-                        else np.uint32(0)), grams[low:high]))
-    return _packed(*map(list, zip(*rows)))
+    cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) \
+        if len(part) else np.zeros(1, int)
+    rows += [(int(part[a]), 0, chunk, owner[a:z].tobytes(), _short(grams[a:z]))
+             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return _rows(rows)
 
 
-def _facts(kind: int, x, y, z) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(x), kind, np.int32)), *[pa.array(np.asarray(v, np.int64))
-                                                      for v in (x, y, z)]], schema=_FACTS)
+def _facts(kind: int, *columns) -> pa.RecordBatch:
+    number = len(columns[0])
+    full = [np.asarray(c, np.int64) for c in columns] + [np.zeros(number, np.int64)] * (
+        4 - len(columns))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(number, kind, np.int32)),
+                                       *map(pa.array, full)], schema=_FACTS)
 
 
-def _shared(table: pa.Table) -> pa.RecordBatch | None:
+def _shared(table: pa.Table, low: int) -> pa.RecordBatch | None:
     """Facts of one hash range.
 
-    kind 0: (class, n-gram, frequency) for n-grams of two classes or more;
-    kind 1: (document, class, size) passed on.
+    kind 0: (owner, n-gram, frequency) for n-grams of two owners or more;
+    kind 1: (document, class, size, owner) passed on.
     """
     out: list[pa.RecordBatch] = []
-    all_sigs, all_grams, all_marks = [], [], []
+    owners, grams, hot = [], [], [np.zeros(0, np.uint64)]
     for row in table.to_pylist():
-        sigs = np.frombuffer(row["sigs"], np.int64)
-        if row["kind"] == 1:
-            ids, sizes = (np.frombuffer(row[c], np.int64) for c in ("grams", "counts"))
-            out.append(_facts(1, ids, sigs, sizes))
-            continue
-        counts = np.frombuffer(row["counts"], np.uint32)
-        mark = (counts >> 31).astype(bool)
-        counts = (counts & np.uint32(0x7FFFFFFF)).astype(np.int64)
-        grams = np.frombuffer(row["grams"], np.uint64)
-        if row["kind"] == 2:
-            out.append(_facts(0, np.repeat(sigs, counts), grams.view(np.int64),
-                              np.full(len(grams), HOT_FREQUENCY)))
-            continue
-        all_sigs.append(np.repeat(sigs, counts))
-        all_marks.append(np.repeat(mark, counts))
-        all_grams.append(grams)
-    if all_grams:
-        sigs, grams, marks = map(np.concatenate, (all_sigs, all_grams, all_marks))
-        order = np.argsort(grams)
-        g = grams[order]
+        kind, chunk = row["kind"], row["chunk"]
+        if kind == 1:
+            out.append(_facts(1, np.frombuffer(row["places"], np.int64),
+                              *np.frombuffer(row["grams"], np.int64).reshape(3, -1)))
+        elif kind == 2:
+            places = np.frombuffer(row["places"], np.uint16)
+            out.append(_facts(0, places.astype(np.int64) + chunk,
+                              np.frombuffer(row["grams"], np.int64),
+                              np.full(len(places), HOT_FREQUENCY)))
+        elif kind == 3:
+            hot.append(_long(row["grams"]))
+        else:
+            owners.append(np.frombuffer(row["places"], np.uint16).astype(np.int64) + chunk)
+            grams.append(_long(row["grams"]))
+    if grams:
+        owner, gram, hot = np.concatenate(owners), np.concatenate(grams), np.concatenate(hot)
+        order = np.argsort(gram)
+        g = gram[order]
         same = np.append(False, g[1:] == g[:-1])
-        keep = order[same | np.append(same[1:], False)]
-        if len(keep):
-            s, g, m = sigs[keep], grams[keep], marks[keep]
-            order = np.lexsort((s, m, g))
-            s, g, m = s[order], g[order], m[order]
-            first = np.append(True, (s[1:] != s[:-1]) | (g[1:] != g[:-1]) | (m[1:] != m[:-1]))
-            s, g, m = s[first], g[first], m[first]
+        often = same | np.append(same[1:], False)
+        if len(hot):
+            often |= np.isin(g, hot)
+        g, owner = g[often], owner[order[often]]
+        if len(g):
             start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             length = np.diff(np.append(start, len(g)))
-            hot = np.logical_or.reduceat(m, start)
-            frequency = np.repeat(np.where(hot, HOT_FREQUENCY, length), length)
-            at = (frequency > 1) & ~m
-            out.append(_facts(0, s[at], g[at].view(np.int64), frequency[at]))
-    if not out:
-        return None
-    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] \
-        if sum(b.num_rows for b in out) else None
+            frequency = np.repeat(np.where(np.isin(g[start], hot), HOT_FREQUENCY, length), length)
+            g = g | np.uint64(table.column("part")[0].as_py() << low)
+            order = np.argsort(owner, kind="stable")
+            out.append(_facts(0, owner[order], g[order].view(np.int64), frequency[order]))
+    out = [b for b in out if b.num_rows]
+    return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
 
 def shared_grams(docs: DataFrame, size: int, range_chars: int) -> tuple[DataFrame, DataFrame]:
-    """``postings`` (sig, gram, frequency) and ``members`` (doc_id, sig, n), from one pass."""
+    """``postings`` (owner, gram, frequency) and ``members`` (doc_id, sig, n, owner).
+
+    One pass over the texts. An owner is a class as one chunk of a task saw it;
+    owners of one class in several chunks hold the same n-grams.
+    """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(min(max(64, chars // range_chars), 1 << 22))
+    low = _low_bits(parts)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[int, np.ndarray] = {}
+        chunk = TaskContext.get().partitionId() << 36
+        sets: list[np.ndarray] = []
+        places: dict[int, int] = {}
         held = 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            known = ~np.asarray(batch.column(0).is_null())
             texts = texts_of(batch.column(1))
-            sigs, sizes = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            sigs, sizes, owners = (np.zeros(len(texts), np.int64) for _ in range(3))
             for i, grams in enumerate(gram_sets(texts, size)):
-                sigs[i], sizes[i] = _signature(grams), len(grams)
-                if len(grams) and sets.get(sigs[i]) is None:
-                    sets[int(sigs[i])] = grams
+                sig = _signature(grams)
+                if len(grams) and sig not in places:
+                    places[sig] = len(sets)
+                    sets.append(grams)
                     held += len(grams)
-                if held >= CHUNK:
-                    yield _pack(sets, parts)
-                    sets, held = {}, 0
+                sigs[i], sizes[i], owners[i] = sig, len(grams), chunk + places.get(sig, 0)
+                if held >= CHUNK or len(sets) == _PLACES:
+                    yield _pack(sets, chunk, parts)
+                    chunk, sets, places, held = chunk + _PLACES, [], {}, 0
+            known = ~np.asarray(batch.column(0).is_null())
             if known.any():
-                ids = np.asarray(ids[known], dtype=np.int64)
-                spread = int(mix64(ids[:1].astype(np.uint64))[0] % np.uint64(parts))
-                yield _packed([spread], [1], [sigs[known]], [sizes[known]], [ids])
+                ids = np.array([i for i in batch.column(0).to_pylist() if i is not None], np.int64)
+                facts = np.stack([sigs[known], sizes[known], owners[known]])
+                yield _rows([(int(ids[0] % parts), 1, chunk, ids.tobytes(), facts.tobytes())])
         if sets:
-            yield _pack(sets, parts)
+            yield _pack(sets, chunk, parts)
 
     packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        pack, "part int, kind int, sigs binary, counts binary, grams binary")
-    facts = stored(walk_groups(packed, ["part"], "kind int, x long, y long, z long", _shared),
-                   "kind")
+        pack, "part int, kind int, chunk long, places binary, grams binary")
+    facts = stored(walk_groups(packed, ["part"], "kind int, a long, b long, c long, d long",
+                               lambda table: _shared(table, low)), "kind")
     postings = facts.where("kind = 0").select(
-        F.col("x").alias("sig"), F.col("y").alias("gram"), F.col("z").alias("frequency"))
+        F.col("a").alias("owner"), F.col("b").alias("gram"), F.col("c").alias("frequency"))
     members = facts.where("kind = 1").select(
-        F.col("x").alias("doc_id"), F.col("y").alias("sig"), F.col("z").alias("n"))
+        F.col("a").alias("doc_id"), F.col("b").alias("sig"), F.col("c").alias("n"),
+        F.col("d").alias("owner"))
     return postings, members
 
 
@@ -353,13 +373,13 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block: int
     prepare(docs.sparkSession)
     postings, members = shared_grams(docs, size, range_chars)
     classes = members.where("n > 0").groupBy("sig").agg(
-        F.first("n").alias("n"), F.min("doc_id").alias("rep"),
+        F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.min("owner").alias("owner"),
         F.count(F.lit(1)).alias("copies"))
-    lists = postings.groupBy("sig").agg(
+    lists = postings.groupBy("owner").agg(
         F.sort_array(F.collect_set(F.struct("frequency", "gram"))).alias("grams"))
     # rarest first; n-grams of no other class come before all of these
     prefix = F.size("grams") - F.ceil(F.col("n") * percent / F.lit(100)).cast("int") + 1
-    sets = stored(lists.join(classes, "sig").withColumn("prefix", prefix).where("prefix > 0"))
+    sets = stored(lists.join(classes, "owner").withColumn("prefix", prefix).where("prefix > 0"))
 
     keys = sets.select("sig", F.explode(F.slice("grams", 1, F.col("prefix"))).alias("g")) \
         .select("sig", F.col("g.gram").alias("gram"))
