@@ -23,6 +23,7 @@ HEADLINE = [
     "yoy_trend", "latest_year", "round_ends", "keep_first", "distinct_union", "deliverable",
     "fetch_outcomes", "segment", "catalog_build", "web_fold", "page_buckets",
     "document_text", "enrich", "wide_melt",
+    "html_to_canonical", "harvest", "site_rows", "headed_matrix",
 ]
 
 

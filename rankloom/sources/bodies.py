@@ -122,9 +122,11 @@ _ORDER = [*grids.ORDER, "slot"]
 def snapshot_rows(body: Body, raw: DataFrame) -> DataFrame:
     """A body's snapshot as canonical rows, its repairs and keep-first applied.
 
-    A snapshot is one file; its row position is the order for keep-first.
+    ``raw`` as read from one file, or with its own ``_seq`` column: the order
+    that keep-first follows.
     """
-    raw = raw.withColumn("_seq", F.monotonically_increasing_id())
+    if "_seq" not in raw.columns:
+        raw = raw.withColumn("_seq", F.monotonically_increasing_id())
     if body.meta.name == "rajpoly":
         raw = dedouble_rows(raw, ("Institute", "Branch", "Category", "Gender"))
     rows = normalize(raw, ("_seq",))
@@ -229,7 +231,8 @@ def _cached(body: Body, snapshot_dir: str) -> Callable[[SparkSession], DataFrame
     def load(spark: SparkSession) -> DataFrame:
         for name in (body.snapshot, body.snapshot.removesuffix(".gz")):
             if path_exists(spark, f"{snapshot_dir}/{name}"):
-                return snapshot_rows(body, read_snapshot(spark, f"{snapshot_dir}/{name}"))
+                return snapshot_rows(body, read_snapshot(spark, f"{snapshot_dir}/{name}",
+                                                         ordered=True))
         return empty_canonical(spark)
     return load
 

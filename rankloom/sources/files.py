@@ -32,17 +32,37 @@ def text_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
-def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Header CSV as text. Quoted line breaks and doubled quotes are honoured."""
-    return spark.read.csv(path, schema=text_schema(columns), header=True, multiLine=True,
+def read_text_csv(spark: SparkSession, path: str, columns: list[str],
+                  multi_line: bool = True) -> DataFrame:
+    """Header CSV as text. Doubled quotes are honoured.
+
+    With ``multi_line`` quoted line breaks are too, and a file is one task;
+    without it Spark splits large files.
+    """
+    return spark.read.csv(path, schema=text_schema(columns), header=True, multiLine=multi_line,
                           quote='"', escape='"', enforceSchema=False, encoding="UTF-8")
 
 
-def read_snapshot(spark: SparkSession, path: str,
-                  columns: list[str] = SNAPSHOT_COLUMNS) -> DataFrame:
-    """Bundled snapshot (plain or gzip): all text, missing tokens to null."""
-    df = read_text_csv(spark, path, columns)
-    return df.select([F.when(~F.col(c).isin(NA_TOKENS), F.col(c)).alias(c) for c in columns])
+def reading_order(df: DataFrame, name: str = "_seq") -> DataFrame:
+    """Position of a row of a file scan: file, block in the file, place in the block."""
+    return df.withColumn(name, F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row")))
+
+
+def read_snapshot(spark: SparkSession, path: str, columns: list[str] = SNAPSHOT_COLUMNS,
+                  multi_line: bool = False, ordered: bool = False) -> DataFrame:
+    """Snapshot (plain or gzip): all text, missing tokens to null, split where plain.
+
+    ``multi_line`` is for snapshots with line breaks inside quotes; ``ordered``
+    adds the rows' position as ``_seq``.
+    """
+    df = read_text_csv(spark, path, columns, multi_line)
+    if ordered:
+        df = reading_order(df)
+    return df.select([F.when(~F.col(c).isin(NA_TOKENS), F.col(c)).alias(c) for c in columns]
+                     + (["_seq"] if ordered else []))
 
 
 def read_sheet(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -77,12 +97,15 @@ def read_exam_sheets(spark: SparkSession, universe: str, links: str,
                      ) -> tuple[DataFrame, DataFrame]:
     """The exam universe, and the links sheet with its last row per exam."""
     rows = read_sheet(spark, universe, UNIVERSE_COLUMNS)
-    sheet = read_sheet(spark, links, LINK_SHEET_COLUMNS)
-    return rows, last_by_key(sheet.filter(F.col("Exam") != ""), "Exam")
+    if not path_exists(spark, links):
+        return rows, read_sheet(spark, links, LINK_SHEET_COLUMNS)
+    sheet = reading_order(read_text_csv(spark, links, LINK_SHEET_COLUMNS)).select(
+        *[strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in LINK_SHEET_COLUMNS], "_seq")
+    return rows, keep_last(sheet.filter(F.col("Exam") != ""), ["Exam"], ["_seq"]).drop("_seq")
 
 
 def last_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Last row per key in reading order (a small sheet is one file)."""
+    """Last row per key of a frame without positions, in the order Spark reads it."""
     ordered = df.withColumn("_seq", F.monotonically_increasing_id())
     return keep_last(ordered, [key], ["_seq"]).drop("_seq")
 
