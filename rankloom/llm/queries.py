@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.llm import (embedding_dedup, lang_id, line_dedup, mixing, ngram_join,
@@ -21,11 +21,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(modulus: int, remainder: int) -> Column:
+    """A row without doc_id is neither learnt from nor held out."""
+    return F.coalesce(crc_slot("doc_id", modulus) == remainder, F.lit(False)).alias("held_out")
+
+
 @query("op1_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     found = lang_id.identify(docs, crc_slot("doc_id", 3) != 1, ["doc_id"])
-    return found.select("doc_id", (crc_slot("doc_id", 3) == 1).alias("held_out"),
+    return found.select("doc_id", _held_out(3, 1),
                         "lang_pred", "score", "rejected")
 
 
@@ -69,7 +74,7 @@ def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality_rff.score(docs, table(spark, sf_dir, "labels"), crc_slot("doc_id", 4) != 2)
-    return scored.select("doc_id", (crc_slot("doc_id", 4) == 2).alias("held_out"), "score",
+    return scored.select("doc_id", _held_out(4, 2), "score",
                          "predicted")
 
 
