@@ -24,7 +24,7 @@ _CUTOFF = """CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'ask the office'
 _HOME = "CASE c_custkey % 3 WHEN 0 THEN 'no site' ELSE 'http://h.org/' || c_custkey END"
 _EXAM = "CASE WHEN c_mktsegment = 'MACHINERY' THEN [{}][c_custkey % 5 + 1] ELSE c_name END".format(
     ", ".join(f"'{x}'" for x in seg.FOLDED))
-_SEGMENT_SQL = f"""
+SEGMENT_SQL = f"""
   u AS (SELECT c_custkey, {_EXAM} AS exam, c_mktsegment = 'MACHINERY' AS folded,
       {_HOME} AS homepage, {_CUTOFF} AS cutoff_url, {_STATUS} AS st, {_SHIKSHA} AS sh FROM customer),
   z AS (SELECT st AS zst, sh AS zsh FROM u WHERE c_custkey = 0),
@@ -34,7 +34,7 @@ _SEGMENT_SQL = f"""
       WHEN shiksha <> '' THEN 'cat2' ELSE 'cat3' END AS category FROM l)"""
 
 
-def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def exam_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, sf_dir, "customer")
     key = "cast(c_custkey as string)"
     folded = ", ".join(f"'{x}'" for x in seg.FOLDED)
@@ -55,7 +55,7 @@ def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("segment", f"""
-  WITH {_SEGMENT_SQL}
+  WITH {SEGMENT_SQL}
   SELECT c_custkey, exam, category, status AS cutoff_status, cutoff_url AS official_cutoff_url,
     homepage, '' AS collegedunia, shiksha, '' AS careers360, '' AS collegedekho,
     CASE WHEN shiksha <> '' THEN 1 ELSE 0 END AS n_competitor_links,
@@ -63,29 +63,29 @@ def _sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     c_custkey % 5 = 1 AS prose_cutoff_url, c_custkey % 3 = 0 AS prose_homepage,
     folded AS jee_remapped FROM seg""")
 def segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seg.segment(*_sheets(spark, sf_dir), jee_remap=True, keep=("c_custkey",))
+    return seg.segment(*exam_sheets(spark, sf_dir), jee_remap=True, keep=("c_custkey",))
 
 
 @query("segment_counts", f"""
-  WITH {_SEGMENT_SQL} SELECT count_if(category = 'cat1') AS cat1, count_if(category = 'cat2') AS cat2,
+  WITH {SEGMENT_SQL} SELECT count_if(category = 'cat1') AS cat1, count_if(category = 'cat2') AS cat2,
     count_if(category = 'cat3') AS cat3, count(*) AS total FROM seg""")
 def segment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seg.counts(seg.segment(*_sheets(spark, sf_dir), jee_remap=True))
+    return seg.counts(seg.segment(*exam_sheets(spark, sf_dir), jee_remap=True))
 
 
 @query("segment_flags", f"""
-  WITH {_SEGMENT_SQL} SELECT count_if(category = 'cat1' AND c_custkey % 5 = 2
+  WITH {SEGMENT_SQL} SELECT count_if(category = 'cat1' AND c_custkey % 5 = 2
       AND status = 'Official Cutoff' AND NOT folded) AS aggregator_as_official,
     count_if(c_custkey % 5 = 1) AS prose_cutoff_url, count_if(c_custkey % 3 = 0) AS prose_homepage,
     0 AS jee_remapped FROM seg""")
 def segment_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strict statuses, no folding."""
-    rows = seg.segment(*_sheets(spark, sf_dir), merit_list=False)
+    rows = seg.segment(*exam_sheets(spark, sf_dir), merit_list=False)
     return seg.flag_summary(rows)
 
 
 @query("official_websites", f"""
-  WITH {_SEGMENT_SQL}, s AS (SELECT exam, c_custkey,
+  WITH {SEGMENT_SQL}, s AS (SELECT exam, c_custkey,
       CASE WHEN c_custkey % 5 IN (2, 3, 4) THEN cutoff_url
         WHEN c_custkey % 3 <> 0 THEN homepage END AS site FROM seg),
   b AS (SELECT exam, arg_max(site, c_custkey) FILTER (site IS NOT NULL) AS site FROM s GROUP BY 1),
@@ -94,7 +94,7 @@ def segment_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT coalesce(b.exam, o.exam) AS exam, coalesce(better, site) AS website
   FROM (SELECT * FROM b WHERE site IS NOT NULL) b FULL JOIN o ON b.exam = o.exam""")
 def official_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seg.segment(*_sheets(spark, sf_dir), jee_remap=True, keep=("c_custkey",))
+    rows = seg.segment(*exam_sheets(spark, sf_dir), jee_remap=True, keep=("c_custkey",))
     override = table(spark, sf_dir, "customer").filter("c_nationkey < 5").selectExpr(
         "c_name as exam", "concat('https://fix.gov/', cast(c_custkey as string)) "
         "as official_cutoff_url", "c_custkey")
