@@ -349,3 +349,47 @@ def source_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if(F.col("Year") == 2025).cast("int").alias("filled_years"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+# Codes put together from a stem and a tail; the check states the rules a second time.
+_STEMS = ["GM", "SC", "ST", "1", "2A", "3B", "OBC", "EWS", "OPEN", "UR", "PH", "GOPEN", "LSC",
+          "LST", "GNT1", "LVJ", "TFW", "SCI", "MBCDNC", "BCM", "E-UR", "XYZ", "Scheduled Caste",
+          "backward", "na", "", "OC", "DEFR"]
+_TAILS = ["", "G", "KH", "S", "O", "-PH", " (W)", "H"]
+_WORDS = "'{}'".format
+
+
+@query("category_vocabulary", f"""
+  WITH raw AS (SELECT o_orderkey, [{", ".join(map(_WORDS, _STEMS))}][o_orderkey % {len(_STEMS)} + 1]
+      || [{", ".join(map(_WORDS, _TAILS))}][o_custkey % {len(_TAILS)} + 1] AS code FROM orders),
+  c AS (SELECT o_orderkey, trim(regexp_replace(trim(regexp_replace(upper(trim(code)),
+      '\\s*\\([^)]*\\)\\s*', '', 'g')), '-(PH|PWD|PWBD|VI|HI)$', '')) AS c FROM raw)
+  SELECT o_orderkey, CASE
+    WHEN c IN ('', 'UNSPECIFIED', 'UNKNOWN', 'NA', 'N/A', '-') THEN 'Unspecified'
+    WHEN c LIKE '%EWS%' OR c LIKE 'EW%' OR c IN ('E-UR', 'EUR') THEN 'EWS'
+    WHEN c = 'SC' OR c LIKE '%SCHEDULED CASTE%' THEN 'SC'
+    WHEN c = 'ST' OR c LIKE '%SCHEDULED TRIBE%' THEN 'ST'
+    WHEN c LIKE '%OBC%' OR c LIKE '%BACKWARD%' OR c LIKE '%SEBC%' OR c LIKE 'BC%'
+      OR c IN ('MBC', 'EZ', 'MU') THEN 'OBC'
+    WHEN c LIKE '%GENERAL%' OR c LIKE '%OPEN%' OR c LIKE 'OP%'
+      OR c IN ('UR', 'GM', 'GEN', 'SM', 'UNRESERVED') THEN 'General'
+    WHEN c LIKE '%PWD%' OR c IN ('PH', 'PD', 'DV') THEN 'PwD'
+    WHEN regexp_full_match(c, 'GM(G|K|R|H|KH|RH)') THEN 'General'
+    WHEN regexp_full_match(c, 'SC(G|K|R|H|KH|RH)') THEN 'SC'
+    WHEN regexp_full_match(c, 'ST(G|K|R|H|KH|RH)') THEN 'ST'
+    WHEN regexp_full_match(c, '(1|2A|2B|3A|3B)(G|K|R|H|KH|RH)?') THEN 'OBC'
+    WHEN length(c) > 3 AND right(c, 1) IN ('S', 'H', 'O') AND regexp_matches(c, 'TFW|DEF')
+      THEN 'General'
+    WHEN length(c) > 3 AND right(c, 1) IN ('S', 'H', 'O')
+      AND regexp_matches(c, 'VJ|NT1|NT2|NT3') THEN 'OBC'
+    WHEN length(c) > 3 AND right(c, 1) IN ('S', 'H', 'O') AND c LIKE '%SC%' THEN 'SC'
+    WHEN length(c) > 3 AND right(c, 1) IN ('S', 'H', 'O') AND c LIKE '%ST%' THEN 'ST'
+    WHEN c = 'OC' THEN 'General' WHEN c IN ('SCI', 'SCII', 'SCIII', 'SCA') THEN 'SC'
+    WHEN c IN ('MBCDNC', 'DNC', 'BCO') THEN 'OBC' ELSE 'Other' END AS grp FROM c""")
+def category_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stem of the vocabularies with every tail."""
+    def pick(words: list[str], key: str):
+        return F.element_at(F.array(*map(F.lit, words)), (F.col(key) % len(words) + 1).cast("int"))
+    code = F.concat(pick(_STEMS, "o_orderkey"), pick(_TAILS, "o_custkey"))
+    return classify.with_category_group(table(spark, sf_dir, "orders"), code, "grp") \
+        .select("o_orderkey", "grp")
