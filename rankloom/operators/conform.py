@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructType
 from rankloom.functions.classify import program_of, with_category_group, with_city
 from rankloom.functions.numbers import canon_int
 from rankloom.functions.text import clean_text, dedouble, halved, looks_doubled, squeeze, strip
-from rankloom.schema import CANON, CANON_INTS, RAW, deliverable_columns
+from rankloom.schema import CANON, CANON_INTS, deliverable_columns
 
 
 def _first_of_each(df: DataFrame) -> DataFrame:
