@@ -10,7 +10,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from rankloom.llm import (embedding_dedup, lang_id, line_dedup, mixing, ngram_join, packing,
                           quality_rff, quality_rules, secrets, toxicity)
