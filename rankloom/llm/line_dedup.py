@@ -1,11 +1,12 @@
 """Removal of repeated passages by hashing normalised units.
 
 Units are lines; inside a line a unit also ends after every word whose hash falls
-into a fixed sixth, so that a passage set into other text is cut at the same
-words wherever it stands. A unit's digest covers its words (A-Z lower-cased,
-white space ignored). Digests are grouped globally; the occurrence in the
-smallest doc_id, then the first in the text, stays. Runs of later occurrences
-of at least ``min_words`` words are removed, with their offsets kept.
+into a fixed third, so that a passage set into other text is cut at the same
+words wherever it stands. A digest covers the words of RUN units in a row (A-Z
+lower-cased, white space ignored): common short units alone match nothing,
+however large the corpus. Digests are grouped globally; the occurrence in the
+smallest doc_id, then the first in the text, stays. Runs of units with later
+occurrences, of at least ``min_words`` words, are removed with their offsets kept.
 """
 
 from __future__ import annotations
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.groups import walk_groups
 from rankloom.llm.tables import prepare, stored, texts_of
-from rankloom.llm.words import blocks, char_starts, mix64, read_block, word_hashes
+from rankloom.llm.words import (blocks, char_starts, mix64, read_block, window_hashes,
+                                word_hashes)
 
 MIN_WORDS = 25
-CUT_EVERY = 6
+CUT_EVERY = 3
+# Units per digest: about a dozen words.
+RUN = 4
 RANGE_CHARS = 4_000_000
 CHUNK = 1_000_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -59,6 +63,11 @@ def units(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
                    b.stop[stop[f:g] - 1] - base)
 
 
+def run_digests(digests: np.ndarray) -> np.ndarray:
+    """Digest of every RUN units in a row, by the first one; a shorter text has one."""
+    return window_hashes(digests, min(RUN, len(digests))) if len(digests) else digests
+
+
 def _pack(ids: np.ndarray, rows: np.ndarray, unit: np.ndarray, digest: np.ndarray, parts: int
           ) -> pa.RecordBatch:
     """A chunk's first occurrences by hash range, and its later ones as known repeats."""
@@ -118,7 +127,7 @@ def _row_key():
 
 
 def repeated_units(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame:
-    """(row, units): per row key, the positions of units that occur earlier elsewhere."""
+    """(row, units): per row key, where runs start that occur earlier elsewhere."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = int(min(max(64, chars // range_chars), 1 << 22))
 
@@ -128,6 +137,7 @@ def repeated_units(docs: DataFrame, range_chars: int = RANGE_CHARS) -> DataFrame
         for batch in batches:
             ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, (digest, _, _, _) in enumerate(units(texts_of(batch.column(2)))):
+                digest = run_digests(digest)
                 n = len(digest)
                 held.append((np.full(n, ids[i]), np.full(n, rows[i]),
                              np.arange(n, dtype=np.int32), digest))
@@ -150,10 +160,11 @@ _SPANS = "array<struct<start:long,end:long,words:long>>"
 
 def removed_spans(text: bytes, repeated: np.ndarray, min_words: int
                   ) -> list[tuple[int, int, int]]:
-    """Runs of repeated units with at least ``min_words`` words, as byte offsets."""
+    """Stretches of repeated runs with at least ``min_words`` words, as byte offsets."""
     _, words, start, end = next(units([text]))
     mark = np.zeros(len(words) + 2, dtype=np.int8)
-    mark[repeated + 1] = 1
+    for k in range(min(RUN, len(words))):
+        mark[repeated + 1 + k] = 1
     edge = np.diff(mark)
     out = []
     for low, high in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
