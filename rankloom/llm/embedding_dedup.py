@@ -20,9 +20,10 @@ from rankloom.llm.tables import map_batches, prepare, stored
 
 THRESHOLD = 0.93
 # A pair at the threshold agrees in all bits of a table with probability
-# (1 - acos(0.93) / pi) ** 12 = 0.21; it is missed by all 48 tables once in 120,000.
-TABLES = 48
-BITS = 12
+# (1 - acos(0.93) / pi) ** 16 = 0.13; all 64 tables miss it once in 7,400 pairs, and a
+# pair at 0.95 once in 400,000. Strangers meet in one of 65,536 buckets of a label.
+TABLES = 64
+BITS = 16
 BLOCK = 2048
 SEED = 20240601
 # Pairs whose table signatures are compared at a time.
@@ -98,36 +99,33 @@ def links(embeddings: DataFrame, threshold: float = THRESHOLD, tables: int = TAB
     def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         vectors = batch.column("v")
         dims = np.diff(np.asarray(vectors.offsets))
-        label, ident, copies = (batch.column(c).to_numpy() for c in ("label", "id", "copies"))
         for dim in np.unique(dims):
             at = np.flatnonzero(dims == dim)
             x = np.stack([np.asarray(vectors[int(i)].values) for i in at])
-            marks = signatures(x, tables, bits)
-            count = len(at) * tables
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(label[at], tables)), pa.array(np.full(count, dim, np.int32)),
-                 pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))),
-                 pa.array(marks.reshape(-1).astype(np.int32)),
-                 pa.array(np.repeat(ident[at], tables)), pa.array(np.repeat(copies[at], tables)),
-                 pa.array([b for r in x for b in [r.tobytes()] * tables], pa.binary()),
-                 pa.array([b for r in marks for b in [r.tobytes()] * tables], pa.binary())],
-                names=["label", "dim", "tab", "bucket", "id", "copies", "x", "marks"])
-
-    hashed = map_batches(
+                [batch.column("label").take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)),
+                 batch.column("id").take(pa.array(at)), batch.column("copies").take(pa.array(at)),
+                 pa.array([r.tobytes() for r in x], pa.binary()),
+                 pa.array(signatures(x, tables, bits).astype(np.int32).tolist(),
+                          pa.list_(pa.int32()))],
+                names=["label", "dim", "id", "copies", "x", "marks"])
+
+    signed = stored(map_batches(
         classes.select("label", "v", "id", "copies"),
-        "label long, dim int, tab int, bucket int, id long, copies long, x binary, marks binary",
-        sign)
+        "label long, dim int, id long, copies long, x binary, marks array<int>", sign))
+    # only keys and ids are grouped; vectors go to the buckets of two members or more
     keys = ["label", "dim", "tab", "bucket"]
+    hashed = signed.select("label", "dim", "id", F.posexplode("marks").alias("tab", "bucket"))
     crowd = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    dealt = block_pairs(hashed.join(crowd, keys), keys, "id", "members", block)
+    dealt = block_pairs(hashed.join(crowd, keys), keys, "id", "members", block) \
+        .join(signed.select("id", "copies", "x", "marks"), "id")
 
     def verify(group: pa.Table) -> pa.RecordBatch | None:
         if group.num_rows < 2:
             return None
         ident, copies, side = (group.column(c).to_numpy() for c in ("id", "copies", "side"))
         x = np.stack([np.frombuffer(b, np.float64) for b in group.column("x").to_pylist()])
-        marks = np.stack([np.frombuffer(b, np.uint16)
-                          for b in group.column("marks").to_pylist()])
+        marks = np.array(group.column("marks").to_pylist(), dtype=np.uint16)
         across = group.column("low")[0].as_py() != group.column("high")[0].as_py()
         label, degree = np.arange(len(ident)), np.zeros(len(ident), np.int64)
         for at, partners in near_pairs(x, marks, group.column("tab")[0].as_py(), threshold,
