@@ -27,7 +27,7 @@ UNKNOWN = "und"
 MAX_LANGUAGES = 256
 # Standard deviations above a language's mean cross-entropy at which a text is rejected.
 REJECT_AT = 6.0
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 _MASK = [(1 << (BITS * k)) - 1 for k in range(ORDER + 1)]
 
 

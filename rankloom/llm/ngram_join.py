@@ -32,7 +32,7 @@ PERCENT = 75
 # Characters of text per hash range: bounds the n-grams that one group holds.
 RANGE_CHARS = 4_000_000
 # N-grams packed together by a task before they are sent.
-CHUNK = 1_500_000
+CHUNK = 1_000_000
 # An n-gram in so many classes of one chunk is sent apart, so that no range is hot.
 HOT = 512
 HOT_FREQUENCY = 1 << 40

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from rankloom.session import tune
 
 # Rows and bytes per Arrow batch: long texts must not pile up in a Python worker.
-ROWS_PER_BATCH = "1024"
-BYTES_PER_BATCH = "16m"
+ROWS_PER_BATCH = "512"
+BYTES_PER_BATCH = "4m"
 
 
 def prepare(spark: SparkSession) -> SparkSession:

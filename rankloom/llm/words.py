@@ -12,7 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
