@@ -20,8 +20,8 @@ from rankloom.llm.tables import map_batches, prepare, stored
 
 THRESHOLD = 0.93
 # A pair at the threshold agrees in all bits of a table with probability
-# (1 - acos(0.93) / pi) ** 16 = 0.13; all 64 tables miss it once in 7,400 pairs, and a
-# pair at 0.95 once in 400,000. Strangers meet in one of 65,536 buckets of a label.
+# (1 - acos(0.93) / pi) ** 16 = 0.13; all 64 tables miss it once in 7,300 pairs, and a
+# pair at 0.95 once in 380,000. Strangers meet in one of 65,536 buckets of a label.
 TABLES = 64
 BITS = 16
 BLOCK = 2048
