@@ -2,7 +2,8 @@
 
 The method's own test: a run of key-like characters whose characters per token
 under a public byte-pair vocabulary stay low is random, not language. Digests of
-known sizes, UUIDs and identifiers made of words are left out first.
+known sizes, UUIDs and identifiers are left out; an identifier is one only if the
+same vocabulary finds its parts to be words, whatever their shape.
 """
 
 from __future__ import annotations
@@ -38,10 +39,12 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}"
                      r"|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-# Words joined by _ - / = + or by capitals, each with an optional number behind it.
-_IDENTIFIER = re.compile(r"(?:[_\-/=+]*[A-Za-z]?[a-z]*[0-9]{0,4}|[_\-/=+]*[A-Z]+[0-9]{0,4})"
-                         r"(?:[_\-/=+]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})[0-9]{0,4}"
-                         r"|[A-Z][a-z]+[0-9]{0,4})*[_\-/=+]*\Z")
+# Parts of an identifier: words by case, and numbers.
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]{1,8}")
+# A part is a word if its own characters per token reach this.
+WORD_RATIO = 3.0
+# Shorter parts ("of", "x", numbers) tell nothing; words must hold half of the characters.
+MIN_WORD = 3
 
 SCHEMA = ("doc_id long, n_assign long, n_access long, n_hex long, n_random long, "
           "base_sha256 string, "
@@ -79,10 +82,24 @@ def encoding_of(vocabulary: str):
     return _encodings[vocabulary]
 
 
-def excluded(run: str) -> bool:
-    """Known digests, UUIDs, and identifiers built from words."""
-    return bool(_DIGEST.match(run) or _UUID.match(run) or _IDENTIFIER.match(run)
-                or run.isalpha() and (run.islower() or run.isupper()))
+def is_word(part: str, encoding) -> bool:
+    """Language by the vocabulary: few tokens in lower case, alone or behind a space."""
+    part = part.lower()
+    tokens = min(len(encoding.encode_ordinary(part)), len(encoding.encode_ordinary(" " + part)))
+    return len(part) >= WORD_RATIO * tokens
+
+
+def made_of_words(run: str, encoding) -> bool:
+    """Whether every part of MIN_WORD letters or more is a word, and words hold half of it."""
+    parts = _PARTS.findall(run)
+    words = [p for p in parts if len(p) >= MIN_WORD and not p.isdigit()]
+    return 2 * sum(map(len, words)) >= sum(map(len, parts)) \
+        and all(is_word(w, encoding) for w in words)
+
+
+def excluded(run: str, encoding) -> bool:
+    """Known digests, UUIDs, and identifiers whose parts are words (or that have no part)."""
+    return bool(_DIGEST.match(run) or _UUID.match(run) or made_of_words(run, encoding))
 
 
 def inefficient_spans(text: str, encoding, max_ratio: float = MAX_RATIO
@@ -91,10 +108,8 @@ def inefficient_spans(text: str, encoding, max_ratio: float = MAX_RATIO
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
-        if excluded(run):
-            continue
         ratio = len(run) / len(encoding.encode_ordinary(run))
-        if ratio < max_ratio:
+        if ratio < max_ratio and not excluded(run, encoding):
             out.append((m.start(), m.end(), ratio))
     return out
 
