@@ -1,7 +1,8 @@
 """Quality rules with thresholds learnt per language and source.
 
 Statistics of every text are written once; mergeable quantile sketches per
-(lang, source) turn them into fences; a join puts each text beside its fences.
+(lang, source), language and table turn them into fences; a join puts each text
+beside its fences.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.llm.tables import map_batches, prepare, stored, texts_of
@@ -18,11 +19,24 @@ from rankloom.llm.words import (blocks, char_starts, count_between, read_block,
                                 window_hashes, word_hashes)
 
 MIN_WORDS = 50
-# A text fails where a measure lies above q50 + SPREAD * (q75 - q50) of its group, and
-# above q50 by the slack given here (so that groups without spread keep their texts).
-MEASURES = {"symbols_per_word": 0.10, "dup_line_share": 0.50, "repeat_share": 0.30,
-            "upper_share": 0.20, "mark_share": 0.20}
+# Measures and what they are shares of.
+MEASURES = {"symbols_per_word": "n_words", "dup_line_share": "n_lines",
+            "repeat_share": "n_words", "upper_share": "n_ascii_letters",
+            "mark_share": "n_words"}
+# A text fails where a measure lies above q50 + SPREAD * spread of its group; the spread is
+# q90 - q50. Of the whole table, q90 counts only within REACH times q80 - q50: beyond that
+# it is junk and not the body.
 SPREAD = 4.0
+REACH = 8.0
+# A group whose spread is over CAP times the one above it (language, table) and over CAP
+# times its own q50 - q20 is lifted by junk and gets the larger of the two instead. All
+# spreads lean on the one above as if PRIOR texts had that one, and a group of fewer than
+# LEAST texts has the median above.
+CAP = 2.0
+PRIOR = 30
+LEAST = 20
+# Guard against ties: so many symbols, lines, words or letters above the fence pass.
+GUARD = 3
 ACCURACY = 1000
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -109,25 +123,50 @@ def measures(stats: DataFrame) -> DataFrame:
         "mark_share": share("n_marked", "n_words")})
 
 
+def _sketches(measured: DataFrame, by: list[str], prefix: str) -> DataFrame:
+    """``prefix``n and, per measure, q20, q50, q80 and q90 of every group."""
+    return measured.groupBy(*by).agg(
+        F.count(F.lit(1)).alias(f"{prefix}n"),
+        *[F.percentile_approx(m, F.array(*map(F.lit, (0.2, 0.5, 0.8, 0.9))), ACCURACY)
+          .alias(f"{prefix}{m}") for m in MEASURES]) \
+        .withColumnsRenamed({c: f"{prefix}{c}" for c in by})
+
+
 def fences(measured: DataFrame) -> DataFrame:
     """Upper fences per (lang, source) from mergeable quantile sketches of all its texts.
 
     Texts that fail the base rules count too. Each task keeps one sketch per
     group and measure, whatever the group's size.
     """
-    sketches = [F.percentile_approx(m, F.array(F.lit(0.5), F.lit(0.75)), ACCURACY).alias(m)
-                for m in MEASURES]
-    groups = measured.groupBy("lang", "source").agg(*sketches)
-    return groups.select("lang", "source", *[
-        (F.col(m)[0] + F.greatest(SPREAD * (F.col(m)[1] - F.col(m)[0]), F.lit(slack)))
-        .alias(f"{m}_max") for m, slack in MEASURES.items()])
+    own = _sketches(measured, ["lang", "source"], "g_")
+    joined = own.join(_sketches(measured, ["lang"], "l_"),
+                      F.col("g_lang").eqNullSafe(F.col("l_lang"))) \
+        .crossJoin(_sketches(measured, [], "t_"))    # one row
+
+    def spread(level: str, m: str, above: Column) -> Column:
+        q, n = F.col(f"{level}_{m}"), F.col(f"{level}_n")
+        own, below = q[3] - q[1], CAP * (q[1] - q[0])
+        sound = F.when(own <= F.greatest(CAP * above, below), own) \
+            .otherwise(F.greatest(above, below))
+        return (n * sound + PRIOR * above) / (n + PRIOR)
+
+    def fence(m: str) -> Column:
+        q = F.col(f"t_{m}")
+        whole = F.when(q[3] - q[1] <= REACH * (q[2] - q[1]), q[3] - q[1]) \
+            .otherwise(q[2] - q[1])
+        middle = F.when(F.col("g_n") >= LEAST, F.col(f"g_{m}")[1]) \
+            .when(F.col("l_n") >= LEAST, F.col(f"l_{m}")[1]).otherwise(q[1])
+        return middle + SPREAD * spread("g", m, spread("l", m, whole))
+    return joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"),
+                         *[fence(m).alias(f"{m}_max") for m in MEASURES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Counts, measures, fences and verdict of every document.
 
     ``base_failed``: fewer than MIN_WORDS words, or over half of them in
-    repeated windows. ``failed_rules`` names the measures above their fence.
+    repeated windows. ``failed_rules`` names the measures above their fence by more
+    than GUARD counts.
     ``kept`` is false if either holds. Null lang or source form groups of their
     own; an empty table gives an empty result.
     """
@@ -136,8 +175,9 @@ def judge(docs: DataFrame) -> DataFrame:
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang"))
                            & F.col("source").eqNullSafe(F.col("_source"))) \
         .drop("_lang", "_source")
-    failed = F.filter(F.array(*[F.when(F.col(m) > F.col(f"{m}_max"), F.lit(m))
-                                for m in MEASURES]), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*[F.when(
+        (F.col(m) - F.col(f"{m}_max")) * F.col(n) > GUARD, F.lit(m))
+        for m, n in MEASURES.items()]), lambda x: x.isNotNull())
     base = (F.col("n_words") < MIN_WORDS) \
         | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return joined.withColumns({"base_failed": base, "failed_rules": failed}) \
