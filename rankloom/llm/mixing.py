@@ -3,15 +3,17 @@
 Each source is cut into blocks of about equal text. Block k of a source with
 weight w is released at slot floor((k - 1) / w) and due by slot ceil(k / w); the
 earliest deadline among the released blocks goes first. At every slot a source
-is then less than one block away from its share. Weights are whole shares of a
-period, so the schedule of one period repeats and is all the driver works out.
+is then less than one block away from its share. Weights are taken as exact
+fractions over the whole run, so no rounding adds up.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,6 @@ from rankloom.llm.ranks import md5_order, rank_in_groups
 from rankloom.llm.tables import map_batches, prepare
 
 BLOCK_CHARS = 16_384
-PERIOD = 256
-# The driver plans per source; more sources than this are refused, not cut.
-MAX_SOURCES = 1000
-
-
-class Phase(NamedTuple):
-    """A stretch of slots during which the same sources have blocks left."""
-    first_slot: int
-    length: int                    # slots of one period
-    repeats: int
-    shares: dict[str, int]
-    slots: dict[str, list[int]]    # of one period
-    first_block: dict[str, int]
 
 
 def apportion(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -48,54 +37,75 @@ def apportion(weights: dict[str, float], period: int) -> dict[str, int]:
     return shares
 
 
-def earliest_deadline_first(shares: dict[str, int]) -> list[str]:
-    """The source of every slot of one period; a block is due within its window."""
-    period = sum(shares.values())
-    waiting = [(0, s, 1) for s in sorted(shares)]      # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, str, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * period // shares[s]), -shares[s], s, k))
-        _, _, s, k = heapq.heappop(ready)
-        out.append(s)
-        if k < shares[s]:
-            heapq.heappush(waiting, (k * period // shares[s], s, k + 1))
-    return out
-
-
-def plan(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD
-         ) -> list[Phase]:
-    """Phases until every block of every source has its slot.
-
-    While all sources last, whole periods repeat. A source with less than its
-    share left gives what it has in one more period and then leaves; the others
-    go on in the proportion of their weights.
+def whole_weights(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in the exact proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    common = math.lcm(*(w.denominator for w in exact.values())) if exact else 1
+    return {s: int(w * common) for s, w in exact.items()}
+
+
+def sweep(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[list[str]]:
+    """The source of every slot, in phases; every block of ``blocks`` gets its slot.
+
+    A phase lasts until a source has given its last block; the others then go
+    on in the proportion of their shares, counted from there. A source is first
+    looked at when its first deadline of a phase comes up, so a phase costs its
+    slots and not its sources.
     """
-    left = {s: n for s, n in blocks.items() if n}
-    taken = dict.fromkeys(left, 0)
-    phases, slot = [], 0
+    order = sorted((s for s in blocks if blocks[s]), key=lambda s: (-shares[s], s))
+    after = dict(zip([None, *order], [*order, None]))    # linked, so that sources can leave
+    before = dict(zip([*order, None], [None, *order]))
+    left = {s: blocks[s] for s in order}
+    total = sum(shares[s] for s in order)
     while left:
-        shares = apportion({s: weights[s] for s in left}, max(period, 2 * len(left)))
-        repeats = min(left[s] // shares[s] for s in left)
-        order, number = earliest_deadline_first(shares), dict.fromkeys(left, 0)
-        slots: dict[str, list[int]] = {s: [] for s in left}
-        length = 0
-        for s in order:
-            if repeats or number[s] < left[s]:
-                slots[s].append(length)
-                length += 1
-            number[s] += 1
-        phases.append(Phase(slot, length, max(repeats, 1), shares, slots, dict(taken)))
-        slot += length * max(repeats, 1)
-        for s in slots:
-            used = len(slots[s]) * max(repeats, 1)
-            taken[s] += used
-            left[s] -= used
-        left = {s: n for s, n in left.items() if n}
-    return phases
+        waiting: list[tuple[int, str, int]] = []         # release, source, block
+        ready: list[tuple[int, int, str, int]] = []      # deadline, -share, source, block
+        fresh = after[None]                              # first blocks, by falling share
+        out: list[str] = []
+        if len(left) == 1:
+            yield [fresh] * left[fresh]
+            return
+        while True:
+            slot = len(out)
+            while waiting and waiting[0][0] <= slot:
+                _, s, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-k * total // shares[s]), -shares[s], s, k))
+            if fresh is not None:
+                first = (-(-total // shares[fresh]), -shares[fresh], fresh, 1)
+                if not ready or first < ready[0]:
+                    heapq.heappush(ready, first)
+                    fresh = after[fresh]
+            _, _, s, k = heapq.heappop(ready)
+            out.append(s)
+            if k == left[s]:
+                break
+            heapq.heappush(waiting, (k * total // shares[s], s, k + 1))
+        yield out
+        for x, n in Counter(out).items():
+            left[x] -= n
+        del left[s]
+        total -= shares[s]
+        after[before[s]], before[after[s]] = after[s], before[s]
+
+
+def earliest_deadline_first(shares: dict[str, int]) -> list[str]:
+    """The source of every slot of one period of whole shares."""
+    endless = {s: 2 * n for s, n in shares.items()}    # no source leaves within the period
+    return next(sweep(shares, endless))[:sum(shares.values())]
+
+
+def plan(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, np.ndarray]:
+    """Per source the slot of each of its blocks, in order."""
+    shares = whole_weights({s: weights[s] for s in blocks})
+    slots = {s: np.zeros(n, np.int64) for s, n in blocks.items()}
+    taken = dict.fromkeys(blocks, 0)
+    slot = 0
+    for phase in sweep(shares, blocks):
+        for s in phase:
+            slots[s][taken[s]] = slot
+            taken[s] += 1
+            slot += 1
+    return slots
 
 
 def tempered(sizes: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -107,17 +117,14 @@ _NULL = "\0null"    # a null source is a source of its own
 
 
 def _planned(docs: DataFrame, keep: list[str], weights: dict[str, float] | None,
-             block_chars: int, period: int) -> DataFrame:
+             block_chars: int) -> DataFrame:
     """``doc`` (a struct of the columns ``keep``), ``id``, ``block`` and ``slot``."""
     prepare(docs.sparkSession)
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.col("doc_id").alias("id"),
         F.coalesce("source", F.lit(_NULL)).alias("_source"), md5_order("doc_id").alias("_order"),
         F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_size"))
-    sizes = {r[0]: r[1] for r in marked.groupBy("_source").agg(F.sum("_size"))
-             .limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r[0]: r[1] for r in marked.groupBy("_source").agg(F.sum("_size")).collect()}
     if weights is None:
         weights = tempered(sizes)
     else:
@@ -125,11 +132,8 @@ def _planned(docs: DataFrame, keep: list[str], weights: dict[str, float] | None,
         unknown = sorted(set(sizes) - {s for s, w in weights.items() if w > 0})
         if unknown:
             raise ValueError(f"sources without a positive weight: {unknown}")
-    phases = plan({s: n // block_chars + 1 for s, n in sizes.items()}, weights, period)
-    starts = {s: np.array([p.first_block.get(s, -1) for p in phases if s in p.slots])
-              for s in sizes}
-    own = {s: [(p.first_slot, p.length, np.array(p.slots[s])) for p in phases if s in p.slots]
-           for s in sizes}
+    slots = plan({s: n // block_chars + 1 for s, n in sizes.items()}, weights)
+    sent = docs.sparkSession.sparkContext.broadcast(slots)
     ranked = rank_in_groups(marked, ["_source"], "_order", ["id", "_size"], "_size") \
         .withColumn("block", F.floor(F.col("weight_before") / block_chars).cast("long")) \
         .drop("_order", "_size", "weight_before", "group_rank")
@@ -140,12 +144,7 @@ def _planned(docs: DataFrame, keep: list[str], weights: dict[str, float] | None,
         slot = np.zeros(len(block), np.int64)
         for s in set(source):
             at = np.flatnonzero(source == s)
-            phase = np.searchsorted(starts[s], block[at], side="right") - 1
-            for f in np.unique(phase):
-                first, length, slots = own[s][f]
-                mine = at[phase == f]
-                period_no, within = np.divmod(block[mine] - starts[s][f], max(1, len(slots)))
-                slot[mine] = first + period_no * length + slots[within]
+            slot[at] = sent.value[s][block[at]]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc"), batch.column("id"), batch.column("block"), pa.array(slot)],
             names=["doc", "id", "block", "slot"])
@@ -155,8 +154,7 @@ def _planned(docs: DataFrame, keep: list[str], weights: dict[str, float] | None,
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None,
-             keep: list[str] | None = None, block_chars: int = BLOCK_CHARS,
-             period: int = PERIOD) -> DataFrame:
+             keep: list[str] | None = None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The columns ``keep`` (default: all) with ``block`` and ``slot`` of every row.
 
     ``weights`` maps each source to its target (default: the root of its size).
@@ -168,13 +166,13 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None,
     way. An empty table gives an empty result.
     """
     keep = [c for c in keep or docs.columns if c not in ("block", "slot")]
-    planned = _planned(docs, keep, weights, block_chars, period)
+    planned = _planned(docs, keep, weights, block_chars)
     return planned.select(*[F.col("doc")[c].alias(c) for c in keep], "block", "slot")
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None,
-          block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+          block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` dealt and sorted by slot: written files follow the schedule."""
-    planned = _planned(docs, docs.columns, weights, block_chars, period)
+    planned = _planned(docs, docs.columns, weights, block_chars)
     return planned.repartitionByRange("slot").sortWithinPartitions("slot", md5_order("id"), "id") \
         .select(*[F.col("doc")[c].alias(c) for c in docs.columns])
