@@ -43,8 +43,31 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs.select(*COLUMNS))
 
 
+def in_schedule(written: DataFrame) -> DataFrame:
+    """Documents read from the mixing stage's files, with ``place``: their row in its order.
+
+    Spark reads files back in any order; file names and rows within a file keep it.
+    """
+    rows = written.select(*COLUMNS, F.col("_metadata.file_name").alias("_file"),
+                          F.col("_metadata.row_index").alias("_row"))
+    # one number per file
+    counts = sorted((r[0], r[1]) for r in rows.groupBy("_file").count().collect())
+    before, firsts = 0, []
+    for name, n in counts:
+        firsts.append((name, before))
+        before += n
+    first = written.sparkSession.createDataFrame(firsts, "_file string, _first long")
+    return rows.join(F.broadcast(first), "_file") \
+        .select(*COLUMNS, (F.col("_first") + F.col("_row")).alias("place"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of every document with their sequence and offset."""
+    """Token pieces of every document with their sequence and offset.
+
+    Sequences follow the schedule where the documents have a ``place`` in it.
+    """
+    if "place" in docs.columns:
+        return packing.pack_in_order(docs, "place")
     return packing.pack(docs)
 
 
@@ -68,4 +91,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if at + 1 < len(STAGES):
             docs = stored(docs)
+        if stage is mix_sources:
+            docs = in_schedule(docs)
     return docs

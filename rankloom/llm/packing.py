@@ -25,6 +25,8 @@ CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
 # Words remembered per Python worker (about 250 bytes each); then forgotten together.
 CACHE_WORDS = 600_000
+# Documents per stretch where their order counts: one stretch is planned in one task.
+STRETCH = 8192
 
 # Texts of these characters only (ASCII and Latin letters up to U+017F, without the
 # dotted capital I) are cut into words here: composition leaves them as they are,
@@ -105,30 +107,37 @@ def tokenizer_of(path: str) -> WordTokenizer:
 
 
 def tokenize_pieces(docs: DataFrame, capacity: int = CAPACITY,
-                    vocabulary: str = VOCABULARY) -> DataFrame:
+                    vocabulary: str = VOCABULARY, place: str | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` tokens: each document's ids, then id 0.
 
     Only documents longer than ``capacity`` are cut; the last piece may be
     shorter. A null or empty text is the single id 0. Rows are handled one by
-    one, so repeated ids stay repeated.
+    one, so repeated ids stay repeated. ``place`` names a column to keep beside
+    every piece, as ``place``.
     """
     def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         tokenizer = tokenizer_of(vocabulary_path(vocabulary))
         ids: list[int | None] = []
+        of: list[int] = []
         rows: list[tuple[int, int, int, int]] = []
         texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-        for doc, data in zip(batch.column(0).to_pylist(), tokenizer.encode(texts)):
+        for at, (doc, data) in enumerate(zip(batch.column(0).to_pylist(),
+                                             tokenizer.encode(texts))):
             data += b"\0\0\0\0"
             for piece, low in enumerate(range(0, len(data), 4 * capacity)):
                 part = data[low:low + 4 * capacity]
                 ids.append(doc)
+                of.append(at)
                 rows.append((piece, low // 4, len(part) // 4, zlib.crc32(part)))
         piece, start, length, crc = zip(*rows)
         yield pa.RecordBatch.from_arrays(
             [pa.array(ids, pa.int64()), pa.array(piece, pa.int32()),
-             *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
-            names=["doc_id", "piece", "start", "length", "ids_crc32"])
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), PIECE_SCHEMA, pieces)
+             *[pa.array(x, pa.int64()) for x in (start, length, crc)],
+             *[c.take(pa.array(of)) for c in batch.columns[2:]]],
+            names=["doc_id", "piece", "start", "length", "ids_crc32", *batch.schema.names[2:]])
+    kept = [F.col(place).cast("long").alias("place")] if place else []
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *kept),
+                       PIECE_SCHEMA + ", place long" * bool(place), pieces)
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY
@@ -175,6 +184,20 @@ def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY
     return slots
 
 
+def _places(plan: np.ndarray, rank: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of the pieces of one length by their rank."""
+    plan = plan[np.searchsorted(plan[:, 0], rank, side="right") - 1]
+    within = rank - plan[:, 0]
+    return plan[:, 2] + within // plan[:, 3], plan[:, 4] + within % plan[:, 3] * length
+
+
+def _by_length(slots: list[tuple[int, int, int, int, int, int]]) -> dict[int, np.ndarray]:
+    found: dict[int, list[tuple]] = {}
+    for slot in slots:
+        found.setdefault(slot[0], []).append(slot[1:])
+    return {k: np.array(v, dtype=np.int64) for k, v in found.items()}
+
+
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
@@ -186,11 +209,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
     prepare(docs.sparkSession)
     pieces = stored(tokenize_pieces(docs, capacity, vocabulary))
     counts = pieces.groupBy("length").count().collect()
-    slots = plan_best_fit({r["length"]: r["count"] for r in counts}, capacity)
-    by_length: dict[int, np.ndarray] = {}
-    for slot in slots:
-        by_length.setdefault(slot[0], []).append(slot[1:])
-    by_length = {k: np.array(v, dtype=np.int64) for k, v in by_length.items()}
+    by_length = _by_length(plan_best_fit({r["length"]: r["count"] for r in counts}, capacity))
 
     ranked = rank_in_groups(pieces.withColumn("_order", md5_order("doc_id")), ["length"],
                             "_order", ["doc_id", "piece", "ids_crc32"]).drop("_order")
@@ -201,13 +220,46 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY
         sequence, offset = np.zeros_like(rank), np.zeros_like(rank)
         for value in np.unique(length):
             at = np.flatnonzero(length == value)
-            plan = by_length[int(value)]
-            plan = plan[np.searchsorted(plan[:, 0], rank[at], side="right") - 1]
-            within = rank[at] - plan[:, 0]
-            sequence[at] = plan[:, 2] + within // plan[:, 3]
-            offset[at] = plan[:, 4] + within % plan[:, 3] * value
+            sequence[at], offset[at] = _places(by_length[int(value)], rank[at], int(value))
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(n) for n in names], pa.array(sequence), pa.array(offset)],
             names=[*names, "sequence_id", "offset"])
     return map_batches(ranked, PIECE_SCHEMA + ", sequence_id long, offset long", place)
+
+
+def pack_in_order(docs: DataFrame, place: str, capacity: int = CAPACITY,
+                  vocabulary: str = VOCABULARY, stretch: int = STRETCH) -> DataFrame:
+    """``pack`` of documents whose order counts: column ``place`` numbers them from 0.
+
+    Best fit is planned per stretch of ``stretch`` places, whose sequences follow
+    those of the stretches before; pieces of one length are taken by place. The
+    driver sees one number per stretch.
+    """
+    prepare(docs.sparkSession)
+    pieces = tokenize_pieces(docs, capacity, vocabulary, place) \
+        .withColumn("stretch", F.floor(F.col("place") / stretch).cast("long"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (
+            "length", "place", "piece", "doc_id", "ids_crc32")])
+        length = table.column("length").to_numpy()
+        values, first, number = np.unique(length, return_index=True, return_counts=True)
+        plans = _by_length(plan_best_fit(dict(zip(values.tolist(), number.tolist())), capacity))
+        sequence, offset = np.zeros_like(length), np.zeros_like(length)
+        for value, low, n in zip(values.tolist(), first.tolist(), number.tolist()):
+            sequence[low:low + n], offset[low:low + n] = _places(plans[value], np.arange(n), value)
+        return table.drop_columns(["place"]).append_column("sequence_id", pa.array(sequence)) \
+            .append_column("offset", pa.array(offset))
+    fitted = stored(pieces.groupBy("stretch").applyInArrow(
+        fit, PIECE_SCHEMA + ", stretch long, sequence_id long, offset long"))
+    number = {r[0]: r[1] + 1 for r in fitted.groupBy("stretch").agg(F.max("sequence_id")).collect()}
+    keys = np.array(sorted(number), dtype=np.int64)
+    before = np.cumsum([0, *[number[k] for k in keys.tolist()]])
+
+    def shift(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = np.searchsorted(keys, batch.column("stretch").to_numpy())
+        columns = {n: batch.column(n) for n in batch.schema.names if n != "stretch"}
+        columns["sequence_id"] = pa.array(columns["sequence_id"].to_numpy() + before[at])
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    return map_batches(fitted, PIECE_SCHEMA + ", sequence_id long, offset long", shift)
