@@ -13,10 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain does not reject; labels come from ``sf_dir``."""
+    """Documents that no category of the classifier chain rejects; labels come from ``sf_dir``."""
     docs = docs.select(*COLUMNS)
     chain = toxicity.fit(docs, toxic_labels(spark, sf_dir), TOXIC)
-    return toxicity.drop_toxic(docs, chain, "toxic")
+    return toxicity.drop_toxic(docs, chain, *TOXIC)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,7 +51,8 @@ def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain = toxicity.fit(docs, toxic_labels(spark, sf_dir), TOXIC)
-    return toxicity.predict(docs, chain).withColumn("rejected", F.col("p_toxic") >= 0.5)
+    return toxicity.predict(docs, chain).withColumn(
+        "rejected", F.greatest(*[F.col(f"p_{c}") for c in TOXIC]) >= 0.5)
 
 
 @query("op3_source_mixing")

@@ -259,13 +259,14 @@ def predict(docs: DataFrame, chain: Chain) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), schema, run)
 
 
-def drop_toxic(docs: DataFrame, chain: Chain, category: str, cutoff: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose probability of ``category`` reaches ``cutoff``."""
+def drop_toxic(docs: DataFrame, chain: Chain, *categories: str, cutoff: float = 0.5
+               ) -> DataFrame:
+    """``docs`` without the rows whose probability of any of ``categories`` reaches ``cutoff``."""
     spark = prepare(docs.sparkSession)
     sent = spark.sparkContext.broadcast(chain)
-    at = chain.categories.index(category)
+    at = [chain.categories.index(c) for c in categories]
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keep = sent.value(texts_of(batch.column("text")))[:, at] < cutoff
+        keep = sent.value(texts_of(batch.column("text")))[:, at].max(axis=1) < cutoff
         yield batch.filter(pa.array(keep))
     return map_batches(docs, docs.schema, run)
