@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.components import connected_components
 from rankloom.llm.groups import block_pairs, merge_labels, walk_groups
 from rankloom.llm.tables import prepare, stored, texts_of
-from rankloom.llm.words import blocks, read_block, window_hashes, word_hashes
+from rankloom.llm.words import blocks, mix64, read_block, window_hashes, word_hashes
 
 SIZE = 5
 PERCENT = 75
@@ -88,6 +88,11 @@ def _long(data: bytes) -> np.ndarray:
     return out.view(np.uint64).reshape(-1)
 
 
+def _hot_range(chunk: int, parts: int) -> int:
+    """A range for a chunk's hot n-grams; chunk numbers are multiples of _PLACES."""
+    return int(mix64(np.array([chunk // _PLACES], np.uint64))[0] % np.uint64(parts))
+
+
 def _pack(sets: list[np.ndarray], chunk: int, parts: int) -> pa.RecordBatch:
     """The n-grams of a chunk of classes, by hash range; hot ones apart."""
     owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
@@ -102,7 +107,7 @@ def _pack(sets: list[np.ndarray], chunk: int, parts: int) -> pa.RecordBatch:
         hot = np.unique(order[HOT - 1:][order[HOT - 1:] == order[:len(order) - HOT + 1]])
         if len(hot):
             apart = np.isin(whole, hot)
-            rows.append((chunk % parts, 2, chunk, owner[apart].tobytes(),
+            rows.append((_hot_range(chunk, parts), 2, chunk, owner[apart].tobytes(),
                          whole[apart].tobytes()))
             for r in np.unique(hot >> np.uint64(low)):
                 mine = hot[hot >> np.uint64(low) == r] & np.uint64((1 << low) - 1)
