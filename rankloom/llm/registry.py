@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Runner = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Runner] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ["queries"]
+MODULES = ["queries", "search_queries"]
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Runner], Runner]:
