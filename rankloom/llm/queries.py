@@ -14,6 +14,7 @@ SCHEMAS = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "embeddings": "vec_id bigint, embedding array<float>, label int",
     "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
 }
 
 

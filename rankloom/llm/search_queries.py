@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.llm import hard_negatives, topk_search
+from rankloom.llm import hard_negatives, lexical_search, topk_search
 from rankloom.llm.queries import table
 from rankloom.llm.registry import query
 
@@ -18,6 +18,33 @@ _WHOLE = """
             [x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)"""
 
 
+_TERMS = r"""regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+
+@query("op11_lexical_search", f"""
+    WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT count(*) AS docs, CAST(sum(len(terms)) AS BIGINT) AS total
+          FROM d WHERE len(terms) > 0),
+    p AS (SELECT doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+    tf AS (SELECT doc_id, n, term, count(*) AS tf FROM p GROUP BY ALL),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE)
+                                            / (2 * count(*) + 1))) AS BIGINT) AS w
+          FROM tf, c GROUP BY term),
+    b AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    s AS (
+        SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (
+                   100 - 25 + ((25 * n * docs) // total))))) AS BIGINT) AS score
+        FROM b JOIN tf USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)
+                         AS INTEGER) AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 20""")
+def lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf_dir, "documents"),
+                               table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_hard_negatives", f"""
     WITH {_WHOLE.format(scale=256)},
     n AS (
