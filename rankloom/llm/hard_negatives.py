@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.tables import map_batches, prepare, stored
-from rankloom.llm.vectors import (Block, as_long, best_of, block_numbers, integer_rows,
-                                  kth_largest, meet, number_type, packed)
+from rankloom.llm.vectors import (Block, best_of, block_numbers, integer_rows, kth_largest,
+                                  meet, packed, products)
 
 SCALE = 256
 POSITIVES = 5
@@ -50,14 +50,13 @@ def _rows(a: Block, i: np.ndarray, c: Block, j: np.ndarray, slot: np.ndarray,
 
 def nearest_of_label(a: Block, c: Block, k: int) -> pa.RecordBatch | None:
     """The ``k`` best candidates of each anchor's own label, without the anchor's own row."""
-    kind = number_type(a.cells, c.cells)
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for label in np.intersect1d(a.label, c.label).tolist():
         mine, theirs = _segment(a, label), _segment(c, label)
-        score = a.cells[mine].astype(kind) @ c.cells[theirs].T.astype(kind)
+        score = products(a.cells[mine], c.cells[theirs])
         score[a.row[mine, None] == c.row[None, theirs]] = -np.inf
         i, j = np.nonzero((score >= kth_largest(score, k)[:, None]) & (score > -np.inf))
-        found.append((i + mine.start, j + theirs.start, as_long(score[i, j])))
+        found.append((i + mine.start, j + theirs.start, score[i, j].astype(np.int64)))
     if not found:
         return None
     i, j, score = (np.concatenate(x) for x in zip(*found))
@@ -72,18 +71,17 @@ def best_of_slots(a: Block, c: Block, k: int) -> pa.RecordBatch | None:
     s + 1. Scores below every window of the anchor are left out.
     """
     limits = a.limits
-    kind = number_type(a.cells, c.cells)
-    score = a.cells.astype(kind) @ c.cells.T.astype(kind)
+    score = products(a.cells, c.cells)
     other = np.ones(score.shape, dtype=bool)
     for label in np.intersect1d(a.label, c.label).tolist():
         other[_segment(a, label), _segment(c, label)] = False
     # windows of falling limits start lower and lower; negative limits have none
     real = np.where(limits >= 0, limits, np.iinfo(np.int64).max).min(axis=1)
     least = np.array([-(-LOWEST[0] * int(x) // LOWEST[1]) for x in real], dtype=object)
-    if kind is not object:
+    if score.dtype != object:
         least = np.minimum(least, 1 << 53).astype(np.float64)
     i, j = np.nonzero(other & (score <= limits[:, :1]) & (score >= least[:, None]))
-    value = as_long(score[i, j])
+    value = score[i, j].astype(np.int64)
     slot = (limits[i] >= value[:, None]).sum(axis=1) - 1
     best = best_of(i * limits.shape[1] + slot, value, (c.vec_id[j], c.row[j]), k)
     return _rows(a, i[best], c, j[best], slot[best], value[best])

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.tables import prepare, stored
-from rankloom.llm.vectors import (NONE, Block, as_long, best_of, block_numbers, integer_rows,
-                                  kth_largest, meet, number_type, packed)
+from rankloom.llm.vectors import (NONE, Block, best_of, block_numbers, integer_rows,
+                                  kth_largest, meet, number_type, packed, within_long)
 
 SCALE = 64
 TOP = 20
@@ -92,12 +92,13 @@ def branch_and_bound(queries: Block, candidates: Block, k: int, step: int = STEP
             stay = part + _reach(rest_q[i, at], rest_c[j, at]) >= limit[i]
             pairs, part = (i[stay], j[stay]), part[stay]
     if pairs is None:
+        score = within_long(score)
         limit = np.maximum(limit, kth_largest(score, k))
         i, j = np.nonzero(score >= limit[:, None])
         pairs, part = (i, left[j]), score[i, j]
     i, j = pairs
     real = part > -np.inf
-    return i[real], j[real], as_long(part[real])
+    return i[real], j[real], part[real].astype(np.int64)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:

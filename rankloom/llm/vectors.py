@@ -83,11 +83,21 @@ def number_type(left: np.ndarray, right: np.ndarray) -> type:
     return np.float32 if most < 2 ** 23 else np.float64 if most < 2 ** 52 else object
 
 
-def as_long(scores: np.ndarray) -> np.ndarray:
-    """Scores as 64-bit integers; larger ones become the largest, smaller ones the smallest."""
+def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Inner products of all pairs, exact; beyond 64 bits the largest or smallest such number."""
+    kind = number_type(left, right)
+    return within_long(left.astype(kind) @ right.T.astype(kind))
+
+
+def within_long(scores: np.ndarray) -> np.ndarray:
+    """Python numbers beyond 64 bits become the largest or smallest such number.
+
+    Minus infinity marks a pair that does not count and stays.
+    """
     if scores.dtype != object:
-        return scores.astype(np.int64)
-    return np.array([min(max(int(s), _LONG.min), _LONG.max) for s in scores], dtype=np.int64)
+        return scores
+    cut = np.minimum(np.maximum(scores, int(_LONG.min)), int(_LONG.max))
+    return np.where(scores == -np.inf, scores, cut)
 
 
 def best_of(group: np.ndarray, score: np.ndarray, tie: tuple[np.ndarray, ...], k: int) -> np.ndarray:
