@@ -45,6 +45,28 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable character by which a byte-level vocabulary writes each byte."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + at) for at, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """Ids of words as bytes; a word not yet known is merged by the vocabulary's own rules."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self._merge = tokenizer.model.tokenize
+        self._letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        written = word if word.isascii() else \
+            word.encode().decode("latin-1").translate(self._letters)
+        ids = self[word] = np.array([t.id for t in self._merge(written)], "<u4").tobytes()
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts, with the ids of known words remembered.
 
@@ -56,28 +78,12 @@ class WordTokenizer:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
-        vocabulary = self._tokenizer.get_vocab()
-        self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._known: dict[str, bytes] = {}
+        self._known = _Words(self._tokenizer)
 
     def _whole(self, text: str) -> bytes:
         ids = self._tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Encode unknown words in one text; every word's last token is marked."""
-        ids = np.array(self._tokenizer.encode(" ".join(words), add_special_tokens=False).ids,
-                       dtype="<u4")
-        cuts = np.flatnonzero(self._ends[ids]) + 1
-        if len(cuts) == len(words):
-            low = 0
-            for word, high in zip(words, cuts.tolist()):
-                self._known[word] = ids[low:high].tobytes()
-                low = high
-        else:
-            self._known.update((w, self._whole(w)) for w in words)
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         out: list[bytes] = []
@@ -85,14 +91,9 @@ class WordTokenizer:
             if not _PLAIN.match(text) or ("<|" in text and _SPECIAL.search(text)):
                 out.append(self._whole(text))
                 continue
-            words = _PIECE.findall(text.lower())
-            unknown = [w for w in dict.fromkeys(words) if w not in self._known]
-            if len(self._known) + len(unknown) > CACHE_WORDS:
+            if len(self._known) > CACHE_WORDS:
                 self._known.clear()
-                unknown = list(dict.fromkeys(words))
-            if unknown:
-                self._learn(unknown)
-            out.append(b"".join(map(self._known.__getitem__, words)))
+            out.append(b"".join(map(self._known.__getitem__, _PIECE.findall(text.lower()))))
         return out
 
 
