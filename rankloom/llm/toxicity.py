@@ -27,6 +27,8 @@ MAX_LABELLED = 12_000
 # Words and beginnings kept per category.
 TERMS = 1500
 MIN_DOCUMENTS = 4
+# A term's rates inside and outside must differ by so many standard errors.
+LEAST_ERRORS = 3.0
 FOLDS = 5
 BEGINNINGS = (4, 5, 6)
 STEPS = 300
@@ -99,7 +101,10 @@ def term_counts(sample: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def choose_terms(counts: DataFrame, totals: list[int], rows: int) -> np.ndarray:
-    """The terms that tell a category best: difference of rates over its error, both ways."""
+    """The terms that tell a category best: difference of rates over its error, both ways.
+
+    Differences within ``LEAST_ERRORS`` errors may be chance and are left out.
+    """
     chosen = []
     for k, inside in enumerate(totals):
         outside = rows - inside
@@ -110,6 +115,7 @@ def choose_terms(counts: DataFrame, totals: list[int], rows: int) -> np.ndarray:
         error = F.sqrt(rate * (1 - rate) * (1 / inside + 1 / outside) + 1e-9)
         chosen.append(counts.where(F.col("n") >= MIN_DOCUMENTS)
                       .select("term", (F.abs(p - q) / error).alias("z"))
+                      .where(F.col("z") >= LEAST_ERRORS)
                       .orderBy(F.desc("z"), "term").limit(TERMS).select("term"))
     if not chosen:
         return np.zeros(0, np.uint64)
