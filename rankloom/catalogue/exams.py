@@ -10,7 +10,7 @@ from rankloom.catalogue.conformance import EXAM_WORDINGS
 from rankloom.catalogue.registry import query
 from rankloom.plans import catalog as cat
 from rankloom.plans import segmentation as seg
-from rankloom.sources.files import last_by_key, probe_buckets, tidy_extras
+from rankloom.sources.files import probe_buckets, tidy_extras
 
 # --- partition ---------------------------------------------------------------------
 # Customers are the exams. One market segment is missing from the links sheet and
@@ -166,8 +166,48 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     overlay = part.filter("p_type in ('LARGE', 'ECONOMY')").selectExpr(
         "shown as exam", "null as homepage", "concat('https://over.org/', k) as cutoff",
         "concat('A&B', cast(p_size as string)) as acronym")
-    return cat.build_catalog(universe, probe, extras, last_by_key(enrichment, "exam"),
-                             last_by_key(overlay, "exam"))
+    return cat.build_catalog(universe, probe, extras, enrichment, overlay)
+
+
+_REPEATED_SQL = """
+  p AS (SELECT 'https://c.org/' || o_custkey % 40 AS url, arg_min(o_orderkey % 4, o_orderkey) AS b
+    FROM orders GROUP BY 1),
+  e AS (SELECT c_custkey % 150 AS k, arg_max(c_mktsegment, 7 * c_custkey % 1009 * 100000 + c_custkey) AS m,
+      arg_max(c_name, 7 * c_custkey % 1009 * 100000 + c_custkey) AS n FROM customer GROUP BY 1),
+  l AS (SELECT l_suppkey * 2 AS k, arg_max(l_partkey, (l_quantity, l_orderkey, l_linenumber)) AS part
+    FROM lineitem GROUP BY 1)"""
+
+
+@query("catalog_repeats", f"""WITH {_REPEATED_SQL}
+  SELECT 'Test ' || s_suppkey AS "Exam",
+    CASE WHEN l.part IS NULL THEN 'https://c.org/' || s_suppkey % 50
+      WHEN l.part % 3 = 0 THEN '' ELSE 'https://over.org/' || l.part END AS "CutoffURL",
+    CASE p.b WHEN 0 THEN 'pdf' WHEN 1 THEN 'dead' WHEN 2 THEN 'html' ELSE 'unknown' END
+      AS "DataFormat",
+    coalesce(e.m, '') AS "Metric", CASE WHEN e.m = 'BUILDING' THEN '' ELSE coalesce(e.n, '') END
+      AS "Notes"
+  FROM supplier LEFT JOIN p ON p.url = 'https://c.org/' || s_suppkey % 50
+    LEFT JOIN e ON e.k = s_suppkey LEFT JOIN l ON l.k = s_suppkey""")
+def catalog_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sides that repeat their keys: the first probe, the last record and link row count."""
+    universe = table(spark, sf_dir, "supplier").selectExpr(
+        "concat('Test ', s_suppkey) as Exam", "'' as Homepage",
+        "concat('https://c.org/', s_suppkey % 50) as CutoffURL")
+    probe = table(spark, sf_dir, "orders").selectExpr(
+        "concat('https://c.org/', o_custkey % 40) as url",
+        "case o_orderkey % 4 when 0 then 'pdf' when 1 then 'http_403' when 2 then "
+        "'html_table_rank' else '' end as bucket", "o_orderkey as _seq")
+    records = table(spark, sf_dir, "customer").selectExpr(
+        "concat(' Test ', c_custkey % 150, ' ') as exam", "null as body", "'' as level",
+        "c_mktsegment as metric", "case when c_mktsegment = 'BUILDING' then ' ' else c_name end "
+        "as scope", "7 * c_custkey % 1009 * 100000 + c_custkey as _seq")
+    overlay = table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('Test ', l_suppkey * 2) as exam", "'' as homepage",
+        "case when l_partkey % 3 = 0 then null else concat('https://over.org/', l_partkey) end "
+        "as cutoff", "null as acronym",
+        "struct(l_quantity, l_orderkey, l_linenumber) as _seq")
+    return cat.build_catalog(universe, probe, None, records, overlay).select(
+        "Exam", "CutoffURL", "DataFormat", "Metric", "Notes")
 
 
 @query("catalog_build", f"""WITH {_CATALOG_SQL} SELECT * EXCLUDE (p_partkey) FROM c""")

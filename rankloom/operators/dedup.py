@@ -34,16 +34,29 @@ def _numbered(df: DataFrame, keys: Sequence, order: Sequence[Column]) -> DataFra
         .filter(F.col("_rn") == 1).drop("_rn")
 
 
-def unique_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+# Column that readers add: where a row stands in its source.
+POSITION = "_seq"
+
+
+def position(df: DataFrame) -> list[str]:
+    """The position column, where a frame has one: what a look-up side is to carry along."""
+    return [POSITION] if POSITION in df.columns else []
+
+
+def unique_by(df: DataFrame, keys: Sequence[str], keep: str = "last") -> DataFrame:
     """A look-up side with one row per key: equal keys cannot multiply the rows they meet.
 
-    Of different rows the greatest one stays, so the choice is repeatable.
+    The ``last`` or ``first`` row by ``_seq`` stays; without that column a frame has no
+    order, and the greatest or smallest row stays, so the choice is repeatable. A
+    grouped aggregate folds every map task's rows of a key before the shuffle.
     """
-    rest = [c for c in df.columns if c not in keys]
+    order = position(df)
+    rest = [c for c in df.columns if c not in keys and c not in order]
     if not rest:
-        return df.distinct()
-    return df.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_rest")) \
-        .select(*keys, "_rest.*")
+        return df.select(*keys).distinct()
+    pick = {"first": F.min, "last": F.max}[keep]
+    return df.groupBy(*keys).agg(pick(F.struct(*order, *rest)).alias("_rest")) \
+        .select(*keys, *[F.col("_rest")[c].alias(c) for c in rest])
 
 
 def keep_first(df: DataFrame, keys: Sequence, order: Sequence) -> DataFrame:

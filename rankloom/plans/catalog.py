@@ -10,6 +10,7 @@ from rankloom.functions.classify import (
 )
 from rankloom.functions.embedded import unescape
 from rankloom.functions.text import catalog_text, strip
+from rankloom.operators.dedup import position
 from rankloom.operators.lookup import look_up
 from rankloom.schema import CATALOG_COLUMNS, LINK_COLUMNS
 
@@ -19,8 +20,9 @@ def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
                   overlay: DataFrame | None = None) -> DataFrame:
     """Catalog of the universe (Exam, Homepage, CutoffURL).
 
-    Of several rows of ``probe`` (url, bucket), ``extras``, ``enrichment`` or
-    ``overlay`` for a key one is taken; see the ``apply_*`` steps for what each may change.
+    Of several rows for a key the first of ``probe`` (url, bucket) is taken and the last
+    of ``enrichment`` and ``overlay``, by the position ``_seq`` that readers add; see
+    the ``apply_*`` steps for what each may change.
     """
     base = universe.select(*[catalog_text(F.col(c)).alias(c)
                              for c in ("Exam", "Homepage", "CutoffURL")])
@@ -43,10 +45,14 @@ def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
 
 
 def apply_probe(df: DataFrame, probe: DataFrame) -> DataFrame:
-    """Format and scrapeability by cutoff URL; a URL never probed is unknown."""
-    side = probe.select(F.col("url").alias("_url"), F.col("bucket").alias("_bucket"))
+    """Format and scrapeability by cutoff URL; a URL never probed is unknown.
+
+    Of several probes of a URL the first counts.
+    """
+    side = probe.select(F.col("url").alias("_url"), F.col("bucket").alias("_bucket"),
+                        *position(probe))
     status = probe_status(F.coalesce("_bucket", F.lit("")))
-    return look_up(df, F.col("CutoffURL"), side, "_url").withColumn("_s", status) \
+    return look_up(df, F.col("CutoffURL"), side, "_url", "first").withColumn("_s", status) \
         .withColumns({"DataFormat": F.col("_s.format"), "Scrapeable": F.col("_s.status")}) \
         .drop("_bucket", "_s")
 
@@ -56,7 +62,7 @@ def apply_extras(df: DataFrame, extras: DataFrame | None) -> DataFrame:
     new = ["CutoffStatus", *LINK_COLUMNS]
     if extras is None:
         return df.withColumns({c: F.lit("") for c in new})
-    side = extras.select(F.trim("Exam").alias("_exam"), *new)
+    side = extras.select(F.trim("Exam").alias("_exam"), *new, *position(extras))
     return look_up(df, F.trim("Exam"), side, "_exam") \
         .withColumns({c: F.coalesce(c, F.lit("")) for c in new})
 
@@ -68,12 +74,13 @@ def _blank(c: Column) -> Column:
 def apply_enrichment(df: DataFrame, records: DataFrame) -> DataFrame:
     """Body is filled only if missing; level, metric and notes prefer the record.
 
-    ``records``: exam, body, level, metric, scope - entities decoded here.
+    ``records``: exam, body, level, metric, scope - entities decoded here. The last
+    record of an exam counts.
     """
     side = records.select(
         F.trim("exam").alias("_exam"),
         *[F.trim(unescape(F.coalesce(c, F.lit("")))).alias(f"_{c}")
-          for c in ("body", "level", "metric", "scope")])
+          for c in ("body", "level", "metric", "scope")], *position(records))
     out = look_up(df, F.trim("Exam"), side, "_exam")
 
     def prefer(new: str, old: str) -> Column:
@@ -88,11 +95,14 @@ def apply_enrichment(df: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def apply_overlay(df: DataFrame, links: DataFrame) -> DataFrame:
-    """Validated links and acronym: a listed exam is overwritten, even with ""."""
+    """Validated links and acronym: a listed exam is overwritten, even with "".
+
+    The last row of an exam counts.
+    """
     side = links.select(
         F.trim("exam").alias("_exam"),
         *[strip(F.coalesce(c, F.lit(""))).alias(f"_{c}")
-          for c in ("homepage", "cutoff", "acronym")])
+          for c in ("homepage", "cutoff", "acronym")], *position(links))
     listed = F.coalesce("_listed", F.lit(False))
     out = look_up(df, F.trim("Exam"), side.withColumn("_listed", F.lit(True)), "_exam")
     return out.withColumns({

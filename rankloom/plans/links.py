@@ -11,7 +11,7 @@ from rankloom.functions.urls import (
     DEEP_AGGREGATORS, LINK_AGGREGATORS, RESEARCH_AGGREGATORS, bare_host, has_depth, has_http,
     is_aggregator_bare, on_domains, reachable,
 )
-from rankloom.operators.dedup import keep_best, unique_by
+from rankloom.operators.dedup import keep_best, position, unique_by
 from rankloom.operators.lookup import look_up
 
 
@@ -23,13 +23,14 @@ def link_kind(url: Column, ok: Column) -> Column:
 
 
 def _by_url(status: DataFrame, name: str) -> DataFrame:
-    return status.select(F.col("url").alias(f"_{name}_url"), F.col("ok").alias(f"_{name}_ok"))
+    return status.select(F.col("url").alias(f"_{name}_url"), F.col("ok").alias(f"_{name}_ok"),
+                         *position(status))
 
 
 def probe_links(catalog: DataFrame, status: DataFrame) -> DataFrame:
     """Kind and showability of both links of every exam.
 
-    ``status``: probed urls with ``ok``.
+    ``status``: probed urls with ``ok``; the last probe of a url counts.
     """
     out = catalog
     for name, column in (("home", "Homepage"), ("cutoff", "CutoffURL")):
@@ -52,7 +53,8 @@ def choose_links(probed: DataFrame, records: DataFrame, live: DataFrame) -> Data
     ``records``: exam, homepage, cutoff, acronym. ``live``: urls with ``ok``.
     """
     found = records.select(F.trim("exam").alias("_exam"), _text("homepage").alias("_home"),
-                           _text("cutoff").alias("_cut"), _text("acronym").alias("acronym"))
+                           _text("cutoff").alias("_cut"), _text("acronym").alias("acronym"),
+                           *position(records))
     out = look_up(probed, F.trim("Exam"), found, "_exam")
     for name in ("home", "cut"):
         side = _by_url(live, name)
@@ -93,7 +95,8 @@ def choose_deep_links(existing: DataFrame, records: DataFrame, status: DataFrame
     reachable, new before old. All candidates meet the status table in one join.
     """
     new = records.select(F.trim("exam").alias("_exam"), _text("homepage").alias("_home"),
-                         _text("cutoff").alias("_cut"), _text("acronym").alias("_acr"))
+                         _text("cutoff").alias("_cut"), _text("acronym").alias("_acr"),
+                         *position(records))
     both = look_up(existing, F.trim("exam"), new, "_exam")
 
     def option(field: str, at: int, column: str) -> Column:
@@ -106,7 +109,8 @@ def choose_deep_links(existing: DataFrame, records: DataFrame, status: DataFrame
         .filter(has_http(F.col("url"))) \
         .filter(~on_domains(bare_host(F.col("url")), DEEP_AGGREGATORS))
     codes = unique_by(status.select(F.col("url").alias("_url"),
-                                    F.col("status").alias("_code")), ["_url"])
+                                    F.col("status").alias("_code"), *position(status)),
+                      ["_url"])
     good = options.join(codes, F.col("url") == F.col("_url")) \
         .filter(reachable(F.col("_code")))
     depth = F.when(F.col("field") == "cut", (~has_depth(F.col("url"))).cast("int")).otherwise(0)

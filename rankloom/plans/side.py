@@ -14,16 +14,17 @@ from rankloom.functions.relevance import (
 from rankloom.functions.rules import ladder
 from rankloom.functions.text import first_group, missing_to_blank, strip
 from rankloom.operators.conform import project_deliverable
-from rankloom.operators.dedup import DISTIL_KEY, keep_best, keep_first, unique_by
+from rankloom.operators.dedup import DISTIL_KEY, keep_best, keep_first, position, unique_by
 from rankloom.operators.htmltables import html_tables
 from rankloom.operators.rawrows import raw_rows
 from rankloom.schema import UNION_COLUMNS, WEB_COLUMNS
 
 
 def with_website(df: DataFrame, websites: DataFrame, exam: str = "Exam") -> DataFrame:
-    """Attach the official website by exam; of several rows for an exam one is taken."""
+    """Attach the official website by exam; of several rows for an exam the last is taken."""
     side = unique_by(websites.select(F.col("exam").alias("_exam"),
-                                     F.col("website").alias("_website")), ["_exam"])
+                                     F.col("website").alias("_website"), *position(websites)),
+                     ["_exam"])
     return df.join(side, F.col(exam) == F.col("_exam"), "left").drop("_exam")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -29,6 +31,23 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name below the one that driver and executors share.
+
+    That is ``spark.checkpoint.dir`` or, where it is unset, the warehouse.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) \
+        or spark.sparkContext.getConf().get("spark.checkpoint.dir") \
+        or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    return f"{base}/{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own making, on whatever store it lies."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def build_session(app: str = "rankloom", master: str | None = None,
                   **overrides: str) -> SparkSession:
     """A session with the library defaults; ``overrides`` use ``_`` for ``.``."""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from rankloom.functions.text import catalog_text, strip
-from rankloom.operators.dedup import keep_first, keep_last, with_file_order
+from rankloom.operators.dedup import (
+    POSITION, keep_first, keep_last, position, with_file_order,
+)
 from rankloom.schema import (
     CANON, LINK_COLUMNS, RAW, SEGMENT, SNAPSHOT_COLUMNS, empty_canonical,
 )
@@ -104,10 +106,19 @@ def read_exam_sheets(spark: SparkSession, universe: str, links: str,
     return rows, keep_last(sheet.filter(F.col("Exam") != ""), ["Exam"], ["_seq"]).drop("_seq")
 
 
+def read_ordered(spark: SparkSession, path: str, schema: str | StructType | None = None
+                 ) -> DataFrame:
+    """Parquet rows with their position ``_seq``: file, then row in the file."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(path).withColumn(POSITION, F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+
+
 def last_by_key(df: DataFrame, key: str) -> DataFrame:
-    """Last row per key of a frame without positions, in the order Spark reads it."""
-    ordered = df.withColumn("_seq", F.monotonically_increasing_id())
-    return keep_last(ordered, [key], ["_seq"]).drop("_seq")
+    """Last row per key by ``_seq``; a frame without it is taken in the order Spark reads it."""
+    if POSITION not in df.columns:
+        df = df.withColumn(POSITION, F.monotonically_increasing_id())
+    return keep_last(df, [key], [POSITION]).drop(POSITION)
 
 
 # Headings of the spreadsheet variant of the links sheet.
@@ -120,8 +131,9 @@ def tidy_extras(sheet: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Links sheet for the catalog: cleaned, leaked header dropped, first row wins."""
     df = sheet.withColumnsRenamed(EXTRAS_RENAMES)
     if order is None:
-        df = df.withColumn("_seq", F.monotonically_increasing_id())
-        order = ["_seq"]
+        if POSITION not in df.columns:
+            df = df.withColumn(POSITION, F.monotonically_increasing_id())
+        order = [POSITION]
     cols = [(catalog_text(F.col(c)) if c in df.columns else F.lit("")).alias(c)
             for c in LINK_SHEET_COLUMNS]
     df = df.select(*cols, *order).filter(F.col("Exam") != "Exam Name")
@@ -132,7 +144,8 @@ def probe_buckets(probe: DataFrame, order: list[str] | None = None) -> DataFrame
     """(url, bucket), trimmed, blank urls dropped, last row per url."""
     df = probe.select(strip(F.col("url")).alias("url"),
                       strip(F.coalesce("bucket", F.lit(""))).alias("bucket"),
-                      *(order or [])).filter(F.coalesce(F.col("url"), F.lit("")) != "")
+                      *(order or position(probe))) \
+        .filter(F.coalesce(F.col("url"), F.lit("")) != "")
     return keep_last(df, ["url"], order).drop(*order) if order else last_by_key(df, "url")
 
 

@@ -1,4 +1,9 @@
-"""Sources: a description plus a loader that returns canonical-shaped rows."""
+"""Sources: a description plus a loader that returns canonical-shaped rows.
+
+A refresh is written to a folder of its own before anything reads it. Only when the
+whole of it is written and holds rows does it become the source; whatever breaks
+before, in whichever partition, leaves the snapshot in place.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +11,12 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+from rankloom.session import shared_folder
 
 Loader = Callable[[SparkSession], DataFrame]
 
@@ -35,17 +44,34 @@ class SourceSpec:
     cached: Loader
     latest: Loader | None = None
 
-    def load(self, spark: SparkSession, mode: str = "cached") -> DataFrame:
-        """Rows of the asked mode; a refresh that is empty or fails gives the snapshot."""
+    def load(self, spark: SparkSession, mode: str = "cached", stage: str | None = None
+             ) -> DataFrame:
+        """Rows of the asked mode; a refresh that is empty or fails gives the snapshot.
+
+        ``stage`` is the folder for written refreshes; it belongs to the caller and
+        must last as long as the rows are read (default: a new shared folder).
+        """
         if mode == "latest" and self.latest is not None:
-            try:
-                fresh = self.latest(spark)
-                if not fresh.isEmpty():
-                    return fresh
-            except PySparkException as exc:
-                warnings.warn(f"refresh of {self.meta.name} failed: {exc}", stacklevel=2)
+            fresh = self._refresh(spark, stage or shared_folder(spark))
+            if fresh is not None:
+                return fresh
         return self.cached(spark)
 
+    def _refresh(self, spark: SparkSession, stage: str) -> DataFrame | None:
+        """The refresh as written and read back; None where it broke or has no rows."""
+        path, seen = f"{stage}/{self.meta.name}", Observation(f"refresh {self.meta.name}")
+        try:
+            fresh = self.latest(spark).observe(seen, F.count(F.lit(1)).alias("rows"))
+            # the writer's commit makes a folder whole or leaves it without a success mark
+            fresh.write.mode("overwrite").parquet(path)
+            if int(seen.get["rows"]):
+                return spark.read.schema(fresh.schema).parquet(path)
+            warnings.warn(f"refresh of {self.meta.name} is empty", stacklevel=3)
+        except (PySparkException, Py4JJavaError) as exc:
+            reason = str(exc).splitlines()[0]
+            warnings.warn(f"refresh of {self.meta.name} failed: {reason}", stacklevel=3)
+        return None
+
 
 class SourceRegistry:
     """Named sources in registration order."""

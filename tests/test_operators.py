@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from rankloom.operators import grids
 from rankloom.operators.carry import carry_forward, heading_above
 from rankloom.operators.conform import dedouble_rows, normalize
-from rankloom.operators.dedup import keep_first, keep_last
+from rankloom.operators.dedup import keep_first, keep_last, unique_by
+from rankloom.operators.lookup import look_up
 from rankloom.operators.htmltables import html_tables, page_tables
 from rankloom.operators.mapping import map_tables
 from rankloom.operators.rawrows import raw_rows
@@ -238,3 +239,26 @@ def test_carry_keeps_null_pages(spark):
     rows = carry_forward(df, "doc", "page", ["line"], {"got": F.col("v")}).collect()
     assert sorted((r.doc or "", r.page or 0, r.line, r.got) for r in rows) == [
         ("", 3, 1, "b"), ("d", 0, 1, "a"), ("d", 0, 2, "a"), ("d", 1, 1, "c"), ("d", 1, 2, "c")]
+
+
+def test_look_up_takes_first_or_last_by_position(spark):
+    rows = [("a", "z first", 1), ("a", "m middle", 5), ("a", "b last", 9), ("b", None, 2),
+            ("b", "x", 1), ("", "never", 1), (None, "never", 2)]
+    side = spark.createDataFrame(rows, "k string, v string, _seq int").repartition(3)
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("", 4), (None, 5)],
+                               "key string, n int")
+
+    def found(keep, frame):
+        return {r.n: r.v for r in look_up(df, F.col("key"), frame, "k", keep).collect()}
+    assert found("last", side) == {1: "b last", 2: None, 3: None, 4: None, 5: None}
+    assert found("first", side) == {1: "z first", 2: "x", 3: None, 4: None, 5: None}
+    assert found("last", side.drop("_seq"))[1] == "z first"     # no order: the greatest
+    assert unique_by(side, ["k"]).columns == ["k", "v"]
+
+
+def test_a_hot_key_of_a_look_up_folds_before_the_shuffle(spark):
+    side = spark.range(0, 100000, 1, 4).selectExpr(
+        "'hot' as k", "cast(id as string) as v", "id as _seq")
+    plan = unique_by(side, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" in plan
+    assert unique_by(side, ["k"]).first().v == "99999"

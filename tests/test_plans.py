@@ -264,7 +264,8 @@ def test_catalog_links_and_report_jobs(spark, tmp_path):
     assert args.run(spark, args)["exams"] == 2
     spark.createDataFrame([("http://a.in/", True), ("http://a.in/", True), ("http://a.in/c", False)],
                           "url string, ok boolean").write.parquet(f"{out}/status")
-    spark.createDataFrame([("ABC Exam", "", "http://b.in/x", "ABC"), ("ABC Exam", "", "", "ABC")],
+    # of several records for an exam the last one counts
+    spark.createDataFrame([("ABC Exam", "", "", "ABC"), ("ABC Exam", "", "http://b.in/x", "ABC")],
                           "exam string, homepage string, cutoff string, acronym string") \
         .write.parquet(f"{out}/records")
     spark.createDataFrame([("http://b.in/x", True)], "url string, ok boolean") \
@@ -298,6 +299,46 @@ def test_failing_refresh_gives_the_snapshot(spark):
         assert spec.load(spark, "latest").count() == 3
 
 
+def test_refresh_that_breaks_in_its_last_partition(spark, tmp_path):
+    """All partitions but one are written when it breaks: nothing of them is seen."""
+    def torn(spark):
+        return spark.range(0, 40, 1, 8).select(
+            F.when(F.col("id") < 39, F.col("id")).otherwise(
+                F.raise_error(F.lit("torn")).cast("long")).alias("id"))
+    kept = spark.range(3)
+    spec = SourceSpec(SourceMeta("x", "X", "UG"), lambda _: kept, torn)
+    assert not torn(spark).limit(1).isEmpty()   # a look at the first partition sees no fault
+    with pytest.warns(UserWarning, match="refresh of x failed"):
+        assert spec.load(spark, "latest", str(tmp_path)).count() == 3
+    assert not (tmp_path / "x" / "_SUCCESS").exists()
+
+
+def test_refresh_is_read_from_what_was_written(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        runs.add(1)
+        yield from batches
+    spec = SourceSpec(SourceMeta("x", "X", "UG"), lambda _: spark.range(3),
+                      lambda s: s.range(5).coalesce(1).mapInPandas(counted, "id long"))
+    fresh = spec.load(spark, "latest", str(tmp_path))
+    assert fresh.count() == 5 and fresh.count() == 5 and runs.value == 1
+    empty = SourceSpec(SourceMeta("y", "Y", "UG"), lambda _: spark.range(3), lambda s: s.range(0))
+    with pytest.warns(UserWarning, match="refresh of y is empty"):
+        assert empty.load(spark, "latest", str(tmp_path)).count() == 3
+
+
+def test_run_removes_its_staged_refreshes(spark, tmp_path, monkeypatch):
+    stage = tmp_path / "stage"
+    monkeypatch.setattr(ingest, "shared_folder", lambda _: str(stage))
+    registry = SourceRegistry()
+    fresh = spark.createDataFrame([("A", 2024)], "Institute string, Year long")
+    registry.register(SourceSpec(SourceMeta("x", "X", "UG"), lambda _: fresh.limit(0),
+                                 lambda _: fresh))
+    meta = ingest.run(spark, registry, str(tmp_path / "out"), mode="latest", when="now")
+    assert meta["rows"] == 1 and not stage.exists()
+
+
 def test_stream_appends(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.csv").write_text(SNAPSHOT)
