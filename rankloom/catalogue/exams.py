@@ -116,7 +116,7 @@ def _by_wording(values: dict[int, object], default: str) -> str:
     return f"CASE p_partkey % {_N} {cases} ELSE {default} END"
 
 
-_CATALOG_SQL = f"""
+CATALOG_SQL = f"""
   c AS (SELECT p_partkey, {_by_wording({i: w[0] for i, w in enumerate(EXAM_WORDINGS)}, "''")}
       || ' - ' || p_partkey AS "Exam",
     CASE WHEN p_type in ('LARGE', 'ECONOMY') THEN 'A&B' || p_size ELSE '' END AS "Acronym",
@@ -143,7 +143,7 @@ _CATALOG_SQL = f"""
     '' AS "Shiksha", '' AS "Careers360", '' AS "CollegeDekho" FROM part)"""
 
 
-def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exam_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     wordings = ", ".join(f"'{w[0]}'" for w in EXAM_WORDINGS)
     part = table(spark, sf_dir, "part").withColumns({
         "name": F.expr(f"concat(element_at(array({wordings}), cast(p_partkey % {_N} + 1 as int)), "
@@ -210,36 +210,36 @@ def catalog_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
         "Exam", "CutoffURL", "DataFormat", "Metric", "Notes")
 
 
-@query("catalog_build", f"""WITH {_CATALOG_SQL} SELECT * EXCLUDE (p_partkey) FROM c""")
+@query("catalog_build", f"""WITH {CATALOG_SQL} SELECT * EXCLUDE (p_partkey) FROM c""")
 def catalog_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalog(spark, sf_dir)
+    return exam_catalog(spark, sf_dir)
 
 
-@query("catalog_explorer", f"""WITH {_CATALOG_SQL} SELECT "Exam", "State", "CutoffURL" FROM c
+@query("catalog_explorer", f"""WITH {CATALOG_SQL} SELECT "Exam", "State", "CutoffURL" FROM c
   WHERE "Level" = 'UG' AND "CutoffStatus" = 'Official Cutoff' AND "Exam" ILIKE '%ENTRANCE%'""")
 def catalog_explorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cat.explorer(_catalog(spark, sf_dir), level="UG", status="Official Cutoff",
+    found = cat.explorer(exam_catalog(spark, sf_dir), level="UG", status="Official Cutoff",
                          search="ENTRANCE")
     return found.select("Exam", "State", "CutoffURL")
 
 
-@query("explorer_kpis", f"""WITH {_CATALOG_SQL} SELECT count(*) AS exams,
+@query("explorer_kpis", f"""WITH {CATALOG_SQL} SELECT count(*) AS exams,
   count(DISTINCT "Category") AS categories, count(DISTINCT "State") AS states,
   count_if("CutoffStatus" = 'Official Cutoff') AS official, count_if("Homepage" <> '') AS homepages,
   count_if("CutoffURL" <> '') AS cutoff_pages FROM c""")
 def explorer_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.explorer_metrics(_catalog(spark, sf_dir))
+    return cat.explorer_metrics(exam_catalog(spark, sf_dir))
 
 
-@query("scrapeable_exams", f"""WITH {_CATALOG_SQL} SELECT "Exam", "CutoffURL" FROM c
+@query("scrapeable_exams", f"""WITH {CATALOG_SQL} SELECT "Exam", "CutoffURL" FROM c
   WHERE "DataFormat" = 'html' AND "CutoffURL" <> '' """)
 def scrapeable_exams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cat.scrapeable(_catalog(spark, sf_dir)).select("Exam", "CutoffURL")
+    return cat.scrapeable(exam_catalog(spark, sf_dir)).select("Exam", "CutoffURL")
 
 
-@query("catalog_value_counts", f"""WITH {_CATALOG_SQL} SELECT "Category", "Level", count(*) AS n
+@query("catalog_value_counts", f"""WITH {CATALOG_SQL} SELECT "Category", "Level", count(*) AS n
   FROM c GROUP BY 1, 2""")
 def catalog_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _catalog(spark, sf_dir).groupBy("Category", "Level").agg(F.count(F.lit(1)).alias("n"))
+    return exam_catalog(spark, sf_dir).groupBy("Category", "Level").agg(F.count(F.lit(1)).alias("n"))
 
 

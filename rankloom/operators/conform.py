@@ -8,7 +8,9 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import (
+    ArrayType, DataType, FractionalType, IntegralType, MapType, StringType, StructType,
+)
 
 from rankloom.functions.classify import program_of, with_category_group, with_city
 from rankloom.functions.numbers import canon_int
@@ -127,3 +129,54 @@ def project_deliverable(df: DataFrame, include_category: bool = False) -> DataFr
 def deliverable(df: DataFrame, include_category: bool = False) -> DataFrame:
     """The projection without the rows that became equal by dropping columns."""
     return project_deliverable(df, include_category).dropDuplicates()
+
+
+# --- other fixed tables ---------------------------------------------------------
+def _as_type(column: str, found: DataType, wanted: DataType) -> Column:
+    """A cell in the wanted type; null where it cannot be read as that."""
+    c = F.col(f"`{column}`")
+    if found == wanted:
+        return c
+    if isinstance(wanted, StringType) and isinstance(found, ArrayType | MapType | StructType):
+        return F.to_json(c)
+    if isinstance(wanted, IntegralType) and isinstance(found, FractionalType):
+        return F.when(c == F.floor(c), c.try_cast(wanted))     # no part of a number is cut off
+    return c.try_cast(wanted)
+
+
+def conform_to(df: DataFrame, schema: StructType, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Exactly the columns of ``schema``, in its order and types, and ``keep``.
+
+    Extra columns are dropped, missing ones are null, cells that cannot be read in
+    their column's type are null (see ``conformance_report``).
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    return df.select(*[
+        (_as_type(f.name, types[f.name], f.dataType) if f.name in types
+         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields], *keep)
+
+
+def conformance_report(df: DataFrame, schema: StructType) -> DataFrame:
+    """What ``conform_to`` does to each column, counted in one pass.
+
+    ``column, action, found_type, wanted_type, filled, unreadable``: the action is
+    kept, cast, missing or dropped; ``filled`` counts the cells that are not null,
+    ``unreadable`` those of them that become null.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    wanted = {f.name: f.dataType for f in schema.fields}
+    entries, counts = [], []
+    for at, name in enumerate([*wanted, *[c for c in types if c not in wanted]]):
+        found, target = types.get(name), wanted.get(name)
+        action = "missing" if found is None else "dropped" if target is None \
+            else "kept" if found == target else "cast"
+        cell = F.col(f"`{name}`") if found is not None else F.lit(None)
+        read = _as_type(name, found, target) if action in ("kept", "cast") else cell
+        counts += [F.count(cell).alias(f"f{at}"),
+                   F.count_if(cell.isNotNull() & read.isNull()).alias(f"u{at}")]
+        entries.append(F.struct(
+            F.lit(name).alias("column"), F.lit(action).alias("action"),
+            F.lit(found and found.simpleString()).cast("string").alias("found_type"),
+            F.lit(target and target.simpleString()).cast("string").alias("wanted_type"),
+            F.col(f"f{at}").alias("filled"), F.col(f"u{at}").alias("unreadable")))
+    return df.agg(*counts).select(F.inline(F.array(*entries)))

@@ -12,14 +12,19 @@ from rankloom.functions.embedded import unescape
 from rankloom.functions.text import catalog_text, strip
 from rankloom.operators.dedup import position
 from rankloom.operators.lookup import look_up
+from rankloom.operators.needles import first_needle
 from rankloom.schema import CATALOG_COLUMNS, LINK_COLUMNS
 
 
 def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
                   extras: DataFrame | None = None, enrichment: DataFrame | None = None,
-                  overlay: DataFrame | None = None) -> DataFrame:
+                  overlay: DataFrame | None = None, reference: DataFrame | None = None,
+                  ) -> DataFrame:
     """Catalog of the universe (Exam, Homepage, CutoffURL).
 
+    ``reference`` (needle, priority, body, metric, applicants, seats) replaces the
+    built-in reference list by a table of any size.
+
     Of several rows for a key the first of ``probe`` (url, bucket) is taken and the last
     of ``enrichment`` and ``overlay``, by the position ``_seq`` that readers add; see
     the ``apply_*`` steps for what each may change.
@@ -28,8 +33,9 @@ def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
                              for c in ("Exam", "Homepage", "CutoffURL")])
     ref = base.select("*", exam_category(F.col("Exam")).alias("Category"),
                       exam_level(F.col("Exam")).alias("Level"),
-                      exam_state(F.col("Exam")).alias("State"),
-                      exam_reference(F.col("Exam")).alias("_ref"))
+                      exam_state(F.col("Exam")).alias("State"))
+    ref = ref.withColumn("_ref", exam_reference(F.col("Exam"))) if reference is None \
+        else apply_reference(ref, reference)
     out = apply_probe(ref, probe) if probe is not None else ref.withColumns(
         {"DataFormat": F.lit("unknown"), "Scrapeable": F.lit("unknown")})
     out = out.withColumns({
@@ -44,6 +50,19 @@ def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
     return out.select(*CATALOG_COLUMNS).orderBy("Category", "Exam")
 
 
+def apply_reference(df: DataFrame, reference: DataFrame) -> DataFrame:
+    """``_ref`` (body, metric, applicants, seats) of the first needle in the exam's name."""
+    side = reference.select("needle", "priority", *[
+        F.col(c).cast(t).alias(f"_{c}") for c, t in (("body", "string"), ("metric", "string"),
+                                                     ("applicants", "long"), ("seats", "long"))])
+    found = first_needle(df, F.col("Exam"), side, "needle", "priority")
+    return found.withColumn("_ref", F.struct(
+        F.coalesce("_body", F.lit("")).alias("body"),
+        F.coalesce("_metric", F.lit("")).alias("metric"),
+        F.col("_applicants").alias("applicants"), F.col("_seats").alias("seats"))) \
+        .drop("_body", "_metric", "_applicants", "_seats")
+
+
 def apply_probe(df: DataFrame, probe: DataFrame) -> DataFrame:
     """Format and scrapeability by cutoff URL; a URL never probed is unknown.
 

@@ -85,9 +85,18 @@ def read_canonical(spark: SparkSession, path: str, renormalize: bool = True) ->
     return normalize(df) if renormalize else df
 
 
-def read_raw_tables(spark: SparkSession, path: str) -> DataFrame:
-    """Raw third-party Parquet files with their file and row order attached."""
-    return with_file_order(spark.read.schema(RAW).parquet(path))
+def read_raw_tables(spark: SparkSession, path: str, foreign: bool = False) -> DataFrame:
+    """Raw third-party Parquet files with their file and row order attached.
+
+    ``foreign`` files were not written by this library: their own columns are read and
+    conformed, so a column of another type is cast and does not break the scan.
+    """
+    from rankloom.operators.conform import conform_to
+
+    if not foreign:
+        return with_file_order(spark.read.schema(RAW).parquet(path))
+    rows = with_file_order(spark.read.option("mergeSchema", True).parquet(path))
+    return conform_to(rows, RAW, ("_file", "_row"))
 
 
 # --- sheets --------------------------------------------------------------------
