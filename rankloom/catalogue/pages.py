@@ -22,6 +22,7 @@ from rankloom.operators.htmltables import html_tables
 from rankloom.operators.mapping import map_tables
 from rankloom.operators.rawrows import raw_rows
 from rankloom.plans import bulk, links, side, sites
+from rankloom.session import shared_folder
 
 _ITEM_SQL = """i AS (SELECT *, 'College ' || l_suppkey || ' of Arts' AS inst,
   'Branch ' || l_partkey AS branch, CAST(floor(l_extendedprice) AS BIGINT) AS hi,
@@ -594,6 +595,80 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("position", "fetcher", "status", "rows", "note")
 
 
+_OFFICIAL = """
+  l AS (SELECT p_partkey AS position, p_size AS h, p_partkey % 17 = 0 AS prose,
+      CASE p_partkey % 7 WHEN 0 THEN 'http_404' WHEN 1 THEN 'pdf_multipage' ELSE 'html_table_rank' END
+      AS bucket, p_partkey % 5 IN (1, 3) AS failed, p_partkey % 3 = 0 AS bare FROM part),
+  t AS (SELECT *, CASE WHEN prose THEN 'skip' WHEN bucket = 'http_404' THEN 'dead'
+      WHEN failed THEN 'error' WHEN bare THEN 'empty' ELSE 'ok' END AS seen FROM l),
+  o AS (SELECT h, position, seen = 'error' AS e,
+      count_if(seen = 'ok') OVER (PARTITION BY h ORDER BY position) AS island
+    FROM t WHERE seen IN ('ok', 'error')),
+  r AS (SELECT h, position, count_if(e) OVER (PARTITION BY h, island ORDER BY position) AS run FROM o),
+  a AS (SELECT h AS ah, min(position) AS opened FROM r WHERE run >= 3 GROUP BY 1),
+  s AS (SELECT *, CASE WHEN seen IN ('skip', 'dead') THEN seen
+      WHEN position > coalesce(opened, 9e15) THEN 'circuit-open' ELSE seen END AS status
+    FROM t LEFT JOIN a ON ah = h)"""
+
+
+def _official(spark: SparkSession, sf_dir: str) -> tuple[bulk.OfficialPass, bulk.OfficialPass]:
+    """Parts are official links, walked in two passes; the second goes on from the first."""
+    part = table(spark, sf_dir, "part").withColumn("url", F.expr(
+        "if(p_partkey % 17 = 0, 'ask the office', "
+        "concat('https://h', p_size, '.in/', p_partkey))"))
+    none = F.lit(None).cast("string")
+    links = part.select(
+        F.col("p_partkey").alias("position"), F.col("p_name").alias("exam"), "url",
+        (F.col("p_partkey") % 17 == 0).alias("prose"), F.lit("https://home.in/").alias("website"),
+        none.alias("body"), F.lit("UG").alias("level"), none.alias("state"))
+    probe = part.selectExpr("url", "case p_partkey % 7 when 0 then 'http_404' "
+                                   "when 1 then 'pdf_multipage' else 'html_table_rank' end as bucket")
+    log = part.selectExpr("url", "if(p_partkey % 5 in (1, 3), 'timed out', null) as error")
+    pages = part.selectExpr(
+        "url", "if(p_partkey % 3 = 0, '<p>No tables</p>', concat('<table><tr><th>Institute</th>"
+        "<th>Branch</th><th>Closing Rank</th></tr><tr><td>College ', p_partkey, '</td><td>', p_type, "
+        "'</td><td>', p_partkey + 1, '</td></tr></table>')) as html")
+    grids = part.filter("p_partkey % 3 <> 0").selectExpr(
+        "url as doc_id", "1L as page", "0L as table_idx", "inline(array("
+        "struct(0L as row_idx, array('Institute', 'Branch', 'Closing Rank') as cells), "
+        "struct(1L as row_idx, array(concat('College ', p_partkey), p_type, "
+        "cast(p_partkey + 1 as string)) as cells)))")
+    stage = shared_folder(spark)
+    first = bulk.official_pass(links.filter("position < 1000"), probe, log, pages,
+                               f"{stage}/1", grids, rows_per_block=64)
+    second = bulk.official_pass(links.filter("position >= 1000"), probe, log, pages,
+                                f"{stage}/2", grids, carried=first.hosts, rows_per_block=64)
+    return first, second
+
+
+@query("bulk_official", f"""WITH {_OFFICIAL} SELECT 'College ' || position AS "Institute",
+    position + 1 AS "ClosingRank", 'https://h' || h || '.in/' || position AS "SourceURL",
+    'https://home.in/' AS "Website" FROM s WHERE status = 'ok'""")
+def bulk_official(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the links that a walk in two passes still tries."""
+    passes = _official(spark, sf_dir)
+    rows = passes[0].rows.unionByName(passes[1].rows)
+    return rows.select("Institute", "ClosingRank", "SourceURL", "Website")
+
+
+@query("bulk_official_report", f"""WITH {_OFFICIAL} SELECT position, status,
+    CASE WHEN status = 'ok' THEN 1 ELSE 0 END AS rows FROM s""")
+def bulk_official_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    passes = _official(spark, sf_dir)
+    report = passes[0].report.unionByName(passes[1].report)
+    return report.select("position", "status", "rows")
+
+
+@query("bulk_official_hosts", f"""WITH {_OFFICIAL},
+  k AS (SELECT h, position, seen = 'error' AS e FROM s WHERE status IN ('ok', 'error')),
+  z AS (SELECT h, max(CASE WHEN NOT e THEN position END) AS good FROM k GROUP BY 1)
+  SELECT 'h' || k.h || '.in' AS host, CAST(count(*) AS INTEGER) AS failures FROM k JOIN z USING (h)
+  WHERE e AND position > coalesce(good, -1) GROUP BY 1""")
+def bulk_official_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures in a row that the two passes leave behind."""
+    return _official(spark, sf_dir)[1].hosts
+
+
 @query("strategy_tally", """
   SELECT CASE event_type WHEN 'click' THEN 'none' WHEN 'view' THEN 'pdf' WHEN 'error' THEN '(blank)'
     ELSE 'html' END AS value, count(*) AS n FROM events GROUP BY 1""")

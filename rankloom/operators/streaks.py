@@ -15,13 +15,32 @@ LIMIT = 3
 ROWS_PER_BLOCK = 1 << 16
 
 
-def opening_positions(log: DataFrame, host: str, position: str, status: str,
-                      rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """(host, opened_at): the position of the failure that opens the host."""
-    block = F.expr(f"`{position}` div {int(rows_per_block)}")
+def _hits(log: DataFrame, host: str, position: str, status: str,
+          carried: DataFrame | None) -> DataFrame:
+    """``_host, _pos, _err`` of answers and failures; carried failures stand before all."""
     hits = log.filter(F.col(status).isin("ok", "error")).select(
-        F.col(host).alias("_host"), F.col(position).alias("_pos"), block.alias("_block"),
+        F.col(host).alias("_host"), F.col(position).cast("long").alias("_pos"),
         (F.col(status) == "error").cast("int").alias("_err"))
+    if carried is None:
+        return hits
+    # at most LIMIT rows per host
+    before = carried.filter(F.col("failures") > 0).select(
+        F.col(host).alias("_host"), F.explode(F.sequence(
+            -F.least(F.col("failures"), F.lit(LIMIT)).cast("long"), F.lit(-1).cast("long")))
+        .alias("_pos"), F.lit(1).alias("_err"))
+    return hits.unionByName(before)
+
+
+def opening_positions(log: DataFrame, host: str, position: str, status: str,
+                      rows_per_block: int = ROWS_PER_BLOCK,
+                      carried: DataFrame | None = None) -> DataFrame:
+    """(host, opened_at): the position of the failure that opens the host.
+
+    Positions count from 0. ``carried`` (host, failures) is what an earlier log left
+    behind, see ``host_streaks``; a host that was open then opens before position 0.
+    """
+    hits = _hits(log, host, position, status, carried).withColumn(
+        "_block", F.expr(f"_pos div {int(rows_per_block)}"))
 
     so_far = Window.partitionBy("_host", "_block").orderBy("_pos")
     running = hits.withColumn(
@@ -58,10 +77,27 @@ def opening_positions(log: DataFrame, host: str, position: str, status: str,
 
 
 def latch(log: DataFrame, host: str, position: str, status: str,
-          rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+          rows_per_block: int = ROWS_PER_BLOCK, carried: DataFrame | None = None) -> DataFrame:
     """``log`` with ``circuit_open``: true for rows past their host's opening."""
-    opened = opening_positions(log, host, position, status, rows_per_block)
+    opened = opening_positions(log, host, position, status, rows_per_block, carried)
     return log.join(opened, host, "left") \
         .withColumn("circuit_open", F.coalesce(F.col(position) > F.col("opened_at"),
                                                F.lit(False))) \
         .drop("opened_at")
+
+
+def host_streaks(latched: DataFrame, host: str, position: str, status: str,
+                 carried: DataFrame | None = None) -> DataFrame:
+    """(host, failures): failures in a row at the end of a latched log, LIMIT where open.
+
+    Hosts without failures are left out; those of ``carried`` that the log does not
+    mention stay. A host's last LIMIT answers decide: they are numbered from the end,
+    so every map task sends at most LIMIT rows per host.
+    """
+    tried = latched.filter(~F.col("circuit_open"))
+    latest = Window.partitionBy("_host").orderBy(F.desc("_pos"))
+    last = _hits(tried, host, position, status, carried) \
+        .withColumn("_back", F.row_number().over(latest)).filter(F.col("_back") <= LIMIT)
+    return last.groupBy(F.col("_host").alias(host)).agg(F.coalesce(
+        F.min(F.when(F.col("_err") == 0, F.col("_back"))) - 1, F.count(F.lit(1)))
+        .cast("int").alias("failures")).filter(F.col("failures") > 0)
