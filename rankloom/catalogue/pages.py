@@ -40,13 +40,16 @@ _PAGE_HTML = """concat(
   '</table><p>tail</p><table><tr><td>loose</td><td>', lo, '</td></tr></table></body>')"""
 
 
-def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem", heavy=True).withColumns({
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem", heavy=True).withColumns({
         "inst": F.expr("concat('College ', cast(l_suppkey as string), ' of Arts')"),
         "branch": F.expr("concat('Branch ', cast(l_partkey as string))"),
         "hi": F.expr("cast(cast(floor(l_extendedprice) as bigint) as string)"),
         "lo": F.expr("cast(cast(floor(l_extendedprice / 10) as bigint) as string)")})
-    return items.selectExpr(
+
+
+def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as page_id",
         "concat('https://x.org/', cast(l_orderkey as string), '/p.html') as url",
         f"{_PAGE_HTML} as html", "'html' as kind")
@@ -68,6 +71,46 @@ def tables_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("page_id", "table_idx", "caption", "header", F.array_join("r", "|").alias("cells"))
 
 
+# The same tables as people write them, four kinds in turn: no end tags and capital
+# letters; tables broken off, with text between the cells; spans and hidden rows;
+# scripts, comments and entities without their semicolon.
+_ROUGH_HTML = """case l_linenumber % 4
+  when 0 then concat('<H2>Cut <I>off</I> &amp lists<TABLE border=1 class=wide><TR><TH>Institute<TH>',
+    'Branch<TH>Closing Rank<TR bgcolor=red><TD>', inst, '<TD nowrap>', branch, '<BR>first<TD align=right>',
+    hi, '</TABLE>')
+  when 1 then concat('<h3>Round <b>1</b></h3><table>lost<tr><td>', inst, '</td>stray<td>', branch,
+    '</td></p>more<td>', hi, '</td></tr>between<tr><td>', inst, '<td>', branch, '<td>', lo)
+  when 2 then concat('<table><caption>Ranks<thead><tr><th>Institute<th colspan="2">Of seats</thead>',
+    '<tbody><tr style="display: none"><td>no<td>no<td>no<tr><td rowspan=2>', inst, '<td>', branch, '<td>', hi,
+    '<tr><td style="DISPLAY:none">x</td><td>other<td>', lo, '<td>over</tbody></table><p>tail')
+  else concat('<script>var t = "<table><tr><td>no</td></tr></table>";</script><!-- <table><tr><td>',
+    'c</td></tr></table> --><h1>A&nbsp;&lt;b&gt;</h1><table summary=x><tr><th>In&shy;stitute</th><th>Rank</th></tr>',
+    '<tr><td>', inst, ' &amp Co</td><td>&#', 48 + l_linenumber, ';', hi, '</td></tr><tr></tr></table>') end"""
+
+
+@query("html_rough", f"""
+  WITH {_ITEM_SQL}, k AS (SELECT *, l_linenumber % 4 AS k FROM i)
+  SELECT page_id, 'Cut off & lists' AS caption, 'Institute|Branch|Closing Rank' AS header, 0 AS row_idx,
+    inst || '|' || branch || ' first|' || hi AS cells FROM k WHERE k = 0
+  UNION ALL SELECT page_id, 'Round 1', '0|1|2', 0, inst || '|' || branch || '|' || hi FROM k WHERE k = 1
+  UNION ALL SELECT page_id, 'Round 1', '0|1|2', 1, inst || '|' || branch || '|' || lo FROM k WHERE k = 1
+  UNION ALL SELECT page_id, 'Ranks', 'Institute|Of seats|Of seats|', 0,
+    inst || '|' || branch || '|' || hi || '|' FROM k WHERE k = 2
+  UNION ALL SELECT page_id, 'Ranks', 'Institute|Of seats|Of seats|', 1, inst || '|other|' || lo || '|over'
+    FROM k WHERE k = 2
+  UNION ALL SELECT page_id, 'A <b>', 'In' || chr(173) || 'stitute|Rank', 0,
+    inst || ' & Co|' || l_linenumber || hi FROM k WHERE k = 3""")
+def html_rough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of pages with implied end tags, stray text, spans and hidden elements."""
+    pages = _items(spark, sf_dir).selectExpr(
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as page_id",
+        "'https://x.org/' as url", f"{_ROUGH_HTML} as html")
+    return html_tables(pages).select(
+        "page_id", "caption", F.array_join("header", "|").alias("header"),
+        F.posexplode("rows").alias("row_idx", "r")).select(
+        "page_id", "caption", "header", "row_idx", F.array_join("r", "|").alias("cells"))
+
+
 @query("html_to_canonical", f"""
   WITH {_ITEM_SQL} SELECT 'Exam X' AS "Exam", inst AS "Institute", branch AS "Branch",
     hi AS "ClosingRank", 'https://x.org/' || l_orderkey || '/p.html' AS "SourceURL" FROM i""")

@@ -17,10 +17,11 @@ from rankloom.operators import dedup, grids
 from rankloom.operators.conform import dedouble_rows, normalize
 from rankloom.operators.htmltables import html_tables
 from rankloom.operators.mapping import map_tables, national_grid, portal_report
-from rankloom.plans.bulk import routed_parse
+from rankloom.plans.bulk import official_pass, routed_parse
 from rankloom.plans.query import round_ends
 from rankloom.schema import CANON, GRID, LINES, TABLES, WORDS, empty_canonical
-from rankloom.sources.files import path_exists, read_canonical, read_snapshot
+from rankloom.session import shared_folder
+from rankloom.sources.files import path_exists, read_canonical, read_ordered, read_snapshot
 from rankloom.sources.registry import SourceMeta, SourceRegistry, SourceSpec
 
 
@@ -203,16 +204,23 @@ def document_rows(body: Body, spark: SparkSession, base: str) -> DataFrame:
 def register_bodies(registry: SourceRegistry, snapshot_dir: str,
                     documents_dir: str | None = None,
                     bulk_path: str | None = None, bulk_pages: str | None = None,
-                    bulk_probe: str | None = None) -> SourceRegistry:
+                    bulk_probe: str | None = None, bulk_links: str | None = None,
+                    bulk_log: str | None = None) -> SourceRegistry:
     """Register every body, and the bulk official-link source as opt-in.
 
     The bulk source's refresh reads stored responses (``bulk_pages``: Parquet as
     ``parse_stored`` takes it) by the reader that the probe's bucket asks for
-    (``bulk_probe``: Parquet of url, bucket).
+    (``bulk_probe``: Parquet of url, bucket). With the links and the fetch log
+    (``bulk_links``, ``bulk_log``, see ``official_pass``) it is the whole walk: links
+    that are prose, dead, failed or past their host's third failure give no rows.
     """
     def bulk_latest(spark: SparkSession) -> DataFrame:
-        pages, probe = spark.read.parquet(bulk_pages), spark.read.parquet(bulk_probe)
-        return routed_parse(pages, probe).select(*CANON.names)
+        probe = read_ordered(spark, bulk_probe)
+        if not (bulk_links and bulk_log):
+            return routed_parse(spark.read.parquet(bulk_pages), probe).select(*CANON.names)
+        walk = official_pass(spark.read.parquet(bulk_links), probe, read_ordered(spark, bulk_log),
+                             read_ordered(spark, bulk_pages), shared_folder(spark))
+        return walk.rows.select(*CANON.names)
 
     for body in BODIES:
         registry.register(SourceSpec(

@@ -357,3 +357,30 @@ def test_entry_contract(spark):
     names = set(contract.queries())
     assert names and set(contract.oracle_sql()) <= names
     assert contract.entry(spark).count() > 0
+
+
+def test_bulk_source_walks_its_links(spark, snapshots, tmp_path):
+    """The opt-in source on refresh: stored pages, probe and log decide which links give rows."""
+    page = ("<table><tr><th>Institute</th><th>Branch</th><th>Closing Rank</th></tr>"
+            "<tr><td>{0} College</td><td>Civil</td><td>12</td></tr></table>")
+    urls = [f"https://h.in/{n}" for n in range(7)]
+    frames = {
+        "links": ([(n, f"E{n}", u, False, "https://home.in", None, "UG", None)
+                   for n, u in enumerate(urls)], "position long, exam string, url string, prose "
+                  "boolean, website string, body string, level string, state string"),
+        "probe": ([(u, "http_404" if n == 1 else "html_table") for n, u in enumerate(urls)],
+                  "url string, bucket string"),
+        "log": ([(u, "boom" if n in (2, 3, 5) else None) for n, u in enumerate(urls)],
+                "url string, error string"),
+        "pages": ([(u, page.format(n) if n != 4 else "<p>none</p>") for n, u in enumerate(urls)],
+                  "url string, html string")}
+    paths = {}
+    for name, (rows, schema) in frames.items():
+        paths[name] = str(tmp_path / name)
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(paths[name])
+    registry = register_bodies(SourceRegistry(), str(snapshots), None, None, paths["pages"],
+                               paths["probe"], paths["links"], paths["log"])
+    rows = registry.get("bulk_official").load(spark, "latest", str(tmp_path / "stage")).collect()
+    # 1 is dead, 2, 3 and 5 fail, 4 is empty; with 5 the host is closed, so 6 is not tried
+    assert [(r.Institute, r.SourceURL, r.Website) for r in rows] == [
+        ("0 College", urls[0], "https://home.in")]
