@@ -24,7 +24,7 @@ _PAGE = "l_orderkey as page"
 _TABLE = "l_partkey * 10 + l_linenumber as table_idx"
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem", heavy=True).withColumns({
         "inst": F.expr("concat('College ', cast(l_suppkey as string), ' of Arts')"),
         "branch": F.expr("concat('Branch ', cast(l_partkey as string))"),
@@ -32,12 +32,12 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lo": F.expr("cast(cast(floor(l_extendedprice / 10) as bigint) as string)")})
 
 
-_ITEM_SQL = """i AS (SELECT *, 'College ' || l_suppkey || ' of Arts' AS inst,
+ITEM_SQL = """i AS (SELECT *, 'College ' || l_suppkey || ' of Arts' AS inst,
   'Branch ' || l_partkey AS branch, CAST(floor(l_extendedprice) AS BIGINT) AS hi,
   CAST(floor(l_extendedprice / 10) AS BIGINT) AS lo FROM lineitem)"""
 
 
-def _laid_out(df: DataFrame, *rows: str, table_idx: str = _TABLE) -> DataFrame:
+def laid_out(df: DataFrame, *rows: str, table_idx: str = _TABLE) -> DataFrame:
     """One table per line item, its rows given as SQL arrays of cells."""
     lines = ", ".join(f"named_struct('row_idx', {i}, 'cells', {r})" for i, r in enumerate(rows))
     return df.selectExpr(_DOC, _PAGE, table_idx, f"inline(array({lines}))")
@@ -45,7 +45,7 @@ def _laid_out(df: DataFrame, *rows: str, table_idx: str = _TABLE) -> DataFrame:
 
 # --- header carry -------------------------------------------------------------
 @query("flat_header_carry", f"""
-  WITH {_ITEM_SQL}, c AS (SELECT *, last_value(CASE WHEN l_linenumber = 1
+  WITH {ITEM_SQL}, c AS (SELECT *, last_value(CASE WHEN l_linenumber = 1
       THEN l_returnflag = 'A' END IGNORE NULLS) OVER (PARTITION BY l_suppkey
       ORDER BY l_orderkey, l_linenumber, l_partkey ROWS UNBOUNDED PRECEDING) AS open_first
     FROM i)
@@ -56,7 +56,7 @@ def _laid_out(df: DataFrame, *rows: str, table_idx: str = _TABLE) -> DataFrame:
   FROM c WHERE open_first IS NOT NULL AND (open_first OR l_discount <> 0)""")
 def flat_header_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two header orders; the latest one applies across pages of a document."""
-    items = _items(spark, sf_dir)
+    items = line_items(spark, sf_dir)
     low = "if(l_discount = 0, '--', concat(lo, ' *'))"
     cells = f"array(concat(' ', inst), branch, l_returnflag, {low}, " \
             "format_number(cast(hi as bigint), 0))"
@@ -74,7 +74,7 @@ def flat_header_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("allotment_cutoffs", f"""
-  WITH {_ITEM_SQL} SELECT inst AS "Institute", l_returnflag AS "Category",
+  WITH {ITEM_SQL} SELECT inst AS "Institute", l_returnflag AS "Category",
     CASE WHEN l_linestatus = 'O' THEN 'Open' END AS "Branch",
     min(hi) AS "OpeningRank", max(hi) AS "ClosingRank" FROM i
   WHERE l_discount <> 0 GROUP BY 1, 2, 3""")
@@ -84,13 +84,13 @@ def allotment_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
            "'Seat Alloted Category')"
     row = "array('1', if(l_discount = 0, 'NA', hi), inst, " \
           "if(l_linestatus = 'O', 'Open', ''), l_returnflag)"
-    grid = _laid_out(_items(spark, sf_dir), head, row)
+    grid = laid_out(line_items(spark, sf_dir), head, row)
     return grids.allotment_cutoffs(grids.allotment_rows(grid))
 
 
 # --- melts ---------------------------------------------------------------------
 @query("last_rank_melt", f"""
-  WITH {_ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", 'Town' AS "City",
+  WITH {ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", 'Town' AS "City",
     c AS "Category", g AS "Gender", CASE WHEN c = 'OC' THEN hi ELSE lo END AS "ClosingRank"
   FROM i, (VALUES ('OC', 'Male'), ('BCA', 'Female')) t(c, g)
   WHERE c = 'OC' OR l_discount <> 0""")
@@ -98,35 +98,35 @@ def last_rank_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "array('Sl', 'Institute\\nName', 'Branch Name', 'Place', 'OC_BO\\nYS', 'OC_GIRLS', " \
            "'BC_A_GIRLS')"
     row = "array('1', inst, branch, 'Town', hi, '', if(l_discount = 0, '--', lo))"
-    out = grids.last_rank_melt(_laid_out(_items(spark, sf_dir), head, row))
+    out = grids.last_rank_melt(laid_out(line_items(spark, sf_dir), head, row))
     return out.select("Institute", "Branch", "City", "Category", "Gender", "ClosingRank")
 
 
 @query("community_melt", f"""
-  WITH {_ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", c AS "Category",
+  WITH {ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", c AS "Category",
     CASE WHEN c = 'OC' THEN hi ELSE lo END AS "ClosingRank"
   FROM i, (VALUES ('OC'), ('MBC')) t(c) WHERE c = 'OC' OR l_discount <> 0""")
 def community_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "array('College Code', 'College Name', 'Branch Code', 'Branch Name', 'OC', 'XX', 'mbc')"
     row = "array('7', inst, '9', branch, hi, '5', if(l_discount = 0, '1.5', lo))"
-    out = grids.community_melt(_laid_out(_items(spark, sf_dir), head, row))
+    out = grids.community_melt(laid_out(line_items(spark, sf_dir), head, row))
     return out.select("Institute", "Branch", "Category", "ClosingRank")
 
 
 @query("branch_melt", f"""
-  WITH {_ITEM_SQL} SELECT inst AS "Institute", b AS "Branch", l_returnflag AS "Category",
+  WITH {ITEM_SQL} SELECT inst AS "Institute", b AS "Branch", l_returnflag AS "Category",
     CASE WHEN b = 'Design' THEN hi ELSE lo END AS "ClosingRank"
   FROM i, (VALUES ('Design'), ('Computer Science')) t(b) WHERE b = 'Design' OR l_discount <> 0""")
 def branch_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "array('College Code', 'College Name', 'Seat Type', 'AD-Design', '', " \
            "'CS- Computer Science')"
     row = "array('7', inst, l_returnflag, hi, '12', if(l_discount = 0, '-', lo))"
-    out = grids.branch_melt(_laid_out(_items(spark, sf_dir), head, row))
+    out = grids.branch_melt(laid_out(line_items(spark, sf_dir), head, row))
     return out.select("Institute", "Branch", "Category", "ClosingRank")
 
 
 @query("sectioned_matrix", f"""
-  WITH {_ITEM_SQL}, c AS (SELECT *, last_value(CASE WHEN l_linenumber = 1 THEN branch END
+  WITH {ITEM_SQL}, c AS (SELECT *, last_value(CASE WHEN l_linenumber = 1 THEN branch END
       IGNORE NULLS) OVER w AS section, last_value(CASE WHEN l_linenumber = 2 THEN l_linestatus
       END IGNORE NULLS) OVER w AS layout FROM i
     WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey
@@ -138,7 +138,7 @@ def branch_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE layout IS NOT NULL AND (k = 1 OR l_discount <> 0)""")
 def sectioned_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branch rows and category headers carried over pages, independently."""
-    items = _items(spark, sf_dir)
+    items = line_items(spark, sf_dir)
 
     def at(offset: int, cells: str, condition: str) -> DataFrame:
         return items.filter(condition).selectExpr(
@@ -162,7 +162,7 @@ _SPOT_TABLE = "(l_orderkey % 250 * 10 + l_linenumber) * 100000000 + l_partkey as
 _HEAD_TOP = f"{_SPOT} + if(l_linestatus = 'O', -1.0D, 3.0D) as top"
 
 
-def _spots(items: DataFrame, *rows: str) -> tuple[DataFrame, DataFrame]:
+def spots(items: DataFrame, *rows: str) -> tuple[DataFrame, DataFrame]:
     tables = items.selectExpr(_DOC, _SPOT_PAGE, _SPOT_TABLE, f"{_SPOT} as top")
     lines = ", ".join(f"named_struct('row_idx', {i}, 'cells', {r})" for i, r in enumerate(rows))
     grid = items.selectExpr(_DOC, _SPOT_PAGE, _SPOT_TABLE, f"inline(array({lines}))") \
@@ -193,40 +193,40 @@ _JOIN = "USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)"
 
 
 @query("heading_above", f"""
-  WITH {_ITEM_SQL}, {_COLLEGE_SQL}
+  WITH {ITEM_SQL}, {_COLLEGE_SQL}
   SELECT 'S' || l_suppkey AS doc_id, l_orderkey // 250 AS page,
     (l_orderkey % 250 * 10 + l_linenumber) * 100000000 + l_partkey AS table_idx,
     college_txt AS "Institute" FROM college""")
 def nearest_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
+    items = line_items(spark, sf_dir)
     lines = items.filter("l_returnflag = 'A'").selectExpr(
         _DOC, _SPOT_PAGE, "l_partkey as line_idx", _HEAD_TOP,
         "concat('12 E123 College ', cast(l_partkey as string)) as text")
-    tables, _ = _spots(items)
+    tables, _ = spots(items)
     out = heading_above(tables, grids.college_headings(lines), ["Institute"])
     return out.select("doc_id", F.col("page").cast("bigint").alias("page"), "table_idx",
                       "Institute")
 
 
 @query("headed_matrix", f"""
-  WITH {_ITEM_SQL}, {_COLLEGE_SQL}
+  WITH {ITEM_SQL}, {_COLLEGE_SQL}
   SELECT college_txt AS "Institute", branch AS "Branch", c AS "Category",
     CASE c WHEN 'GM' THEN hi ELSE lo END AS "ClosingRank"
   FROM i JOIN college {_JOIN}, (VALUES ('GM'), ('SCH')) t(c)
   WHERE college_txt IS NOT NULL AND (c = 'GM' OR l_discount <> 0)""")
 def headed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = _items(spark, sf_dir)
+    items = line_items(spark, sf_dir)
     lines = items.filter("l_returnflag = 'A'").selectExpr(
         _DOC, _SPOT_PAGE, "l_partkey as line_idx", _HEAD_TOP,
         "concat('12 E123 College ', cast(l_partkey as string)) as text")
-    tables, grid = _spots(items, "array('Course', 'GM', '2AG', 'SCH')",
+    tables, grid = spots(items, "array('Course', 'GM', '2AG', 'SCH')",
                           "array(branch, hi, '--', if(l_discount = 0, '', lo))")
     out = grids.headed_matrix(grid, lines, tables)
     return out.select("Institute", "Branch", "Category", "ClosingRank")
 
 
 @query("staged_matrix", f"""
-  WITH {_ITEM_SQL}, {_COLLEGE_SQL}, {_COURSE_SQL}
+  WITH {ITEM_SQL}, {_COLLEGE_SQL}, {_COURSE_SQL}
   SELECT college_txt AS "Institute", course_txt AS "Branch", c AS "Category",
     'CAP1 Stage I' AS "Round", CASE c WHEN 'GOPENS' THEN hi ELSE lo END AS "ClosingRank"
   FROM i JOIN college {_JOIN} JOIN course {_JOIN}, (VALUES ('GOPENS'), ('EWS')) t(c)
@@ -234,12 +234,12 @@ def headed_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     AND (c = 'GOPENS' OR l_discount <> 0)""")
 def staged_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two headings carried independently; cells are "rank (percentile)"."""
-    items = _items(spark, sf_dir)
+    items = line_items(spark, sf_dir)
     lines = items.filter("l_returnflag in ('A', 'N')").selectExpr(
         _DOC, _SPOT_PAGE, "l_partkey as line_idx", _HEAD_TOP,
         "if(l_returnflag = 'A', concat('01002 - College ', cast(l_partkey as string)), "
         "concat('0100219110 - Course ', cast(l_partkey as string))) as text")
-    tables, grid = _spots(items, "array('Stage', 'GOPENS', 'EW\\nS', '')",
+    tables, grid = spots(items, "array('Stage', 'GOPENS', 'EW\\nS', '')",
                           "array('I', concat(hi, '\\n(98.2)'), "
                           "if(l_discount = 0, '', concat(lo, ' (1.0)')), '9')")
     out = grids.staged_matrix(grid, lines, tables, "CAP1")
@@ -247,14 +247,8 @@ def staged_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- positioned words --------------------------------------------------------------
-@query("borderless_rows", f"""
-  WITH {_ITEM_SQL} SELECT 'NIT ' || l_suppkey AS "Institute",
-    'Civil Engg' || CASE WHEN l_linestatus = 'O' THEN ' (Self)' ELSE '' END AS "Branch",
-    'HS' AS "Quota", CASE WHEN l_returnflag = 'A' THEN 'OBC-NCL' ELSE 'General' END AS "Category",
-    'Female-only' AS "Gender", CASE WHEN l_discount <> 0 THEN lo END AS "OpeningRank",
-    hi AS "ClosingRank" FROM i""")
-def borderless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words with coordinates, one page per line item."""
+def words(items: DataFrame) -> DataFrame:
+    """A page of positioned words per line item."""
     heads = [("INSTITUTE", 0), ("NAME", 40), ("STREAM", 100), ("QUOTA", 200), ("CATEGORY", 250),
              ("SEAT", 300), ("TYPE", 330), ("OPENING", 360), ("RANK", 390), ("CLOSING", 420)]
     body = [("'NIT'", 0), ("cast(l_suppkey as string)", 30), ("'Civil'", 100), ("'Engg'", 140),
@@ -265,12 +259,21 @@ def borderless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = ", ".join(
         f"named_struct('word_idx', {i}, 'top', cast({top} as double) + {i} * 0.01D, "
         f"'x0', cast({x} as double), 'text', {w})" for i, (w, x, top) in enumerate(placed))
-    items = _items(spark, sf_dir)
-    page = items.selectExpr(
+    return items.selectExpr(
         "concat('S', cast(l_suppkey as string), '-', cast(l_partkey as string)) as doc_id",
         "l_orderkey * 10 + l_linenumber as page", f"inline(array({words}))") \
         .filter("text <> ''")
-    out = grids.borderless_rows(page)
+
+
+@query("borderless_rows", f"""
+  WITH {ITEM_SQL} SELECT 'NIT ' || l_suppkey AS "Institute",
+    'Civil Engg' || CASE WHEN l_linestatus = 'O' THEN ' (Self)' ELSE '' END AS "Branch",
+    'HS' AS "Quota", CASE WHEN l_returnflag = 'A' THEN 'OBC-NCL' ELSE 'General' END AS "Category",
+    'Female-only' AS "Gender", CASE WHEN l_discount <> 0 THEN lo END AS "OpeningRank",
+    hi AS "ClosingRank" FROM i""")
+def borderless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words with coordinates, one page per line item."""
+    out = grids.borderless_rows(words(line_items(spark, sf_dir)))
     return out.select("Institute", "Branch", "Quota", "Category", "Gender", "OpeningRank",
                       "ClosingRank")
 
@@ -278,7 +281,7 @@ def borderless_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- table records -------------------------------------------------------------------
 def _records(spark: SparkSession, sf_dir: str, header: str, *rows: str) -> DataFrame:
     """One table record per line item, as the HTML step gives them."""
-    return _items(spark, sf_dir).selectExpr(
+    return line_items(spark, sf_dir).selectExpr(
         "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as page_id",
         "concat('https://x.org/', cast(l_orderkey as string)) as url", "0 as table_idx",
         "concat(inst, ' Cut Off 2024') as caption", f"{header} as header",
@@ -311,7 +314,7 @@ def _raw(spark: SparkSession, sf_dir: str, header: str, *rows: str) -> DataFrame
 
 
 @query("wide_melt", f"""
-  WITH {_ITEM_SQL} SELECT 'https://x.org/' || l_orderkey AS page_url, inst AS institute_name,
+  WITH {ITEM_SQL} SELECT 'https://x.org/' || l_orderkey AS page_url, inst AS institute_name,
     branch AS branch_or_course, c AS category,
     CASE c WHEN 'Open' THEN hi WHEN 'SC' THEN CASE WHEN l_discount <> 0 THEN lo END END
       AS closing_rank, CASE c WHEN 'OBC' THEN '99.87' END AS cutoff_percentile,
@@ -327,7 +330,7 @@ def wide_melt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("narrow_rows", f"""
-  WITH {_ITEM_SQL} SELECT 'https://x.org/' || l_orderkey AS page_url,
+  WITH {ITEM_SQL} SELECT 'https://x.org/' || l_orderkey AS page_url,
     inst || ' Cut Off 2024' AS institute_name, '' AS branch_or_course,
     CASE WHEN l_discount <> 0 THEN lo END AS opening_rank,
     hi AS closing_rank,
@@ -347,7 +350,7 @@ def narrow_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("map_tables", f"""
-  WITH {_ITEM_SQL} SELECT "Body", 'Exam X' AS "Exam", 'UG' AS "Level", inst AS "Institute",
+  WITH {ITEM_SQL} SELECT "Body", 'Exam X' AS "Exam", 'UG' AS "Level", inst AS "Institute",
     branch AS "Branch", CAST(2024 AS BIGINT) AS "Year",
     CASE WHEN "Body" = 'two' AND l_discount <> 0 THEN lo END AS "OpeningRank",
     CASE WHEN "Body" = 'two' OR l_discount <> 0 THEN hi END AS "ClosingRank"
@@ -371,20 +374,20 @@ def heuristic_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("grid_to_canonical", f"""
-  WITH {_ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", hi AS "ClosingRank" FROM i""")
+  WITH {ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", hi AS "ClosingRank" FROM i""")
 def grid_to_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extracted tables through the general-purpose mapper; ragged ones skipped."""
-    items = _items(spark, sf_dir)
-    good = _laid_out(items, "array('College ', 'Branch', 'Closing Rank')",
+    items = line_items(spark, sf_dir)
+    good = laid_out(items, "array('College ', 'Branch', 'Closing Rank')",
                      "array(inst, branch, hi)")
-    ragged = _laid_out(items, "array('College', 'Closing Rank')", "array(inst, hi, 'x')",
+    ragged = laid_out(items, "array('College', 'Closing Rank')", "array(inst, hi, 'x')",
                        table_idx="-l_partkey * 10 - l_linenumber as table_idx")
     out = map_tables(grids.grid_tables(good.unionByName(ragged)), {"Exam": F.lit("Exam X")})
     return out.select("Institute", "Branch", "ClosingRank")
 
 
 @query("portal_report", f"""
-  WITH {_ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", 'Female' AS "Gender",
+  WITH {ITEM_SQL} SELECT inst AS "Institute", branch AS "Branch", 'Female' AS "Gender",
     CAST(2025 AS BIGINT) AS "Year", lo AS "OpeningRank", hi AS "ClosingRank",
     'https://x.org/' || l_orderkey AS "SourceURL" FROM i""")
 def largest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -400,7 +403,7 @@ def largest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("national_grid", f"""
-  WITH {_ITEM_SQL} SELECT 'JoSAA' AS "Body", inst AS "Institute", branch AS "Branch",
+  WITH {ITEM_SQL} SELECT 'JoSAA' AS "Body", inst AS "Institute", branch AS "Branch",
     l_returnflag AS "Category", CAST(2024 AS BIGINT) AS "Year", '6' AS "Round",
     lo AS "OpeningRank", hi AS "ClosingRank" FROM i""")
 def first_rank_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

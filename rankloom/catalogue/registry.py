@@ -32,6 +32,6 @@ def query(name: str, check_sql: str | None = None) -> Callable[[Runner], Runner]
 def load_all() -> dict[str, Entry]:
     """Import every module that registers queries."""
     from rankloom.catalogue import (  # noqa: F401
-        explore, conformance, grids, pages, exams, side, stores, lookups,
+        explore, conformance, grids, pages, exams, side, stores, lookups, documents,
     )
     return QUERIES

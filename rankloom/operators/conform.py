@@ -54,17 +54,6 @@ def normalize(df: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     return staged.select(*[conformed(c) for c in CANON.names], *[F.col(k) for k in keep])
 
 
-def conform(df: DataFrame, schema: StructType, keep: Iterable[str] = ()) -> DataFrame:
-    """Exactly the columns of ``schema``; no cleaning beyond a tolerant cast."""
-    out = []
-    for field in schema.fields:
-        if field.name in df.columns:
-            out.append(F.col(f"`{field.name}`").try_cast(field.dataType).alias(field.name))
-        else:
-            out.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*out, *[F.col(k) for k in keep])
-
-
 def dedouble_rows(df: DataFrame, check: Iterable[str]) -> DataFrame:
     """Clean every text cell of the rows whose ``check`` cells are glyph-doubled.
 
