@@ -23,8 +23,8 @@ from rankloom.llm.tables import map_batches, prepare, stored, texts_of
 ORDER = 4
 BITS = 6
 UNKNOWN = "und"
-# More languages than this would break the bound on the models' size.
-MAX_LANGUAGES = 256
+# Languages whose models are held at a time, by the driver and by a worker.
+LANGUAGES_AT_ONCE = 64
 # Standard deviations above a language's mean cross-entropy at which a text is rejected.
 REJECT_AT = 6.0
 BLOCK_BYTES = 1 << 20
@@ -181,13 +181,15 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame) -> dict[str, list[Level]]:
-    """Models of every non-null language of ``docs``; at most 2**24 hashes each."""
-    names = [r[0] for r in docs.where("lang is not null").select("lang").distinct()
-             .limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = count_grams(docs.where("lang is not null")).toArrow()
+def languages(docs: DataFrame) -> list[str]:
+    """The languages of ``docs`` by name."""
+    return sorted(r[0] for r in docs.where("lang is not null").select("lang").distinct().collect())
+
+
+def train(docs: DataFrame, names: list[str] | None = None) -> dict[str, list[Level]]:
+    """Models of the languages ``names`` (all) of ``docs``; at most 2**24 hashes each."""
+    names = languages(docs) if names is None else names
+    table = count_grams(docs.where(F.col("lang").isin(names))).toArrow()
     langs = table.column("lang").to_numpy()
     grams = table.column("gram").to_numpy().astype(np.uint32)
     counts = table.column("n").to_numpy()
@@ -277,11 +279,44 @@ def calibrate(scored: DataFrame) -> tuple[float, float]:
 
 def reject_limits(scored: DataFrame) -> DataFrame:
     """Per language: mean entropy and variance per symbol of its own training texts."""
-    own = scored.where("n_symbols > 0 and best = lang")
-    mean = own.groupBy("best").agg(
-        (F.sum(F.col("entropy") * F.col("n_symbols")) / F.sum("n_symbols")).alias("mean"))
-    return own.join(mean, "best").groupBy("best", "mean").agg(
-        F.avg(F.pow(F.col("entropy") - F.col("mean"), 2) * F.col("n_symbols")).alias("spread"))
+    e, n = F.col("entropy"), F.col("n_symbols")
+    sums = scored.where("n_symbols > 0 and best = lang").groupBy("best").agg(
+        F.sum(n).alias("s0"), F.sum(e * n).alias("s1"), F.sum(e * e * n).alias("s2"),
+        F.count(F.lit(1)).alias("rows"))
+    return sums.select("best", (F.col("s1") / F.col("s0")).alias("mean"), F.greatest(
+        F.lit(0.0), (F.col("s2") - F.col("s1") * F.col("s1") / F.col("s0")) / F.col("rows"))
+        .alias("spread"))
+
+
+def score_all(docs: DataFrame, names: list[str], keep: list[str],
+              at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
+    """``score`` of the models of all ``names``, learnt where ``_training`` holds; written.
+
+    Models go to the workers ``at_once`` languages at a time. With more languages the
+    passes are merged row by row: the lowest entropy of all stays, and its margin to the
+    next one.
+    """
+    groups = [names[low:low + at_once] for low in range(0, len(names), at_once)] or [[]]
+    if len(groups) == 1:
+        return stored(score(docs, train(docs.where("_training"), groups[0]), keep))
+    rows = stored(docs.select(*dict.fromkeys([*keep, "_training", "lang", "text"]))
+                  .withColumn("_row", F.monotonically_increasing_id()))
+    passes = [stored(score(rows, train(rows.where("_training"), group), ["_row", *keep])
+                     .withColumn("_next", F.when(F.lit(len(group) > 1),
+                                                 F.col("entropy") + F.col("margin"))))
+              for group in groups]
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.union(more)
+    # two entropies per pass
+    both = F.array_sort(F.flatten(F.collect_list(F.array_compact(F.array(
+        F.struct("entropy", "best"),
+        F.when(F.col("_next").isNotNull(), F.struct(
+            F.col("_next").alias("entropy"), F.lit(None).cast("string").alias("best"))))))))
+    merged = found.groupBy("_row", *keep).agg(both.alias("_e"), F.max("n_symbols").alias("n_symbols"))
+    return stored(merged.select(
+        *keep, F.col("_e")[0]["best"].alias("best"), F.col("_e")[0]["entropy"].alias("entropy"),
+        (F.col("_e")[1]["entropy"] - F.col("_e")[0]["entropy"]).alias("margin"), "n_symbols"))
 
 
 def identify(docs: DataFrame, is_training, keep: list[str]) -> DataFrame:
@@ -298,9 +333,8 @@ def identify(docs: DataFrame, is_training, keep: list[str]) -> DataFrame:
     """
     prepare(docs.sparkSession)
     marked = docs.withColumn("_training", F.coalesce(is_training, F.lit(False)))
-    models = train(marked.where("_training"))
     inner = [*keep, "_training", *(["lang"] if "lang" not in keep else [])]
-    scored = stored(score(marked, models, inner))
+    scored = score_all(marked, languages(marked.where("_training")), inner)
     learning = scored.where("_training")
     offset, slope = calibrate(learning)
     limits = reject_limits(learning).withColumnRenamed("best", "_best")

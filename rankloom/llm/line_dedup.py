@@ -185,16 +185,18 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS,
     """
     prepare(docs.sparkSession)
     repeated = stored(repeated_units(docs, range_chars))
-    joined = docs.drop("removed").withColumn("_row", _row_key()).join(
-        repeated.select(F.col("row").alias("_row"), F.col("units").alias("_units")), "_row",
-        "left").drop("_row")
-    names = [n for n in joined.columns if n != "_units"]
+    docs = docs.drop("removed")
+    # the caller's columns stay in one struct, so that no name of theirs meets one of these
+    joined = docs.select(F.struct(*docs.columns).alias("doc"), _row_key().alias("row")).join(
+        repeated, "row", "left").select("doc", "units")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, all_spans = [], []
-            for text, positions in zip(batch.column("text").to_pylist(),
-                                       batch.column("_units").to_pylist()):
+            doc = dict(zip(names, batch.column("doc").flatten()))
+            for text, positions in zip(doc["text"].to_pylist(),
+                                       batch.column("units").to_pylist()):
                 spans = []
                 if text and positions:
                     data = text.encode()
@@ -208,12 +210,11 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS,
                         text = "".join(text[a:z] for a, z in zip(cuts[::2], cuts[1::2]))
                 texts.append(text)
                 all_spans.append(spans)
-            columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n)
-                       for n in names]
+            columns = [pa.array(texts, pa.string()) if n == "text" else doc[n] for n in names]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(all_spans, pa.list_(pa.struct(
                     [("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])))],
                 names=[*names, "removed"])
-    types = dict(joined.dtypes)
+    types = dict(docs.dtypes)
     schema = ", ".join(f"`{n}` {types[n]}" for n in names) + f", removed {_SPANS}"
     return joined.mapInArrow(run, schema)

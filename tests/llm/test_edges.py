@@ -147,3 +147,36 @@ def test_pipeline_stages_keep_rows_without_names(spark, docs, tmp_path):
     ids = sorted((r.doc_id is None, r.doc_id or 0) for r in frame.select("doc_id").collect())
     assert ids == sorted([(False, i) for i in (1, 1, 2, 3, 4, 5, 7, 8)] + [(True, 0)])
     assert corpus_pipeline.STAGES[4][1](spark, frame.limit(0), str(tmp_path)).collect() == []
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "u", [1], 5), (2, text, "v", [2], 6), (3, None, "w", [], 7)]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, _units string, units array<int>, _row int") \
+        .withColumns({"row": F.lit(1), "doc": F.lit("d"), "removed": F.lit("old")})
+    out = line_dedup.remove_repeats(docs)
+    assert out.columns == ["doc_id", "text", "_units", "units", "_row", "row", "doc", "removed"]
+    found = {r.doc_id: (r.text, r._units, r.units, r._row, r.doc, len(r.removed))
+             for r in out.collect()}
+    assert found == {1: (text, "u", [1], 5, "d", 0), 2: ("", "v", [2], 6, "d", 1),
+                     3: (None, "w", [], 7, "d", 0)}
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """More languages than are held at a time: the passes find what one pass finds."""
+    alphabets = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    rows = [(i, " ".join(alphabets[i % 6][(i + k) % 4] * 2 + alphabets[i % 6][k % 4]
+                         for k in range(12)), f"l{i % 6}") for i in range(120)]
+    rows += [(200, None, "l0"), (201, "123", "l1"), (202, "abcd efgh", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def found():
+        rows = lang_id.identify(docs, F.col("doc_id") % 4 != 0, ["doc_id"]).collect()
+        return {r.doc_id: (r.lang_pred, round(r.score, 9), r.rejected, round(r.entropy, 9))
+                for r in rows}
+    whole = found()
+    assert all(whole[i][0] == f"l{i % 6}" for i in range(120))
+    for at_once in (1, 4):
+        monkeypatch.setattr(lang_id.score_all, "__defaults__", (at_once,))
+        assert found() == whole
