@@ -51,7 +51,8 @@ def in_schedule(written: DataFrame) -> DataFrame:
     rows = written.select(*COLUMNS, F.col("_metadata.file_name").alias("_file"),
                           F.col("_metadata.row_index").alias("_row"))
     # one number per file
-    counts = sorted((r[0], r[1]) for r in rows.groupBy("_file").count().collect())
+    counts = sorted(((r[0], r[1]) for r in rows.groupBy("_file").count().collect()),
+                    key=lambda c: (int(c[0].split("-")[1]), c[0]))     # part-<number>-...
     before, firsts = 0, []
     for name, n in counts:
         firsts.append((name, before))
