@@ -5,10 +5,12 @@
    the n-grams that at least two classes share, with their frequency. Others can
    add to no overlap, so they only count in a set's size.
 2. Two sets that pass the threshold share one of their rarest n-grams (prefix
-   rule). Classes tied by such n-grams form candidate groups.
-3. Each group, in blocks of bounded size, is stored in a trie of globally ordered
-   sets; each set walks the trie, overlaps of shared paths are counted once, and
-   subtrees whose remaining lengths cannot reach the threshold are pruned.
+   rule). Classes tied by such n-grams form candidate groups. A large group is cut
+   into blocks; where most of its n-grams stand in few blocks (a chain of texts that
+   each overlap the next), only blocks that share a prefix n-gram meet.
+3. Blocks that meet are stored in a trie of globally ordered sets; each set walks the
+   trie, overlaps of shared paths are counted once, and subtrees whose remaining
+   lengths cannot reach the threshold are pruned.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ HOT = 512
 HOT_FREQUENCY = 1 << 40
 # Classes per block of a candidate group.
 BLOCK = 2048
+# Blocks that a posting's n-gram may stand in on average, for blocks to meet by n-grams.
+WIDE = 8
 
 # Rows between the two halves of the first pass. kind 0: n-grams of one hash range with
 # the place of their class in the chunk; kind 1: facts on documents; kind 2: hot n-grams
@@ -364,6 +368,50 @@ def _ragged(column: pa.ChunkedArray) -> list[np.ndarray]:
     return [np.asarray(v.values) for v in column.combine_chunks()] if len(column) else []
 
 
+def meetings(groups: DataFrame, sets: DataFrame, keys: DataFrame, block: int) -> DataFrame:
+    """``sig, component, side, low, high``: each class in every pair of blocks it is part of.
+
+    A group of at most ``block`` classes is one block. In a larger one the classes with
+    the same smallest n-gram form blocks, and blocks meet that share a prefix n-gram, if
+    its postings stand in WIDE blocks or fewer on average: the meetings are then at most
+    WIDE times the postings. In a denser group, as of many edits of one text, blocks by
+    hash meet pairwise.
+    """
+    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")),
+                        "component").select(F.col("node").alias("sig"), "component", "members")
+    large = sized.where(F.col("members") > block).join(
+        sets.select("sig", F.array_min(F.col("grams.gram")).alias("least")), "sig")
+    alike = large.groupBy("component", "least").agg(F.count(F.lit(1)).alias("alike"))
+    part = F.pmod(F.xxhash64("sig"), F.ceil(F.col("alike") / F.lit(block)))
+    placed = stored(large.join(alike, ["component", "least"]).select(
+        "sig", "component", "members", F.xxhash64("least", part).alias("side")))
+
+    met = keys.join(placed, "sig").groupBy("component", "gram", "side").agg(
+        F.count(F.lit(1)).alias("n"))
+    spread = met.groupBy("component", "gram").agg(F.count(F.lit(1)).alias("sides"),
+                                                  F.sum("n").alias("n"))
+    sparse = stored(spread.groupBy("component").agg(
+        F.sum(F.col("sides") * F.col("n")).alias("meet"), F.sum("n").alias("n"))
+        .where(F.col("meet") <= WIDE * F.col("n")).select("component"))
+    pairs = stored(
+        met.join(sparse, "component", "left_semi").groupBy("component", "gram")
+        .agg(F.sort_array(F.collect_set("side")).alias("sides")).where(F.size("sides") > 1)
+        .select("component", "sides").distinct()
+        .select("component", "sides", F.posexplode("sides").alias("at", "low"))
+        .select("component", "low", F.explode(F.slice(
+            "sides", F.col("at") + 2, F.size("sides"))).alias("high")).distinct())
+    near = placed.join(sparse, "component", "left_semi").select("sig", "component", "side")
+    columns = ["sig", "component", "side", "low", "high"]
+    ends = [near.join(pairs.withColumn("side", F.col(end)), ["component", "side"])
+            .select(*columns) for end in ("low", "high")]
+    dense = sized.where(F.col("members") <= block).unionByName(
+        placed.join(sparse, "component", "left_anti").drop("side"))
+    return near.withColumns({"low": F.col("side"), "high": F.col("side")}) \
+        .union(ends[0]).union(ends[1]).union(
+            block_pairs(dense, ["component"], "sig", "members", block)
+            .select(*[F.col(c).cast("long") for c in columns]))
+
+
 def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block: int = BLOCK,
           range_chars: int = RANGE_CHARS) -> DataFrame:
     """One row per document: ``doc_id, n_shingles, n_links, component_id``.
@@ -392,12 +440,9 @@ def links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block: int
     ties = keys.join(hubs, "gram").where("sig != hub") \
         .select(F.col("sig").alias("a"), F.col("hub").alias("b")).distinct()
     groups = stored(connected_components(ties))
-    sized = groups.join(groups.groupBy("component").agg(F.count(F.lit(1)).alias("members")),
-                        "component")
-    candidates = sets.join(sized, sets["sig"] == sized["node"]).select(
-        "component", "members", "sig", "n", "copies",
+    dealt = sets.join(meetings(groups, sets, keys, block), "sig").select(
+        "component", "side", "low", "high", "sig", "n", "copies",
         F.col("grams.gram").alias("grams"), F.col("grams.frequency").alias("frequency"))
-    dealt = block_pairs(candidates, ["component"], "sig", "members", block)
 
     def join(table: pa.Table) -> pa.RecordBatch | None:
         sig, n, copies, side = (table.column(c).to_numpy() for c in ("sig", "n", "copies",

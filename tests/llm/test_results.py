@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankloom.llm import (embedding_dedup, lang_id, line_dedup, mixing, ngram_join, packing,
                           quality_rff, quality_rules, secrets, toxicity)
@@ -102,6 +103,37 @@ def test_ngram_join_of_edited_copies(spark, monkeypatch):
         assert {tuple(r) for r in ngram_join.links(df, block=block).collect()} == _links_of(rows)
 
 
+@pytest.mark.parametrize("shift", [3, 9])
+def test_ngram_join_of_a_chain(spark, shift):
+    """Windows that each overlap the next few: one group, whose blocks meet by n-grams."""
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10 ** 6)}" for _ in range(60 + shift * 150)]
+    rows = {i: " ".join(words[shift * i:shift * i + 60]) for i in range(150)}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(3)
+    assert {tuple(r) for r in ngram_join.links(df, block=8).collect()} == _links_of(rows)
+
+
+def test_meetings_grow_with_links(spark):
+    """A chain's classes meet few blocks; a dense group's blocks meet pairwise."""
+    chain = [(i, 1000 + i + k) for i in range(400) for k in range(4)]
+    dense = [(10_000 + i, 100_000 + k) for i in range(64) for k in range(64) if (i * k) % 7 != 1]
+    keys = spark.createDataFrame(chain + dense, "sig long, gram long")
+    sets = keys.groupBy("sig").agg(F.collect_list(F.struct("gram")).alias("grams"))
+    groups = keys.select(F.col("sig").alias("node"), F.when(F.col("sig") < 10_000, 0)
+                         .otherwise(10_000).cast("long").alias("component")).distinct()
+    found = ngram_join.meetings(groups, sets, keys, 8).collect()
+    grams = {s: {g for t, g in chain + dense if t == s} for s, _ in chain + dense}
+    together = {}
+    for r in found:
+        together.setdefault((r.component, r.low, r.high), []).append(r)
+    pairs = Counter((a.sig, b.sig) for rows in together.values() for a in rows for b in rows
+                    if a.sig < b.sig and (a.low == a.high or a.side != b.side))
+    assert set(pairs.values()) == {1}
+    assert all((a, b) in pairs for a in grams for b in grams if a < b and grams[a] & grams[b])
+    chained = sum(r.sig < 10_000 for r in found)
+    assert chained <= 400 * 8 < 400 * 50 and len(found) - chained >= 64 * 64 / 16
+
+
 def test_trie_join_beside_all_pairs():
     rng = np.random.default_rng(8)
     for trial in range(30):
