@@ -3,9 +3,9 @@
 The features are statistics of whole texts (``features.dense_features``), scaled
 with the training rows' means and deviations. Cosines of random projections
 approximate a Gaussian kernel over them. Every partition sums its part of the
-ridge system, Spark adds the parts up, and the driver solves one system of the
-size of the feature map. Raw scores are calibrated by isotonic regression over
-counts per score bin.
+ridge system per fold, Spark adds the parts up, and the driver solves systems of the
+size of the feature map: one of all rows, and one without each fold. Scores are
+calibrated by isotonic regression over counts per bin of out-of-fold scores.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ WIDTH = 4.0
 # Scaled statistics are cut here, so that extreme texts stay in the kernel's reach.
 LIMIT = 6.0
 BINS = 4096
+# Training documents are dealt to so many folds, for scores of rows that the weights
+# have not seen.
+FOLDS = 5
 CUTOFF = 0.7
 
 
@@ -71,29 +74,40 @@ def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def normal_equations(rows: DataFrame, center: np.ndarray, spread: np.ndarray,
                      components: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ridge system's matrix and right side, summed over partitions of ``x, y`` rows."""
+    """Ridge matrices and right sides per fold, summed over partitions of ``x, y, fold`` rows."""
     width = components + len(NAMES) + 1
     upper = np.triu_indices(width)
+    cells = len(upper[0]) + width
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros((width, width)), np.zeros(width)
+        a, b = np.zeros((FOLDS, width, width)), np.zeros((FOLDS, width))
         for batch in batches:
             if batch.num_rows:
                 z = feature_map(scale(_matrix(batch.column(0)), center, spread), components)
-                a += z.T @ z
-                b += z.T @ batch.column(1).to_numpy().astype(np.float64)
-        if a.any():
-            cells = np.append(a[upper], b)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(cells), dtype=np.int32)), pa.array(cells)],
-                names=["cell", "value"])
-    parts = rows.select("x", "y").mapInArrow(sums, "cell int, value double")
+                y = batch.column(1).to_numpy().astype(np.float64)
+                fold = batch.column(2).to_numpy()
+                for k in np.unique(fold):
+                    mine = z[fold == k]
+                    a[k] += mine.T @ mine
+                    b[k] += mine.T @ y[fold == k]
+        for k in range(FOLDS):
+            if a[k].any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(cells, dtype=np.int32) + k * cells),
+                     pa.array(np.append(a[k][upper], b[k]))], names=["cell", "value"])
+    parts = rows.select("x", "y", "fold").mapInArrow(sums, "cell int, value double")
     total = parts.groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-    cells = np.zeros(len(upper[0]) + width)
-    cells[total.column("cell").to_numpy()] = total.column("value").to_numpy()
-    a = np.zeros((width, width))
-    a[upper] = cells[:len(upper[0])]
-    return a + np.triu(a, 1).T, cells[len(upper[0]):]
+    found = np.zeros(FOLDS * cells)
+    found[total.column("cell").to_numpy()] = total.column("value").to_numpy()
+    found = found.reshape(FOLDS, cells)
+    a = np.zeros((FOLDS, width, width))
+    a[:, upper[0], upper[1]] = found[:, :len(upper[0])]
+    return a + np.triu(a, 1).transpose(0, 2, 1), found[:, len(upper[0]):]
+
+
+def solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ridge weights; zeros where there is nothing to learn from."""
+    return np.linalg.solve(a + RIDGE * np.eye(len(b)), b) if a.any() else np.zeros(len(b))
 
 
 def isotonic(position: np.ndarray, value: np.ndarray, weight: np.ndarray
@@ -115,25 +129,31 @@ def score(docs: DataFrame, labels: DataFrame, is_training: Column,
 
     ``labels`` has ``doc_id, quality``; rows without a 0/1 quality teach nothing,
     a document labelled twice counts twice. ``is_training`` is a condition on
-    doc_id. Null and empty texts are scored as texts without words. Without any
-    usable label every score is 0.5. An empty table gives an empty result; other
-    columns are ignored.
+    doc_id; all rows of a document fall into one fold. Null and empty texts are scored
+    as texts without words. Without any usable label every score is 0.5. An empty table
+    gives an empty result; other columns are ignored.
     """
     prepare(docs.sparkSession)
     facts = stored(describe(docs))
     taught = labels.where("quality in (0, 1)").select(
         F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("y"))
-    rows = stored(facts.where(is_training).join(taught, "doc_id").select("x", "y"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    rows = stored(facts.where(is_training).join(taught, "doc_id")
+                  .select("x", "y", fold.alias("fold")))
     center, spread = moments(rows)
     a, b = normal_equations(rows, center, spread, components)
-    width = len(b)
-    weights = np.linalg.solve(a + RIDGE * np.eye(width), b) if a.any() else np.zeros(width)
+    weights = solve(a.sum(0), b.sum(0))
+    unseen = np.stack([solve(a.sum(0) - a[k], b.sum(0) - b[k]) for k in range(FOLDS)])
+
+    def features(column: pa.Array) -> np.ndarray:
+        return feature_map(scale(_matrix(column), center, spread), components)
 
-    def raw(x: np.ndarray) -> np.ndarray:
-        return feature_map(scale(x, center, spread), components) @ weights
+    def place(raw: np.ndarray) -> np.ndarray:
+        return (raw + 0.5) / 2 * BINS
 
     def binned(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = np.clip((raw(_matrix(batch.column(0))) + 0.5) / 2 * BINS, 0, BINS - 1)
+        mine = unseen[batch.column(2).to_numpy()]
+        at = np.clip(place((features(batch.column(0)) * mine).sum(1)), 0, BINS - 1)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), batch.column(1)],
                                          names=["bin", "y"])
     table = map_batches(rows, "bin int, y double", binned).groupBy("bin").agg(
@@ -143,7 +163,7 @@ def score(docs: DataFrame, labels: DataFrame, is_training: Column,
         else (np.zeros(1), np.full(1, 0.5))
 
     def judge(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at = (raw(_matrix(batch.column(1))) + 0.5) / 2 * BINS - 0.5
+        at = place(features(batch.column(1)) @ weights) - 0.5
         p = np.clip(np.interp(at, knots, levels), 0.0, 1.0)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(p), pa.array((p >= CUTOFF).astype(np.int32))],
