@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and spans that a tokenizer cannot compress.
 
 The method's own test: a run of key-like characters whose characters per token
-under a public byte-pair vocabulary stay low is random, not language. Digests of
-known sizes, UUIDs and identifiers are left out; an identifier is one only if the
-same vocabulary finds its parts to be words, whatever their shape.
+under a public byte-pair vocabulary stay low is random, not language. Digests,
+UUIDs and identifiers are left out: a digest is known by its size and by the word in
+front of it that names it; an identifier is one only if the same vocabulary finds its
+parts to be words, whatever their shape.
 """
 
 from __future__ import annotations
@@ -35,9 +36,15 @@ MIN_ASSIGN, MIN_ACCESS = 12, 18
 KINDS = {"assign": 0, "access": 1, "hex": 2, "random": 3}
 
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
-# Known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
-_DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}"
-                     r"|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})\Z")
+# Sizes of known digests (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512), as hex digits
+# that end a run: the run's own beginning may name them (sha256=...).
+_DIGEST = re.compile(r"(?:.*[=_-])?([0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}"
+                     r"|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\Z")
+# A digest is known by a name among the NAMED characters before it, on its line; a word
+# that stands for a secret in between takes the name away.
+NAMED = 32
+_NAMED = re.compile(r"(?:md5|sha-?[0-9]{1,3}|checksum|digest|hash|commit|revision|etag|integrity"
+                    r"|fingerprint|blob|tree)[^\n]*\Z", re.IGNORECASE | re.ASCII)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 # Parts of an identifier: words by case, and numbers.
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]{1,8}")
@@ -97,9 +104,19 @@ def made_of_words(run: str, encoding) -> bool:
         and all(is_word(w, encoding) for w in words)
 
 
-def excluded(run: str, encoding) -> bool:
+def is_known_digest(run: str, before: str) -> bool:
+    """Hex digits of a digest's size behind a word that names a digest and no secret."""
+    digest = _DIGEST.match(run)
+    if not digest:
+        return False
+    name = _NAMED.search((before + run[:digest.start(1)])[-NAMED:])
+    return bool(name and not _NAMES.search(name.group()))
+
+
+def excluded(run: str, before: str, encoding) -> bool:
     """Known digests, UUIDs, and identifiers whose parts are words (or that have no part)."""
-    return bool(_DIGEST.match(run) or _UUID.match(run) or made_of_words(run, encoding))
+    return bool(_UUID.match(run) or is_known_digest(run, before)
+                or made_of_words(run, encoding))
 
 
 def inefficient_spans(text: str, encoding, max_ratio: float = MAX_RATIO
@@ -109,7 +126,8 @@ def inefficient_spans(text: str, encoding, max_ratio: float = MAX_RATIO
     for m in _RUN.finditer(text):
         run = m.group()
         ratio = len(run) / len(encoding.encode_ordinary(run))
-        if ratio < max_ratio and not excluded(run, encoding):
+        if ratio < max_ratio and not excluded(
+                run, text[max(0, m.start() - NAMED):m.start()], encoding):
             out.append((m.start(), m.end(), ratio))
     return out
 
