@@ -2,12 +2,14 @@
 
 Statistics of every text are written once; mergeable quantile sketches per
 (lang, source), language and table turn them into fences; a join puts each text
-beside its fences.
+beside its fences. How many counts above its fence a text may have comes from the
+same groups: from the share of their texts that have none at all.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import exp, factorial, log
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,9 @@ MIN_WORDS = 50
 MEASURES = {"symbols_per_word": "n_words", "dup_line_share": "n_lines",
             "repeat_share": "n_words", "upper_share": "n_ascii_letters",
             "mark_share": "n_words"}
+# What each measure counts.
+COUNTS = {"symbols_per_word": "n_symbols", "dup_line_share": "n_dup_lines",
+          "repeat_share": "n_repeat_words", "upper_share": "n_upper", "mark_share": "n_marked"}
 # A text fails where a measure lies above q50 + SPREAD * spread of its group; the spread is
 # q90 - q50. Of the whole table, q90 counts only within REACH times q80 - q50: beyond that
 # it is junk and not the body.
@@ -35,8 +40,11 @@ REACH = 8.0
 CAP = 2.0
 PRIOR = 30
 LEAST = 20
-# Guard against ties: so many symbols, lines, words or letters above the fence pass.
-GUARD = 3
+# Guard against ties and single slips: if texts of a group have a count of 0 with chance z,
+# chance counts have rate -ln(z), and so many of them pass above the fence as one text in
+# 1 / TAIL exceeds. z counts as MOST_HIT at least: beyond that the spread speaks.
+TAIL = 1e-6
+MOST_HIT = 0.5
 ACCURACY = 1000
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -123,20 +131,36 @@ def measures(stats: DataFrame) -> DataFrame:
         "mark_share": share("n_marked", "n_words")})
 
 
+def guard_rates() -> list[float]:
+    """Per k from 0: the Poisson rate at which more than k counts have the chance TAIL."""
+    def beyond(rate: float, k: int) -> float:
+        return sum(exp(-rate) * rate ** i / factorial(i) for i in range(k + 1, k + 30))
+    rates: list[float] = []
+    while not rates or rates[-1] < -log(MOST_HIT):
+        low, high = 0.0, 2.0
+        for _ in range(60):
+            middle = (low + high) / 2
+            low, high = (middle, high) if beyond(middle, len(rates)) < TAIL else (low, middle)
+        rates.append(high)
+    return rates
+
+
 def _sketches(measured: DataFrame, by: list[str], prefix: str) -> DataFrame:
-    """``prefix``n and, per measure, q20, q50, q80 and q90 of every group."""
+    """``prefix``n and, per measure, q20, q50, q80, q90 and the texts without a count."""
     return measured.groupBy(*by).agg(
         F.count(F.lit(1)).alias(f"{prefix}n"),
+        *[F.count_if(F.col(c) == 0).alias(f"{prefix}{m}_none") for m, c in COUNTS.items()],
         *[F.percentile_approx(m, F.array(*map(F.lit, (0.2, 0.5, 0.8, 0.9))), ACCURACY)
           .alias(f"{prefix}{m}") for m in MEASURES]) \
         .withColumnsRenamed({c: f"{prefix}{c}" for c in by})
 
 
 def fences(measured: DataFrame) -> DataFrame:
-    """Upper fences per (lang, source) from mergeable quantile sketches of all its texts.
+    """Upper fences and guards per (lang, source) from mergeable sketches of all its texts.
 
     Texts that fail the base rules count too. Each task keeps one sketch per
-    group and measure, whatever the group's size.
+    group and measure, whatever the group's size. ``<measure>_guard`` is how many counts
+    above the fence pass.
     """
     own = _sketches(measured, ["lang", "source"], "g_")
     joined = own.join(_sketches(measured, ["lang"], "l_"),
@@ -157,8 +181,16 @@ def fences(measured: DataFrame) -> DataFrame:
         middle = F.when(F.col("g_n") >= LEAST, F.col(f"g_{m}")[1]) \
             .when(F.col("l_n") >= LEAST, F.col(f"l_{m}")[1]).otherwise(q[1])
         return middle + SPREAD * spread("g", m, spread("l", m, whole))
+    def guard(m: str) -> Column:
+        none = F.col(f"t_{m}_none") / (F.col("t_n") + 1)
+        for level in ("l", "g"):
+            n = F.col(f"{level}_n")
+            none = (F.col(f"{level}_{m}_none") + PRIOR * none) / (n + PRIOR)
+        rate = -F.ln(F.greatest(none, F.lit(MOST_HIT)))
+        return sum(((rate > r).cast("int") for r in guard_rates()), F.lit(0))
     return joined.select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"),
-                         *[fence(m).alias(f"{m}_max") for m in MEASURES])
+                         *[fence(m).alias(f"{m}_max") for m in MEASURES],
+                         *[guard(m).alias(f"{m}_guard") for m in MEASURES])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -166,8 +198,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
     ``base_failed``: fewer than MIN_WORDS words, or over half of them in
     repeated windows. ``failed_rules`` names the measures above their fence by more
-    than GUARD counts.
-    ``kept`` is false if either holds. Null lang or source form groups of their
+    counts than the group's guard. ``kept`` is false if either holds. Null lang or source form groups of their
     own; an empty table gives an empty result.
     """
     measured = measures(stored(document_stats(docs)))
@@ -176,7 +207,7 @@ def judge(docs: DataFrame) -> DataFrame:
                            & F.col("source").eqNullSafe(F.col("_source"))) \
         .drop("_lang", "_source")
     failed = F.filter(F.array(*[F.when(
-        (F.col(m) - F.col(f"{m}_max")) * F.col(n) > GUARD, F.lit(m))
+        (F.col(m) - F.col(f"{m}_max")) * F.col(n) > F.col(f"{m}_guard"), F.lit(m))
         for m, n in MEASURES.items()]), lambda x: x.isNotNull())
     base = (F.col("n_words") < MIN_WORDS) \
         | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

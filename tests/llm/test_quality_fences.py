@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import pytest
 
 from rankloom.llm import quality_rules
@@ -35,3 +38,67 @@ def test_fences_differ_through_their_spread(judged):
 def test_junk_does_not_lift_its_own_fence(judged):
     assert all(judged[3000 + i].kept == (i % 3 != 0) for i in range(200))
     assert not judged[5000].kept and not judged[6000].kept
+
+
+def test_guards_follow_the_share_of_texts_without_a_count(spark):
+    """Chance symbols in 40 % of a group's texts allow more of them than none at all."""
+    rows = [(i, "en", "none", _text(i, 0)) for i in range(300)]
+    rows += [(1000 + i, "de", "some", _text(i, i % 5 < 2)) for i in range(300)]
+    found = {r.source: r for r in quality_rules.judge(
+        spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert found["none"].symbols_per_word_guard < found["some"].symbols_per_word_guard
+
+
+def test_guard_rates_are_poisson_tails():
+    rates = quality_rules.guard_rates()
+    assert rates == sorted(rates) and rates[-1] >= -math.log(quality_rules.MOST_HIT)
+    for k, rate in enumerate(rates):
+        chance = 1 - sum(math.exp(-rate) * rate ** i / math.factorial(i) for i in range(k + 1))
+        assert chance == pytest.approx(quality_rules.TAIL, rel=1e-3)
+
+
+def _least(values, share):
+    """The smallest value that at least ``share`` of the values do not exceed."""
+    values = sorted(values)
+    return values[max(math.ceil(share * len(values)) - 1, 0)]
+
+
+def test_fences_and_verdicts_beside_brute_force(spark):
+    """Every fence, guard and failed rule recomputed from the measures in plain Python."""
+    rng = random.Random(4)
+    sizes = {("en", "a"): 120, ("en", "b"): 40, ("de", "a"): 60, (None, "a"): 5, ("de", None): 30}
+    rows = []
+    for (lang, source), n in sizes.items():
+        for _ in range(n):
+            symbols = rng.choice([0, 0, 0, 1, 2, 5, 80]) if source == "a" else rng.randrange(9)
+            rows.append((len(rows), lang, source, _text(len(rows), symbols)))
+    found = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    rules, rates = quality_rules, quality_rules.guard_rates()
+    for m, count in rules.COUNTS.items():
+        def sketch(members):
+            return ([_least([r[m] for r in members], p) for p in (0.2, 0.5, 0.8, 0.9)],
+                    len(members), sum(r[count] == 0 for r in members))
+
+        def spread(found, above):
+            (q20, q50, _, q90), n, _ = found
+            own, below = q90 - q50, rules.CAP * (q50 - q20)
+            sound = own if own <= max(rules.CAP * above, below) else max(above, below)
+            return (n * sound + rules.PRIOR * above) / (n + rules.PRIOR)
+        table = sketch(found)
+        q = table[0]
+        whole = q[3] - q[1] if q[3] - q[1] <= rules.REACH * (q[2] - q[1]) else q[2] - q[1]
+        for r in found:
+            lang = sketch([x for x in found if x.lang == r.lang])
+            group = sketch([x for x in found if (x.lang, x.source) == (r.lang, r.source)])
+            middle = next((s[0][1] for s in (group, lang) if s[1] >= rules.LEAST), q[1])
+            fence = middle + rules.SPREAD * spread(group, spread(lang, whole))
+            none = table[2] / (table[1] + 1)
+            for s in (lang, group):
+                none = (s[2] + rules.PRIOR * none) / (s[1] + rules.PRIOR)
+            guard = sum(-math.log(max(none, rules.MOST_HIT)) > x for x in rates)
+            assert r[f"{m}_max"] == pytest.approx(fence) and r[f"{m}_guard"] == guard
+            over = (r[m] - fence) * r[rules.MEASURES[m]]
+            if abs(over - guard) > 1e-9:
+                assert (m in r.failed_rules) == (over > guard)
+    assert all(r.kept == (not r.base_failed and not r.failed_rules) for r in found)
+    assert any(r.failed_rules for r in found) and any(r.kept for r in found)
