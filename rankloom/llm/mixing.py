@@ -26,17 +26,6 @@ from rankloom.llm.tables import map_batches, prepare
 BLOCK_CHARS = 16_384
 
 
-def apportion(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole shares that sum to ``period``, at least one each (largest remainders)."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    by_rest = sorted(weights, key=lambda s: (int(exact[s]) - exact[s], s))
-    for s in by_rest[:period - sum(shares.values())]:
-        shares[s] += 1
-    return shares
-
-
 def whole_weights(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in the exact proportion of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -88,12 +77,6 @@ def sweep(shares: dict[str, int], blocks: dict[str, int]) -> Iterator[list[str]]
         after[before[s]], before[after[s]] = after[s], before[s]
 
 
-def earliest_deadline_first(shares: dict[str, int]) -> list[str]:
-    """The source of every slot of one period of whole shares."""
-    endless = {s: 2 * n for s, n in shares.items()}    # no source leaves within the period
-    return next(sweep(shares, endless))[:sum(shares.values())]
-
-
 def plan(blocks: dict[str, int], weights: dict[str, float]) -> dict[str, np.ndarray]:
     """Per source the slot of each of its blocks, in order."""
     shares = whole_weights({s: weights[s] for s in blocks})

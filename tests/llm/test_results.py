@@ -316,17 +316,6 @@ def test_plan_is_best_fit_decreasing():
 
 
 # --- mixing -------------------------------------------------------------------
-def test_schedule_stays_within_one_block():
-    rng = random.Random(9)
-    for _ in range(20):
-        shares = mixing.apportion({f"s{k}": rng.random() + 0.01 for k in range(7)}, 256)
-        order = mixing.earliest_deadline_first(shares)
-        number = Counter()
-        for t, s in enumerate(order, start=1):
-            number[s] += 1
-            assert all(abs(number[x] * 256 - t * n) < 256 for x, n in shares.items())
-
-
 def test_mixing_places_every_document(docs):
     rows = mixing.schedule(docs, block_chars=2000).collect()
     assert len(rows) == docs.count()
