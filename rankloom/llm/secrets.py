@@ -2,8 +2,8 @@
 
 The method's own test: a run of key-like characters whose characters per token
 under a public byte-pair vocabulary stay low is random, not language. Digests,
-UUIDs and identifiers are left out: a digest is known by its size and by the word in
-front of it that names it; an identifier is one only if the same vocabulary finds its
+UUIDs and identifiers are left out: a digest is known by its size, unless the word in
+front of it names a secret; an identifier is one only if the same vocabulary finds its
 parts to be words, whatever their shape.
 """
 
@@ -40,11 +40,12 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 # that end a run: the run's own beginning may name them (sha256=...).
 _DIGEST = re.compile(r"(?:.*[=_-])?([0-9a-fA-F]{128}|[0-9a-fA-F]{96}|[0-9a-fA-F]{64}"
                      r"|[0-9a-fA-F]{56}|[0-9a-fA-F]{40}|[0-9a-fA-F]{32})\Z")
-# A digest is known by a name among the NAMED characters before it, on its line; a word
-# that stands for a secret in between takes the name away.
+# A run of a digest's size is a finding where the last such word among the NAMED
+# characters before it, on its line, names a secret and not a digest.
 NAMED = 32
-_NAMED = re.compile(r"(?:md5|sha-?[0-9]{1,3}|checksum|digest|hash|commit|revision|etag|integrity"
-                    r"|fingerprint|blob|tree)[^\n]*\Z", re.IGNORECASE | re.ASCII)
+_NAMED = re.compile(r"(?P<secret>password|passwd|secret|token|credential|bearer|(?<![a-z])key)"
+                    r"|md5|sha-?[0-9]{1,3}|checksum|digest|hash|fingerprint",
+                    re.IGNORECASE | re.ASCII)
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 # Parts of an identifier: words by case, and numbers.
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]{1,8}")
@@ -105,12 +106,13 @@ def made_of_words(run: str, encoding) -> bool:
 
 
 def is_known_digest(run: str, before: str) -> bool:
-    """Hex digits of a digest's size behind a word that names a digest and no secret."""
+    """Hex digits of a digest's size, but where the word in front names a secret."""
     digest = _DIGEST.match(run)
     if not digest:
         return False
-    name = _NAMED.search((before + run[:digest.start(1)])[-NAMED:])
-    return bool(name and not _NAMES.search(name.group()))
+    front = (before + run[:digest.start(1)])[-NAMED:].rpartition("\n")[2]
+    names = list(_NAMED.finditer(front))
+    return not (names and names[-1].group("secret"))
 
 
 def excluded(run: str, before: str, encoding) -> bool:
