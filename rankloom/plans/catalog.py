@@ -14,6 +14,7 @@ from rankloom.operators.dedup import position
 from rankloom.operators.lookup import look_up
 from rankloom.operators.needles import first_needle
 from rankloom.schema import CATALOG_COLUMNS, LINK_COLUMNS
+from rankloom.session import spread
 
 
 def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
@@ -29,8 +30,9 @@ def build_catalog(universe: DataFrame, probe: DataFrame | None = None,
     of ``enrichment`` and ``overlay``, by the position ``_seq`` that readers add; see
     the ``apply_*`` steps for what each may change.
     """
-    base = universe.select(*[catalog_text(F.col(c)).alias(c)
-                             for c in ("Exam", "Homepage", "CutoffURL")])
+    columns = ["Exam", "Homepage", "CutoffURL"]
+    base = spread(universe.select(*columns)).select(
+        *[catalog_text(F.col(c)).alias(c) for c in columns])
     ref = base.select("*", exam_category(F.col("Exam")).alias("Category"),
                       exam_level(F.col("Exam")).alias("Level"),
                       exam_state(F.col("Exam")).alias("State"))
