@@ -15,6 +15,7 @@ from rankloom.functions.text import first_group, strip
 from rankloom.functions.urls import origin, path, pdf_links, with_candidate_slugs
 from rankloom.operators.htmltables import html_tables
 from rankloom.operators.rawrows import raw_rows
+from rankloom.session import spread
 
 SITES = ["collegedunia", "shiksha", "careers360", "collegedekho"]
 # Page addresses of each site.
@@ -49,7 +50,7 @@ def with_cutoff_urls(df: DataFrame, site: str, years: list[int] | None = None) -
     """
     url = F.col("site_url")
     years = recent_years() if years is None else years
-    guessed = with_candidate_slugs(df, url, F.col("exam"), "_guesses",
+    guessed = with_candidate_slugs(spread(df), url, F.col("exam"), "_guesses",
                                    2 if site == "shiksha" else 4)
     known = guessed.withColumns({
         "_base": origin(url, _BASE[site]), "_own": exam_slug(site, url),
