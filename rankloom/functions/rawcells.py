@@ -16,7 +16,9 @@ CATEGORY_KEYS = ["category", "caste", "community", "reservation", "quota"]
 
 def cell_entries(raw: Column) -> Column:
     """Key-ordered entries of the JSON object; null if the text is not one."""
-    return F.map_entries(F.from_json(raw, "map<string,string>"))
+    # other texts cost the reader an exception each
+    opened = F.ltrim(raw, F.lit(" \t\r\n")).startswith("{")
+    return F.map_entries(F.from_json(F.when(opened, raw), "map<string,string>"))
 
 
 def _has(text: Column, words: list[str]) -> Column:

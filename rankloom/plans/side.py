@@ -16,6 +16,7 @@ from rankloom.functions.text import first_group, missing_to_blank, strip
 from rankloom.operators.conform import project_deliverable
 from rankloom.operators.dedup import DISTIL_KEY, keep_best, keep_first, position, unique_by
 from rankloom.operators.htmltables import html_tables
+from rankloom.operators.keep import keep_where
 from rankloom.operators.rawrows import raw_rows
 from rankloom.schema import UNION_COLUMNS, WEB_COLUMNS
 
@@ -43,9 +44,9 @@ def row_signal(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "_s": noisy_rank(F.col("cutoff_score_or_marks"))})
     dug = parsed.withColumn("_dug", F.when(
         F.col("_o").isNull() & F.col("_c").isNull(), ranks_of(F.col("_entries"))))
-    found = dug.withColumns({"_o": F.coalesce("_o", "_dug.opening"),
-                             "_c": F.coalesce("_c", "_dug.closing")}) \
-        .filter(F.coalesce("_o", "_c", "_p", "_s").isNotNull())
+    found = keep_where(dug.withColumns({"_o": F.coalesce("_o", "_dug.opening"),
+                                        "_c": F.coalesce("_c", "_dug.closing")}),
+                       F.coalesce("_o", "_c", "_p", "_s").isNotNull())
     swap = F.col("_o") > F.col("_c")
     opening = F.when(swap, F.col("_c")).otherwise(F.col("_o"))
     closing = F.when(swap, F.col("_o")).otherwise(F.col("_c"))
