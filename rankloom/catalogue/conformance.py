@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.catalogue.bridge import (
-    GROUP_CASE, canonical, canonical_of, star, table, with_star,
+    GROUP_CASE, canonical, canonical_for_distinct, canonical_of, star, table, with_star,
 )
 from rankloom.catalogue.registry import query
 from rankloom.functions import classify
@@ -279,12 +279,12 @@ def _deliverable_sql(category: bool) -> str:
 
 @query("deliverable", _deliverable_sql(False))
 def client_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliverable(canonical(spark, sf_dir))
+    return deliverable(canonical_for_distinct(spark, sf_dir))
 
 
 @query("deliverable_category", _deliverable_sql(True))
 def client_table_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deliverable(canonical(spark, sf_dir), include_category=True)
+    return deliverable(canonical_for_distinct(spark, sf_dir), include_category=True)
 
 
 @query("snapshot_years", with_star(f"""

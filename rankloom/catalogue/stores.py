@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankloom.catalogue.bridge import CANON_LIST, canonical, table, with_star
+from rankloom.catalogue.bridge import (
+    CANON_LIST, canonical, canonical_for_distinct, table, with_star,
+)
 from rankloom.catalogue.exams import SEGMENT_SQL, exam_sheets
 from rankloom.catalogue.registry import query
 from rankloom.operators.conform import deliverable
@@ -34,7 +36,7 @@ def canonical_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deliverable_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The client's table as text files."""
     path = shared_folder(spark)
-    ingest.write_csv(deliverable(canonical(spark, sf_dir), True), path)
+    ingest.write_csv(deliverable(canonical_for_distinct(spark, sf_dir), True), path)
     return read_text_csv(spark, path, [label for _, label in deliverable_columns(True)],
                          multi_line=False)
 
