@@ -117,7 +117,8 @@ def rows_of_sites(wanted: dict[str, DataFrame], pages: DataFrame,
         part = site_candidates(name, exams, years).withColumn("site", F.lit(name))
         candidates = part if candidates is None else candidates.unionByName(part)
     stored = pages.filter(F.coalesce("html", F.lit("")) != "").select("url", "html")
-    hits = candidates.join(stored, candidates.page_url == stored.url)
+    # Spark takes every text for 20 bytes, so it would send stored pages whole through the driver
+    hits = candidates.join(stored.hint("merge"), candidates.page_url == stored.url)
     archived, doubled = F.col("site") == "collegedekho", F.col("site") == "careers360"
     if "collegedekho" in wanted:
         # the few pages of one exam and slug
